@@ -4,15 +4,47 @@ from __future__ import annotations
 
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitpack, bpe, token_counts
+from . import bitpack, bpe, decontaminate, imatch, langid, licenses, sharding, simhash, substring, token_counts
 from .common import shared_dir, table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/ids"
     bitpack.write_ids(table(spark, sf_dir, "documents"), out, P.path("byte_bpe_50k.json"), vocabulary=50257)
@@ -23,5 +55,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op2_bpe": op2_bpe,
+    "op3_language": op3_language,
+    "op4_sharding": op4_sharding,
+    "op5_passages": op5_passages,
+    "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_token_files": op9_token_files,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle(), "op7_decontamination": decontaminate.oracle()}
