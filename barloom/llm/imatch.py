@@ -34,13 +34,15 @@ def lexicon(docs: DataFrame, low: float, high: float, subsets: int, sparse: int,
 
 def fingerprints(texts: DataFrame, kept: DataFrame, subsets: int, by: list[str], carry: list[str], text_col: str) -> DataFrame:
     """by, carry and prints (array of one hash a subset, null where no term is kept) for each group of by."""
-    words = F.array_sort(F.array_distinct(word_array(F.col(text_col))))
+    words = F.sort_array(F.array_distinct(word_array(F.col(text_col))))
     rows = texts.select(*by, *carry, words.alias("words"))
-    rows = rows.select(*by, *carry, F.xxhash64(F.array_join("words", " ")).alias("all"), F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("word"))
+    rows = rows.select(*by, *carry, "words", F.xxhash64(F.array_join("words", " ")).alias("all"))
+    # Nothing of the array is named beside the explode: what is would be worked out again for each of its rows.
+    rows = rows.select(*by, *carry, "all", F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("word"))
     # The empty word stands for the document itself, so that documents without kept terms stay.
     rows = rows.withColumn("term", F.when(F.col("word") != "", F.xxhash64("word")).otherwise(F.lit(0)))
     terms = rows.join(kept, "term").groupBy(*by, "subset").agg(
-        F.xxhash64(F.array_join(F.array_sort(F.collect_list("word")), " ")).alias("print"), *[F.first(c).alias(c) for c in carry], F.first("all").alias("all")
+        F.xxhash64(F.array_join(F.sort_array(F.collect_list("word")), " ")).alias("print"), *[F.first(c).alias(c) for c in carry], F.first("all").alias("all")
     )
     found = terms.groupBy(*by).agg(F.collect_list(F.when(F.col("subset") >= 0, F.struct("subset", "print"))).alias("got"), *[F.first(c).alias(c) for c in carry], F.first("all").alias("all"))
     of = F.map_from_entries("got")
@@ -89,7 +91,8 @@ def fingerprint_edits(
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head"))
     pairs = rows.join(heads.hint("shuffle_hash"), key).select(*key, n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = pairs.select(*key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
+    pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
+    both = pairs.select(*key, "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
     both = both.select(*key, "n_chars", "edited_sha256", "x.kind", "x.text")
     kept = written(lexicon(docs, low, high, subsets, sparse, text_col), "lexicon")
     size = kept.count()
