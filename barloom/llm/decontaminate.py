@@ -46,7 +46,8 @@ def windows_of(items: DataFrame, size: int, id_col: str, text_col: str) -> tuple
 def index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Postings (k, th, n_words, pos, tid) of the given terms; each document also has one posting of tid -1."""
     rows = keyed(docs, id_col, text_col)
-    one = rows.select("k", "th", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("at", "term"))
+    rows = rows.select("k", "th", F.size("words").alias("n_words"), "words")
+    one = rows.select("k", "th", "n_words", F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("at", "term"))
     return one.join(terms, "term").select("k", "th", "n_words", (F.col("at") - 1).alias("pos"), "tid")
 
 
