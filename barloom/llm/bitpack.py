@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .bpe import expand
 from .common import chunks, utf8
 from .pretoken import pieces
+from .token_counts import byte_letters
 
 MOST_PIECES = 300_000
 SCHEMA = "part int, block int, part_start long, bits int, n_docs int, n_ids long, doc_ids binary, null_ids binary, offsets binary, payload binary"
@@ -60,6 +61,7 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = [byte_letters()[b] for b in range(256)]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def whole(self, text: str) -> list[int]:
@@ -68,10 +70,11 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[tuple[int, ...]]:
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        new = [t for t in texts if t not in self.known]
-        for t, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[t] = tuple(e.ids)
-        return [self.known[t] for t in texts]
+        known, model, letters = self.known, self.tokenizer.model, self.letters
+        for t in texts:
+            if t not in known:  # a pre-token goes straight to the library's merges
+                known[t] = tuple([x.id for x in model.tokenize("".join([letters[b] for b in t.encode()]))])
+        return [known[t] for t in texts]
 
     def chunk(self, column: pa.Array) -> list[np.ndarray]:
         found, starts = pieces(*utf8(column), words=False)
