@@ -31,6 +31,7 @@ from .pretoken import pieces
 
 MOST_STATES = 200_000
 MOST_PIECES = 300_000
+MOST_PAIRS = 800_000
 
 
 @functools.cache
@@ -58,7 +59,11 @@ class Transducer:
                     self.grows.append(False)
                 node = self.child[node, byte]
             self.token[node] = i
-        self.follows: dict[tuple[int | None, int], bool] = {}
+        self.follows: dict[tuple[int, int], bool] = {}
+        self.split: dict[int, tuple[int, int] | None] = {}
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        #: Strings that the merges alone never make; they only stand as whole pre-tokens.
+        self.odd = {i for i, name in self.names.items() if len(name) > 1 and self.halves(i) is None}
         self.known: dict[str, tuple[int, ...]] = {}
         self.forget()
 
@@ -66,21 +71,59 @@ class Transducer:
         start = (None, ((0, ()),))
         self.number, self.states, self.arcs = {start: 0}, [start], [{}]
 
-    def merged(self, data: bytes) -> list[int]:
-        """The plain merges; only used on two tokens at a time, to find out which may be neighbours."""
+    def merged(self, data: bytes, below: int = 1 << 40) -> list[int]:
+        """The plain merges of ranks under a limit; only used on single vocabulary strings, to find what they are made of."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, i = min((self.ids.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
+            if rank >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ids[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte."""
+        if token not in self.split:
+            name, self.split[token] = self.names[token], None
+            if len(name) > 1:
+                parts = self.merged(name, below=token)
+                self.split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.split[token]
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at one end of a token while it is being merged, with the rank that ends each."""
+        if (token, side) not in self.edges:
+            out, until, now = [], 1 << 40, token
+            while True:
+                out.append((now, until))
+                if (both := self.halves(now)) is None:
+                    break
+                until, now = now, both[side]
+            self.edges[token, side] = out
+        return self.edges[token, side]
+
     def may_follow(self, before: int | None, token: int) -> bool:
-        if (before, token) not in self.follows:
-            want = [token] if before is None else [before, token]
-            self.follows[before, token] = self.merged(b"".join(self.names[i] for i in want)) == want
-        return self.follows[before, token]
+        """Whether no merge crosses from before to token: it would need both end pieces to stand there at its rank."""
+        if before is None:
+            return token not in self.odd
+        ok = self.follows.get((before, token))
+        if ok is None:
+            if len(self.follows) > MOST_PAIRS:
+                self.follows.clear()
+            names, ids = self.names, self.ids
+            ok = token not in self.odd
+            for left, left_ends in self.edge(before, 1):
+                for right, right_ends in self.edge(token, 0):
+                    rank = ids.get(names[left] + names[right])
+                    # Of equal ranks the leftmost merge comes first.
+                    if rank is not None and left < rank < left_ends and right < rank <= right_ends:
+                        ok = False
+                    if not ok:
+                        break
+                if not ok:
+                    break
+            self.follows[before, token] = ok
+        return ok
 
     def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after byte, and what is emitted."""
@@ -100,7 +143,10 @@ class Transducer:
         while all(len(tokens) > shared for _, tokens in here) and len({tokens[shared] for _, tokens in here}) == 1:
             shared += 1
         out = path[:shared]
-        after = (out[-1] if out else before, tuple((node, tokens[shared:]) for node, tokens in here))
+        if out:
+            before = out[-1]
+        # What was emitted last only matters to starts that lie right behind it.
+        after = (before if any(len(tokens) == shared for _, tokens in here) else None, tuple((node, tokens[shared:]) for node, tokens in here))
         if after not in self.number:
             self.number[after] = len(self.states)
             self.states.append(after)
@@ -194,7 +240,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id_col, ids binary): the ids of each text as little-endian unsigned 32-bit integers."""
 
     def run(batches):
-        for part in chunks(batches):
+        for part in chunks(batches, 2 << 20):
             ids, at = encode_chunk(part.column(1), path)
             ids = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays(
@@ -224,7 +270,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         names = token_bytes(path)
-        for part in chunks(batches):
+        for part in chunks(batches, 2 << 20):
             ids, at = encode_chunk(part.column(1), path)
             ids, hashes, back = ids.astype("<u4"), [], []
             for a, b in zip(at, at[1:]):
