@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks, utf8
 
 ORDER = 3
+#: So many languages' sizes are broadcast at most.
+SMALL = 10_000
 
 
 @dataclass
@@ -61,9 +63,13 @@ def before(symbols: np.ndarray, offs: np.ndarray, blank: int) -> list[np.ndarray
 
 def counts(df: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n): how often each context and byte occur in the sample; a gram is its order and its bytes."""
-    order = Window.partitionBy("lang").orderBy("h", "id")
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "id")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sample = rows.withColumn("h", F.xxhash64("id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    # Three times the wanted share by hash comes first, so that a language's window sees about 3 * per_language rows at any size.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
+    near = rows.withColumn("h", F.xxhash64("id")).join(sizes, "lang").where(F.pmod("h", F.lit(1 << 40)).cast("double") * F.col("size") < float(3 * per_language << 40))
+    sample = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
 
     def run(batches):
         for part in chunks(batches):
