@@ -6,6 +6,7 @@ import pytest
 
 from barloom.operators import bars as B
 from barloom.operators import features as X
+from barloom.plans import decisions, desk  # noqa: F401
 from barloom.plans.queries import SQL, Q, bars
 from barloom.sources import tables as S
 
