@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import chunks, utf8
 from .pretoken import pieces
 
-MOST_STATES = 200_000
-MOST_PIECES = 300_000
-MOST_PAIRS = 800_000
+MOST_STATES = 60_000
+MOST_PIECES = 150_000
+MOST_PAIRS = 300_000
 
 
 @functools.cache
@@ -240,7 +240,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id_col, ids binary): the ids of each text as little-endian unsigned 32-bit integers."""
 
     def run(batches):
-        for part in chunks(batches, 2 << 20):
+        for part in chunks(batches, 1 << 20):
             ids, at = encode_chunk(part.column(1), path)
             ids = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays(
@@ -270,7 +270,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         names = token_bytes(path)
-        for part in chunks(batches, 2 << 20):
+        for part in chunks(batches, 1 << 20):
             ids, at = encode_chunk(part.column(1), path)
             ids, hashes, back = ids.astype("<u4"), [], []
             for a, b in zip(at, at[1:]):

@@ -72,7 +72,7 @@ def counts(df: DataFrame, per_language: int, id_col: str, text_col: str, lang_co
     sample = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
 
     def run(batches):
-        for part in chunks(batches):
+        for part in chunks(batches, 1 << 20):
             raw, offs = plain(part.column(1))
             prev, langs = before(raw, offs, 32), np.array(part.column(0).to_pylist(), object)
             owner = np.repeat(np.arange(len(langs)), np.diff(offs))
@@ -161,6 +161,8 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """Per row: id, the columns of keep, lang_pred, score (probability of the best language under equal priors)."""
     frozen = df.sparkSession.sparkContext.broadcast(model)
     held = [id_col, *keep]
+    sent = held if text_col in held else [*held, text_col]  # the text goes to the workers once
+    at = sent.index(text_col)
 
     def run(batches):
         model = frozen.value
@@ -169,12 +171,12 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             names, score = ["und"] * n, np.zeros(n)
             known = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
             if model:
-                bits = code_lengths(model, part.column(part.num_columns - 2))
+                bits = code_lengths(model, part.column(at))
                 best = bits.argmin(axis=1)
                 score = np.where(known, 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1), 0.0)
                 names = [model.languages[b] if k else "und" for b, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(names, pa.string()), pa.array(score)], [*held, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(held)], pa.array(names, pa.string()), pa.array(score)], [*held, "lang_pred", "score"])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in held)
-    return df.select(*held, F.col(text_col).alias("_text"), letters.alias("_letters")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return df.select(*sent, letters.alias("_letters")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
