@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import expand
-from .common import chunks, utf8
+from .common import chunks, in_batches, utf8
 from .pretoken import pieces
 from .token_counts import byte_letters
 
@@ -124,7 +124,7 @@ def write_ids(df: DataFrame, out: str, path: str, vocabulary: int, end_id: int =
             yield row()
 
     ordered = df.select(F.col(id_col).cast("long"), text_col).repartitionByRange(F.col(id_col).asc()).sortWithinPartitions(id_col, text_col)
-    ordered.mapInArrow(run, SCHEMA).write.parquet(out)
+    in_batches(ordered, run, SCHEMA).write.parquet(out)
 
 
 def read_documents(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFrame:
@@ -148,7 +148,7 @@ def read_documents(spark: SparkSession, out: str, id_col: str = "doc_id") -> Dat
     # One row for each written partition, so its size is bounded by their number and not by the documents.
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sums.select("part", (F.coalesce(F.sum("n").over(_before()), F.lit(0))).alias("base"))
-    docs = blocks.mapInArrow(run, f"`{id_col}` long, part int, start long, n_tokens long, ids_crc32 long")
+    docs = in_batches(blocks, run, f"`{id_col}` long, part int, start long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(before), "part").select(id_col, (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, in_batches, utf8
 from .pretoken import pieces
 
 MOST_STATES = 200_000
@@ -247,7 +247,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 [part.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], [id_col, "ids"]
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary")
+    return in_batches(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", block: int = 1 << 16) -> DataFrame:
@@ -262,7 +262,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", block: int = 1 << 1
                 texts.append("".join(decode_blocks((ids[i : i + block].tolist() for i in range(0, len(ids), block)), names)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return df.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string")
+    return in_batches(df.select(id_col, "ids"), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,6 +284,6 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(
+    return in_batches(df.select(F.col(id_col), F.col(text_col)),
         run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z is lower case.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Most bytes of a batch that goes to a Python worker; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Bytes of lower-cased text in which every separator is a blank; bytes.split() then gives the words.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -40,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, with batches of a few MB: ten thousand whole documents a batch would fill the memory beside the heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def lowered(text) -> F.Column:
     """A-Z lower-cased, all else kept; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

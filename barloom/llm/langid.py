@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, in_batches, utf8
 
 ORDER = 3
 #: So many languages' sizes are broadcast at most.
@@ -84,7 +84,7 @@ def counts(df: DataFrame, per_language: int, id_col: str, text_col: str, lang_co
                     key, n = np.unique(gram[langs[owner] == lang], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key | k << 40), pa.array(n)], ["lang", "gram", "n"])
 
-    return sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return in_batches(sample.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def mix(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -179,4 +179,4 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in held)
-    return df.select(*sent, letters.alias("_letters")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return in_batches(df.select(*sent, letters.alias("_letters")), run, f"{kinds}, lang_pred string, score double")

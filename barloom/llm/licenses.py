@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, words_of
+from .common import chunks, in_batches, words_of
 
 #: Base phrases and their labels (fixed values).
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -148,7 +148,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, base: dict[str, s
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*out), types))], [id_col, *NAMES])
 
     NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
-    return df.select(id_col, text_col).mapInArrow(
+    return in_batches(df.select(id_col, text_col),
         run,
         f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, "
         "base_labels string, labels string, score double, places array<struct<start:long,end:long,label:string>>",

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, in_batches, written
 
 TREE_SIZE = 4096
 
@@ -55,7 +55,7 @@ def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
             got = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got)], [id_col, "fp"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp long")
+    return in_batches(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp long")
 
 
 class BKTree:
@@ -131,7 +131,7 @@ def links(distinct: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> D
                     tree.add(bits, roots)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return in_batches(rows, run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
