@@ -53,6 +53,25 @@ def test_planted_passages_are_found(spark):
     assert substring.passages(df.limit(0)).count() == 0
 
 
+def found_pairs(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    return {(r.doc_id, r.source_doc_id): r for r in substring.passages(df).collect()}
+
+
+def test_a_smaller_document_with_a_part_hides_nothing(spark):
+    """A has 30 words of the passage of B and C (and so any key that lies in them), D has them as well."""
+    texts, want = {}, set()
+    for k in range(0, 60, 6):
+        shared = passage(55)
+        part = shared[13:43]
+        texts[k] = [*passage(80), *part, *passage(80)]
+        texts[k + 1] = [*passage(40), *shared, *passage(40)]
+        texts[k + 2] = [*passage(90), *shared, *passage(10)]
+        texts[k + 3] = [*part, *passage(60)]
+        want.add((k + 2, k + 1))
+    assert set(found_pairs(spark, texts)) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     line = " ".join(passage(200, "Wort"))
     leak = " ".join(passage(30, "quiz"))
