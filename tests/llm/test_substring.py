@@ -72,6 +72,28 @@ def test_a_smaller_document_with_a_part_hides_nothing(spark):
     assert set(found_pairs(spark, texts)) == want
 
 
+def test_passages_at_the_threshold_are_always_found(spark):
+    """50 words with one changed (0.80), and 60 words with one put in or left out, at any place."""
+    texts, want = {}, set()
+    for k in range(0, 240, 2):
+        shared, at = passage(50 if k % 3 == 0 else 60), RNG.randrange(5, 45)
+        put = [shared[at] + "x"] if k % 3 == 0 else ["new", shared[at]] if k % 3 == 1 else []
+        texts[k] = [*passage(30), *shared, *passage(30)]
+        texts[k + 1] = [*passage(9), *shared[:at], *put, *shared[at + 1 :], *passage(40)]
+        want.add((k + 1, k))
+    got = found_pairs(spark, texts)
+    assert set(got) == want and all(0.8 <= r.similarity < 1 for r in got.values())
+
+
+def test_repetitive_texts_are_compared_by_diagonals():
+    for _ in range(20):
+        line, shared = passage(27), passage(70)
+        a = substring.tokens(" ".join([*line * 3, *shared[:33], "new", *shared[33:], *line]))
+        b = substring.tokens(" ".join([*passage(20), *shared, *line * 2]))
+        got = [substring.shared_ranges(a, b, b.argsort(kind="stable"), 46, 0.8, most) for most in (1 << 22, 0)]
+        assert got[0] == got[1] and any(s <= 81 and e >= 81 + 67 for s, e, _, _ in got[0])
+
+
 def test_pipeline_stages(spark, tmp_path):
     line = " ".join(passage(200, "Wort"))
     leak = " ".join(passage(30, "quiz"))
