@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import chunks, in_batches, utf8
 from .pretoken import pieces
 
-MOST_STATES = 200_000
-MOST_PIECES = 300_000
-MOST_PAIRS = 800_000
+#: Bounds of what a worker remembers; each entry takes 100 to 400 bytes.
+MOST_STATES = 250_000
+MOST_PIECES = 150_000
+MOST_PAIRS = 300_000
 
 
 @functools.cache
@@ -40,36 +41,65 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+class Recent(dict):
+    """A bounded memory: what was not asked for since the last time it filled up is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Transducer:
-    """Turns the bytes of one pre-token into ids. Its memory is bounded: states and pieces are forgotten when there are too many."""
+    """Turns the bytes of one pre-token into ids. Its memory is bounded: states and pieces are forgotten when there are too many.
+
+    A state is a flat tuple: what was emitted last (-1: nothing that matters), then for each remembered start its trie
+    node, how many tokens were chosen up to it, and these tokens.
+    """
 
     def __init__(self, vocabulary: dict[bytes, int]):
         self.ids = vocabulary
         self.names = {i: b for b, i in vocabulary.items()}
-        self.child: dict[tuple[int, int], int] = {}
+        self.child: dict[int, int] = {}  # node * 256 + byte
         self.token: list[int | None] = [None]
         self.grows: list[bool] = [False]
         for name, i in vocabulary.items():
             node = 0
             for byte in name:
                 self.grows[node] = True
-                if (node, byte) not in self.child:
-                    self.child[node, byte] = len(self.token)
+                if (node << 8 | byte) not in self.child:
+                    self.child[node << 8 | byte] = len(self.token)
                     self.token.append(None)
                     self.grows.append(False)
-                node = self.child[node, byte]
+                node = self.child[node << 8 | byte]
             self.token[node] = i
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows = Recent(MOST_PAIRS)  # before << 32 | token -> 1 or 2 (no or yes)
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.edges: dict[int, tuple[int, ...]] = {}
         #: Strings that the merges alone never make; they only stand as whole pre-tokens.
         self.odd = {i for i, name in self.names.items() if len(name) > 1 and self.halves(i) is None}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Recent(MOST_PIECES)
         self.forget()
 
+    def rest(self) -> None:
+        """Called at the end of a task: an idle worker keeps only what was used lately."""
+        self.known.old = {}
+
     def forget(self) -> None:
-        start = (None, ((0, ()),))
-        self.number, self.states, self.arcs = {start: 0}, [start], [{}]
+        start = (-1, 0, 0)
+        self.number, self.states = {start: 0}, [start]
+        self.arcs: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte -> next state, or (next state, emitted)
 
     def merged(self, data: bytes, below: int = 1 << 40) -> list[int]:
         """The plain merges of ranks under a limit; only used on single vocabulary strings, to find what they are made of."""
@@ -90,47 +120,47 @@ class Transducer:
                 self.split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self.split[token]
 
-    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The tokens that stand at one end of a token while it is being merged, with the rank that ends each."""
-        if (token, side) not in self.edges:
+    def edge(self, token: int, side: int) -> tuple[int, ...]:
+        """The tokens that stand at one end of a token while it is being merged, each followed by the rank that ends it."""
+        if (token << 1 | side) not in self.edges:
             out, until, now = [], 1 << 40, token
             while True:
-                out.append((now, until))
+                out += [now, until]
                 if (both := self.halves(now)) is None:
                     break
                 until, now = now, both[side]
-            self.edges[token, side] = out
-        return self.edges[token, side]
-
-    def may_follow(self, before: int | None, token: int) -> bool:
-        """Whether no merge crosses from before to token: it would need both end pieces to stand there at its rank."""
-        if before is None:
-            return token not in self.odd
-        ok = self.follows.get((before, token))
-        if ok is None:
-            if len(self.follows) > MOST_PAIRS:
-                self.follows.clear()
-            names, ids = self.names, self.ids
-            ok = token not in self.odd
-            for left, left_ends in self.edge(before, 1):
-                for right, right_ends in self.edge(token, 0):
-                    rank = ids.get(names[left] + names[right])
-                    # Of equal ranks the leftmost merge comes first.
-                    if rank is not None and left < rank < left_ends and right < rank <= right_ends:
-                        ok = False
-                    if not ok:
-                        break
-                if not ok:
-                    break
-            self.follows[before, token] = ok
-        return ok
-
-    def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after byte, and what is emitted."""
-        before, live = self.states[state]
-        here, path = [], None
-        for node, tokens in live:  # earliest start first
-            node = self.child.get((node, byte))
+            self.edges[token << 1 | side] = tuple(out)
+        return self.edges[token << 1 | side]
+
+    def crossed(self, before: int, token: int) -> bool:
+        """Whether some merge joins an end piece of before with an end piece of token."""
+        names, ids = self.names, self.ids
+        lefts, rights = self.edge(before, 1), self.edge(token, 0)
+        for left, left_ends in zip(lefts[::2], lefts[1::2]):
+            for right, right_ends in zip(rights[::2], rights[1::2]):
+                rank = ids.get(names[left] + names[right])
+                # Of equal ranks the leftmost merge comes first.
+                if rank is not None and left < rank < left_ends and right < rank <= right_ends:
+                    return True
+        return False
+
+    def may_follow(self, before: int, token: int) -> bool:
+        """Whether no merge crosses from before (-1: nothing) to token: it would need both end pieces to stand there at its rank."""
+        if token in self.odd:
+            return False
+        if before < 0:
+            return True
+        key = before << 32 | token
+        return (self.follows[key] or self.follows.keep(key, 1 if self.crossed(before, token) else 2)) == 2
+
+    def arc(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """The state after byte, with what is emitted if anything is."""
+        flat = self.states[state]
+        before, here, path, at = flat[0], [], None, 1
+        while at < len(flat):  # earliest start first
+            node, n = self.child.get(flat[at] << 8 | byte), flat[at + 1]
+            tokens = flat[at + 2 : at + 2 + n]
+            at += 2 + n
             if node is None:
                 continue
             token = self.token[node]
@@ -139,64 +169,112 @@ class Transducer:
             if self.grows[node]:
                 here.append((node, tokens))
         here.append((0, path))
-        shared = 0
-        while all(len(tokens) > shared for _, tokens in here) and len({tokens[shared] for _, tokens in here}) == 1:
+        shared, least = 0, min(len(tokens) for _, tokens in here)
+        while shared < least and all(tokens[shared] == path[shared] for _, tokens in here):
             shared += 1
         out = path[:shared]
-        if out:
-            before = out[-1]
         # What was emitted last only matters to starts that lie right behind it.
-        after = (before if any(len(tokens) == shared for _, tokens in here) else None, tuple((node, tokens[shared:]) for node, tokens in here))
-        if after not in self.number:
-            self.number[after] = len(self.states)
+        last = (out[-1] if out else before) if any(len(tokens) == shared for _, tokens in here) else -1
+        after = (last, *(x for node, tokens in here for x in (node, len(tokens) - shared, *tokens[shared:])))
+        number = self.number.get(after)
+        if number is None:
+            number = self.number[after] = len(self.states)
             self.states.append(after)
-            self.arcs.append({})
-        return self.arcs[state].setdefault(byte, (self.number[after], out))
+        found = self.arcs[state << 8 | byte] = (number, out) if out else number
+        return found
 
     def run(self, data: bytes) -> tuple[int, ...]:
         if (whole := self.ids.get(data)) is not None:
             return (whole,)
-        if len(self.states) > MOST_STATES:
-            self.forget()
         state, out, arcs = 0, [], self.arcs
         for byte in data:
-            state, emitted = arcs[state].get(byte) or self.arc(state, byte)
-            if emitted:
-                out += emitted
-        return (*out, *self.states[state][1][-1][1])
+            found = arcs.get(state << 8 | byte)
+            if found is None:
+                if len(self.states) > MOST_STATES:  # only the state that we stand in is carried over
+                    flat = self.states[state]
+                    self.forget()
+                    arcs = self.arcs
+                    state = self.number.setdefault(flat, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(flat)
+                found = self.arc(state, byte)
+            if type(found) is int:
+                state = found
+            else:
+                state = found[0]
+                out += found[1]
+        flat = self.states[state]
+        at = 1
+        while at + 2 + flat[at + 1] < len(flat):
+            at += 2 + flat[at + 1]
+        return (*out, *flat[at + 2 :])
 
     def encode(self, texts: list[str]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens; those met before are looked up."""
-        known, out = self.known, []
-        for text in texts:
-            ids = known.get(text)
-            if ids is None:
-                if len(known) >= MOST_PIECES:
-                    known.clear()
-                ids = known[text] = self.run(text.encode())
-            out.append(ids)
-        return out
+        known, run = self.known, self.run
+        return [known[t] or known.keep(t, run(t.encode())) for t in texts]
+
+
+def utf8_classes() -> tuple[list[int], list[list[int]]]:
+    """Class of each byte, and per state the next state of each class. States: 0 whole, 1 to 3 so many continuation bytes
+    wanted, 4 to 7 the bounded second bytes after E0, ED, F0 and F4, 8 wrong."""
+    of = [0 if b < 0x80 else 1 if b < 0x90 else 2 if b < 0xA0 else 3 if b < 0xC0 else 12 for b in range(256)]
+    for first, stop, kind in ((0xC2, 0xE0, 4), (0xE1, 0xF0, 5), (0xF1, 0xF4, 6), (0xE0, 0xE1, 7), (0xED, 0xEE, 8), (0xF0, 0xF1, 9), (0xF4, 0xF5, 10)):
+        of[first:stop] = [kind] * (stop - first)
+    wrong = 8
+    start = [0, wrong, wrong, wrong, 1, 2, 3, 4, 5, 6, 7, wrong, wrong]
+    then = {1: (0, 0, 0), 2: (1, 1, 1), 3: (2, 2, 2), 4: (wrong, wrong, 1), 5: (1, 1, wrong), 6: (wrong, 2, 2), 7: (2, wrong, wrong)}
+    return of, [start] + [[wrong, *then[s], *[wrong] * 9] for s in range(1, 8)]
 
 
 class Utf8Machine:
-    """Turns blocks of bytes into text; an unfinished character waits for the next block, wrong bytes become U+FFFD."""
+    """An incremental decoder: a state machine over byte classes whose memory is one state and at most three bytes.
+
+    Blocks that are whole characters from the start state go through the codec at once; only what is around a split or
+    wrong character is stepped byte by byte. Wrong bytes become U+FFFD, one for each longest wrong prefix.
+    """
+
+    OF, NEXT = utf8_classes()
 
     def __init__(self):
-        self.waiting = b""
+        self.state, self.held = 0, b""
+
+    def stepped(self, block: bytes) -> str:
+        out, of, table = [], self.OF, self.NEXT
+        for byte in block:
+            after = table[self.state][of[byte]]
+            if after == 8 and self.state:  # what is held never becomes a character; the byte begins anew
+                out.append("\ufffd")
+                self.state, self.held = 0, b""
+                after = table[0][of[byte]]
+            if after == 8:
+                out.append("\ufffd")
+                continue
+            self.state, self.held = after, self.held + bytes((byte,))
+            if after == 0:
+                out.append(self.held.decode())
+                self.held = b""
+        return "".join(out)
 
     def feed(self, block: bytes, last: bool = False) -> str:
-        block = self.waiting + block
-        cut = len(block)
-        for back in range(1, min(4, len(block) + 1) if not last else 0):
-            byte = block[-back]
-            if byte >= 0xC0:  # a lead byte: wait if what it announces is not all there
-                if back < 2 + (byte >= 0xE0) + (byte >= 0xF0):
-                    cut -= back
-                break
-            if byte < 0x80:
-                break
-        self.waiting = block[cut:]
-        return block[:cut].decode("utf-8", "replace")
+        out, n = [], 0
+        while n < len(block):
+            if self.state:
+                out.append(self.stepped(block[n : n + 1]))
+                n += 1
+                continue
+            piece = block[n : n + 4096]
+            try:
+                out.append(piece.decode())
+                n += len(piece)
+            except UnicodeDecodeError as wrong:  # a split or wrong character begins there
+                out.append(piece[: wrong.start].decode())
+                out.append(self.stepped(piece[wrong.start : wrong.start + 1]))
+                n += wrong.start + 1
+        if last and self.state:
+            out.append("\ufffd")
+            self.state, self.held = 0, b""
+        return "".join(out)
 
 
 def expand(found: pa.DictionaryArray, lists: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,12 +318,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id_col, ids binary): the ids of each text as little-endian unsigned 32-bit integers."""
 
     def run(batches):
-        for part in chunks(batches, 2 << 20):
+        for part in chunks(batches, 1 << 20):
             ids, at = encode_chunk(part.column(1), path)
             ids = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], [id_col, "ids"]
             )
+        transducer(path).rest()
 
     return in_batches(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary")
 
@@ -270,7 +349,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         names = token_bytes(path)
-        for part in chunks(batches, 2 << 20):
+        for part in chunks(batches, 1 << 20):
             ids, at = encode_chunk(part.column(1), path)
             ids, hashes, back = ids.astype("<u4"), [], []
             for a, b in zip(at, at[1:]):
@@ -283,6 +362,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 [part.column(0), pa.array(np.diff(at)), pa.array(hashes, pa.string()), pa.array(back, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        transducer(path).rest()
 
     return in_batches(df.select(F.col(id_col), F.col(text_col)),
         run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

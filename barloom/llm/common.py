@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z is lower case.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: So many ids are broadcast at most.
+SMALL_IDS = 2_000_000
 #: Most bytes of a batch that goes to a Python worker; a longer row makes a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Bytes of lower-cased text in which every separator is a blank; bytes.split() then gives the words.
@@ -42,10 +44,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow, with batches of a few MB: ten thousand whole documents a batch would fill the memory beside the heap."""
+def bounded_batches(df: DataFrame) -> None:
+    """Batches of a few MB for Python workers: ten thousand whole documents a batch would fill the memory beside the heap."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with bounded batches; workers give unused memory back at the end of each task."""
+    bounded_batches(df)
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
+def only(df: DataFrame, ids: DataFrame, how: str, small: int = SMALL_IDS, on: str = "id") -> DataFrame:
+    """df semi- or anti-joined with ids, which are broadcast while they are few (counted first), else shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= small else ids, on, how)
 
 
 def lowered(text) -> F.Column:
@@ -75,12 +92,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batches, most: int = 4 << 20):
-    """Slices of record batches of about most text bytes (first string column), one row at least; memory stays bounded."""
+def chunks(batches, most: int = 4 << 20, at: int = 1):
+    """Slices of record batches of about most bytes of text (column number at), one row at least; memory stays bounded."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = next(i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type) or pa.types.is_large_string(f.type))
         _, offs = utf8(batch.column(at))
         start = 0
         while start < batch.num_rows:

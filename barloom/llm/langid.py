@@ -2,17 +2,22 @@
 
 Each language has a variable-order context tree over bytes: counts of the byte after contexts of 0 to 3 bytes. An
 unseen byte escapes to the next shorter context with probability d / (n + d) (n bytes, d different ones seen), seen
-bytes being excluded there, so that the probabilities of a context add up to one. The counts are frozen after training;
-a text's score under a language is its exact code length in bits. All trees are laid out in one table of code lengths
-for (longest known context, byte, language), so that scoring is two gathers a byte.
+bytes being excluded there, and from order 0 to order -1, where all symbols are equally likely; so the probabilities
+of a context add up to one. The counts are frozen after training; a text's score under a language is its exact code
+length in bits.
 
-Texts are read in lower case, with every ASCII byte that is no letter as a blank. Training takes at most
+All contexts that the sample has are kept. A byte that a language has not seen after a context costs the escapes down
+to the context that has it and the code length there, so the frozen trees are two tables: code lengths of the
+(context, symbol) pairs that some language has seen, and summed escapes of a context down to a shorter one. Scoring
+is a few gathers a byte, whatever the number of contexts.
+
+Texts are read in lower case, with every ASCII byte that is no letter as a blank: 155 symbols. Training takes at most
 `per_language` whole documents of each language, those with the smallest hash of the id: a bounded, documented sample.
-The table holds at most `most_contexts` contexts of three bytes, the commonest ones, so its size is bounded as well.
 
 Defined cases: null text, or text without a letter, is `und` with score 0, and so is all text where nothing could be
 learned; equal code lengths give the first language in order; rows without a language are never trained on; other
-columns are ignored; repeated rows each give a row; texts of any length are scored whole.
+columns are ignored or kept as they are; repeated rows each give a row, null ids too; texts of any length are scored
+whole.
 """
 
 from __future__ import annotations
@@ -25,19 +30,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, in_batches, utf8
+from .common import bounded_batches, chunks, in_batches, utf8
 
 ORDER = 3
 #: So many languages' sizes are broadcast at most.
 SMALL = 10_000
+#: What `plain` leaves of bytes: a blank, a-z, and what is not ASCII.
+SYMBOLS = [32, *range(97, 123), *range(128, 256)]
+SIZE = len(SYMBOLS)
+SYMBOL = np.zeros(256, np.int32)
+SYMBOL[SYMBOLS] = np.arange(SIZE)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    context: np.ndarray  # (a, b, c) -> longest known context
-    bits: np.ndarray  # (context, symbol, language) -> code length
+    page: np.ndarray  # the two symbols before -> row of pages
+    pages: np.ndarray  # (row, third symbol before) -> longest known context
+    row: np.ndarray  # (context, symbol) -> row of bits
+    level: np.ndarray  # (context, symbol) -> order at which that row stands, plus one
+    bits: np.ndarray  # (row, language) -> code length
+    escapes: np.ndarray  # (context, level) -> bits of the escapes down to the level, by language
 
 
 def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,96 +100,144 @@ def counts(df: DataFrame, per_language: int, id_col: str, text_col: str, lang_co
     return in_batches(sample.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def mix(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities after a context from its counts and those of the next shorter context."""
-    n, kinds = seen.sum(), np.count_nonzero(seen)
-    rest = lower * (seen == 0)
-    if not n:
-        return lower
-    if not rest.sum():
-        return seen / n
-    return seen / (n + kinds) + rest / rest.sum() * (kinds / (n + kinds))
-
-
-def build(rows, most_contexts: int) -> Model:
-    languages = sorted(set(rows["lang"]))
-    code = rows["gram"].to_numpy(np.int64)
-    order, gram, n = code >> 40, code & (1 << 40) - 1, rows["n"].to_numpy(np.float64)
-    lang = rows["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
-    used = sorted({32, *(gram[order == 0] & 255).tolist()})
-    symbol = np.zeros(256, np.int64)  # what was never seen reads as the first symbol, a blank
-    symbol[used] = [used.index(32) if u == 32 else i for i, u in enumerate(used)]
-    symbol[[b for b in range(256) if b not in used]] = used.index(32)
-    size = len(used)
-    uniform = np.full(size, 1 / size)
-    seen: dict[tuple[int, int], np.ndarray] = {}  # (order, context) -> counts by language and symbol
-    total: dict[int, float] = {}
-    for k, g, w, m in zip(order.tolist(), gram.tolist(), lang.tolist(), n.tolist()):
-        key = (k, g >> 8)
-        if key not in seen:
-            seen[key] = np.zeros((len(languages), size))
-        seen[key][w, symbol[g & 255]] += m
-        if k == ORDER:
-            total[g >> 8] = total.get(g >> 8, 0) + m
-    kept = set(sorted(total, key=lambda c: (-total[c], c))[:most_contexts])
-    probs: dict[tuple[int, int], np.ndarray] = {}
-    names = sorted(k for k in seen if k[0] < ORDER or k[1] in kept)
-    table1, table2, table3 = np.zeros(size, np.int32), None, None
-    for number, (k, c) in enumerate(names):
-        lower = probs[k - 1, c & (1 << 8 * (k - 1)) - 1] if k else [uniform] * len(languages)
-        probs[k, c] = np.array([mix(s, p) for s, p in zip(seen[k, c], lower)])
-        at = symbol[[c & 255, c >> 8 & 255, c >> 16 & 255]]
+class Tree:
+    """Counts of one language: context (order, bytes) -> byte -> count."""
+
+    def __init__(self):
+        self.seen: dict[tuple[int, int], dict[int, int]] = {}
+        self.lost: dict[tuple[int, int], float] = {}
+
+    def escape(self, k: int, context: int) -> float:
+        """Factor between the probabilities of unseen bytes after a context and after the next shorter one."""
+        at = self.seen.get((k, context))
+        if at is None:
+            return 1.0
+        if (k, context) not in self.lost:
+            n, kinds = sum(at.values()), len(at)
+            rest = 1 - sum(self.probability(k - 1, shorter(k, context), b) for b in at)
+            self.lost[k, context] = kinds / (n + kinds) / rest if kinds < SIZE else 0.0
+        return self.lost[k, context]
+
+    def probability(self, k: int, context: int, byte: int) -> float:
+        """Of a byte after a context of k bytes; k = -1: any symbol."""
+        if k < 0:
+            return 1 / SIZE
+        at = self.seen.get((k, context))
+        if at is None or byte not in at:
+            return self.escape(k, context) * self.probability(k - 1, shorter(k, context), byte)
+        return at[byte] / (sum(at.values()) + (len(at) if len(at) < SIZE else 0))
+
+
+def shorter(k: int, context: int) -> int:
+    """The context without its oldest byte."""
+    return context & (1 << 8 * (k - 1)) - 1 if k > 0 else 0
+
+
+def trees(rows) -> dict[str, Tree]:
+    out: dict[str, Tree] = {}
+    for lang, gram, n in zip(rows["lang"], rows["gram"].tolist(), rows["n"].tolist()):
+        k, gram = gram >> 40, gram & (1 << 40) - 1
+        out.setdefault(lang, Tree()).seen.setdefault((k, gram >> 8), {})[gram & 255] = n
+    return dict(sorted(out.items()))
+
+
+def build(rows) -> Model:
+    found = trees(rows)
+    forest = list(found.values())
+    names = sorted({c for t in forest for c in t.seen})
+    number = {c: i for i, c in enumerate(names)}
+    bits: list[list[float]] = [[np.log2(SIZE)] * len(forest)]
+    row, level = np.zeros((len(names), SIZE), np.int32), np.zeros((len(names), SIZE), np.uint8)
+    escapes = np.zeros((len(names), ORDER + 2, len(forest)))
+    pages2 = np.zeros((SIZE, SIZE), np.int64)  # longest known context of two symbols at most
+    for i, (k, c) in enumerate(names):
+        if k:
+            j = number[k - 1, shorter(k, c)]
+            row[i], level[i], escapes[i] = row[j], level[j], escapes[j]
+        lost = np.array([t.escape(k, c) for t in forest])
+        escapes[i, : k + 1] -= np.log2(np.where(lost > 0, lost, 1.0))
+        escapes[i, k + 1 :] = 0
+        for byte in sorted({b for t in forest for b in t.seen.get((k, c), ())}):
+            row[i, SYMBOL[byte]], level[i, SYMBOL[byte]] = len(bits), k + 1
+            bits.append([-np.log2(t.probability(k, c, byte)) for t in forest])
+        a, b = SYMBOL[c & 255], SYMBOL[c >> 8 & 255]
         if k == 1:
-            table1[at[0]] = number
+            pages2[:, a] = i
         elif k == 2:
-            table2 = np.tile(table1, (size, 1)) if table2 is None else table2
-            table2[at[1], at[0]] = number
-        elif k == 3:
-            table3 = np.tile(table2, (size, 1, 1)) if table3 is None else table3
-            table3[at[2], at[1], at[0]] = number
-    bits = -np.log2(np.stack([probs[k] for k in names]).transpose(0, 2, 1)).astype(np.float32)
-    return Model(languages, symbol.astype(np.int32), table3.reshape(-1), bits.reshape(-1, len(languages)))
-
-
-def train(df: DataFrame, per_language: int = 300, most_contexts: int = 12_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+            pages2[b, a] = i
+    third = [(c, i) for c, i in number.items() if c[0] == ORDER]
+    heads = sorted({shorter(ORDER, c) for (_, c), _ in third})
+    page = np.zeros((SIZE, SIZE), np.int32)
+    plain_pages = np.unique(pages2)  # a page for each shorter context that stands alone, then one for each with longer ones
+    page[:] = np.searchsorted(plain_pages, pages2)
+    pages = [np.full(SIZE, i) for i in plain_pages]
+    for c in heads:
+        a, b = SYMBOL[c & 255], SYMBOL[c >> 8]
+        pages.append(np.full(SIZE, pages2[b, a]))
+        page[b, a] = len(pages) - 1
+    for (_, c), i in third:
+        pages[page[SYMBOL[c >> 8 & 255], SYMBOL[c & 255]]][SYMBOL[c >> 16]] = i
+    flat = lambda x: x.reshape(-1, len(forest)).astype(np.float32)
+    return Model(list(found), page.reshape(-1), np.array(pages, np.int32).reshape(-1), row.reshape(-1), level.reshape(-1), flat(np.array(bits)), flat(escapes))
+
+
+def train(df: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The frozen trees, or None if no row has text and a language."""
     rows = counts(df, per_language, id_col, text_col, lang_col).toPandas()
-    return build(rows, most_contexts) if len(rows) else None
+    return build(rows) if len(rows) else None
 
 
 def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
     """Bits of each text under each language."""
     raw, offs = plain(column)
-    sym, size = model.symbol[raw], int(model.symbol.max()) + 1
-    p1, p2, p3 = before(sym, offs, int(model.symbol[32]))
-    row = model.context[(p3 * size + p2) * size + p1] * size + sym
+    sym = SYMBOL[raw]
+    p1, p2, p3 = before(sym, offs, 0)
+    context = model.pages[model.page[p2 * SIZE + p1] * SIZE + p3]
+    at = context * SIZE + sym
+    row, escaped = model.row[at], context * (ORDER + 2) + model.level[at]
     out = np.empty((len(column), len(model.languages)))
+    ends = np.zeros(len(raw) + 1)
     for k in range(len(model.languages)):
-        ends = np.concatenate([[0.0], np.cumsum(model.bits[row, k], dtype=np.float64)])
+        np.cumsum(model.bits[row, k] + model.escapes[escaped, k], dtype=np.float64, out=ends[1:])
         out[:, k] = ends[offs[1:]] - ends[offs[:-1]]
     return out
 
 
+def parts(column: pa.Array, most: int):
+    """Slices of about so many text bytes, one row at least."""
+    _, offs = utf8(column)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(offs, offs[start] + most, "right")) - 1)
+        yield column.slice(start, stop - start)
+        start = stop
+
+
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns of keep, lang_pred, score (probability of the best language under equal priors)."""
-    frozen = df.sparkSession.sparkContext.broadcast(model)
-    held = [id_col, *keep]
-    sent = held if text_col in held else [*held, text_col]  # the text goes to the workers once
-    at = sent.index(text_col)
+    """Per row: id, the columns of keep, lang_pred, score (probability of the best language under equal priors).
 
-    def run(batches):
-        model = frozen.value
-        for part in chunks(batches, 1 << 20):
-            n = part.num_rows
-            names, score = ["und"] * n, np.zeros(n)
-            known = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
-            if model:
-                bits = code_lengths(model, part.column(at))
-                best = bits.argmin(axis=1)
-                score = np.where(known, 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1), 0.0)
-                names = [model.languages[b] if k else "und" for b, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(held)], pa.array(names, pa.string()), pa.array(score)], [*held, "lang_pred", "score"])
+    Only the text goes to the workers; the other columns stay on the JVM."""
+    frozen = df.sparkSession.sparkContext.broadcast(model)
 
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def told(texts: pa.Array, known: pa.Array) -> pa.Array:
+        model, names, scores = frozen.value, [], []
+        for part in parts(texts, 1 << 20):
+            first = len(names)
+            ok = known.slice(first, len(part)).to_numpy(zero_copy_only=False)
+            if model is None:
+                names += ["und"] * len(part)
+                scores += [0.0] * len(part)
+                continue
+            bits = code_lengths(model, part)
+            best = bits.argmin(axis=1)
+            score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+            names += [model.languages[b] if k else "und" for b, k in zip(best, ok)]
+            scores += np.where(ok, score, 0.0).tolist()
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    bounded_batches(df)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in held)
-    return in_batches(df.select(*sent, letters.alias("_letters")), run, f"{kinds}, lang_pred string, score double")
+    # Not deterministic for the optimizer only: a filter on the result would work it out twice.
+    got = df.select(id_col, *keep, told.asNondeterministic()(F.col(text_col), letters).alias("_told"))
+    return got.select(id_col, *keep, "_told.lang_pred", "_told.score")

@@ -1,12 +1,17 @@
 """SimHash near-duplicates found with BK-trees (operator 6).
 
-Fingerprints within `radius` bits agree in at least one of radius + 1 bit blocks, so the value of a block is the shard
-in which both meet, and every link is found in some shard. A shard is searched with a BK-tree: children hang at their
-Hamming distance to the parent and only edges within the radius of the query's distance are followed. A tree of all
-fingerprints would grow with the corpus, so shards are exchanged by key instead of being broadcast whole. A shard of
-more than `tree_size` fingerprints is split into several trees; each of its fingerprints is then a query against the
-other trees as well. A tree keeps its own components and a query names one member of each component it touches, so a
-group of m mutual links gives about m edges and not m squared. Components are joined up by minimum labels.
+Links of fingerprints (`near_duplicates`). The bits are cut into radius + 2 blocks; fingerprints within `radius` bits
+agree in two of the blocks at least, so the values of each two blocks name the shards in which both meet, and every
+link is found in some shard. A shard is searched with a BK-tree: children hang at their Hamming distance to the parent
+and only edges within the radius of the query's distance are followed. A tree of all fingerprints would grow with the
+corpus, so shards are exchanged by key instead of being broadcast whole. A shard of more than `tree_size` fingerprints
+is cut anew by the bits that its key leaves free (radius + 1 pieces, of which one agrees); what is still larger is
+split into several trees, whose fingerprints are then queries against the shard's other trees as well. A tree keeps
+its own components and a query names one member of each component it touches, so a group of m mutual links gives
+about m edges and not m squared. Components are joined up by minimum labels.
+
+Links of texts (`similar_texts`). Texts of similarity 0.8 differ in about ten bits, too many for blocks of bits. There
+the shards are bands of least shingle hashes, the tree's radius is wide, and each link is verified on the shingles.
 
 Fingerprints are made of 3-word shingles by default, hashed with XXH64 (seed 42); a bit is set if set in over half of
 the shingles, repeats included.
@@ -18,13 +23,18 @@ unless all ids of it are null; other columns are ignored; texts of any length ar
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import chunks, in_batches, written
+from .common import SMALL_IDS, chunks, in_batches, only, words_of, written
+from .substring import tokens
 
 TREE_SIZE = 4096
 
@@ -85,6 +95,20 @@ class BKTree:
                 todo += [kids[k] for k in range(d - radius, d + radius + 1) if k in kids]
         return found
 
+    def nearest(self, value: int, radius: int) -> dict[int, int]:
+        """Of each component that has a member within the radius, the nearest one, by its root."""
+        best: dict[int, tuple[int, int]] = {}
+        todo = [0] if self.values else []
+        while todo:
+            n = todo.pop()
+            d = (self.values[n] ^ value).bit_count()
+            if d <= radius:
+                r = self.root(n)
+                best[r] = min(best.get(r, (d, n)), (d, n))
+            kids = self.children[n]
+            todo += [kids[k] for k in kids if abs(k - d) <= radius]
+        return {r: n for r, (_, n) in best.items()}
+
     def add(self, value: int, roots: set[int]) -> None:
         me = len(self.values)
         self.values.append(value)
@@ -101,26 +125,55 @@ class BKTree:
             n = self.children[n][d]
 
 
+def shards(keyed: DataFrame) -> DataFrame:
+    """keyed (key, ...) with n, the rows of its key; keys of a single row go."""
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def bits(of: str, first: int, width: int) -> F.Column:
+    return F.shiftrightunsigned(of, first).bitwiseAND((1 << width) - 1)
+
+
+def block_keys(distinct: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """(key, n, fp) of all shards; keys are hashes, and a collision only joins two shards."""
+    n = radius + 2
+    edges = [64 * k // n for k in range(n + 1)]
+    block = [bits("fp", a, b - a) for a, b in zip(edges, edges[1:])]
+    pairs = list(combinations(range(n), 2))
+    keys = [F.struct(F.xxhash64(F.lit(k), block[i], block[j]).alias("key"), F.lit(k).alias("of")) for k, (i, j) in enumerate(pairs)]
+    rows = written(shards(distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.of")), "shards")
+    # In a large shard the bits outside of its two blocks are cut anew; at most radius of them differ.
+    free = []
+    for k, (i, j) in enumerate(pairs):
+        left = [b for m, (a, z) in enumerate(zip(edges, edges[1:])) if m not in (i, j) for b in range(a, z)]
+        cuts = [left[len(left) * c // (radius + 1) : len(left) * (c + 1) // (radius + 1)] for c in range(radius + 1)]
+        masks = [sum(1 << b for b in cut) for cut in cuts]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        free.append(F.array(*[F.xxhash64("key", F.lit(c), F.col("fp").bitwiseAND(F.lit(m))) for c, m in enumerate(signed)]))
+    again = F.element_at(F.array(*free), F.col("of") + 1)
+    large = shards(rows.where(F.col("n") > tree_size).select("fp", F.explode(again).alias("key")))
+    return rows.where(F.col("n") <= tree_size).select("key", "n", "fp").unionByName(large.select("key", "n", "fp"))
+
+
+def tree_rows(rows: DataFrame, tree_size: int, node: str) -> DataFrame:
+    """rows (key, n, node, ...) exchanged by key and tree and sorted, members of a tree before the queries from the shard's other trees."""
+    rows = rows.withColumn("trees", F.ceil(F.col("n") / tree_size).cast("int")).withColumn("own", F.pmod(F.xxhash64(node), F.col("trees")).cast("int"))
+    rows = rows.withColumn("tree", F.explode(F.sequence("own", F.col("trees") - 1)))
+    rows = rows.withColumn("query", (F.col("own") != F.col("tree")).cast("int"))
+    return rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "query", node)
+
+
 def links(distinct: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
     """(a, b): edges between different fingerprints that connect what is linked within the radius."""
-    width = 64 // (radius + 1)
-    blocks = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << (width if k < radius else 64 - radius * width)) - 1).alias("value")) for k in range(radius + 1)]
-    keyed = distinct.select("fp", F.explode(F.array(*blocks)).alias("k")).select("fp", "k.block", "k.value")
-    sizes = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    trees = F.ceil(F.col("n") / tree_size).cast("int")
-    rows = keyed.join(sizes, ["block", "value"]).withColumn("trees", trees).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    # Members come before the queries from the shard's other trees; each two trees meet once.
-    rows = rows.select("block", "value", "fp", "own", F.explode(F.sequence("own", F.col("trees") - 1)).alias("tree"))
-    rows = rows.select("block", "value", "tree", (F.col("own") != F.col("tree")).cast("int").alias("query"), "fp")
-    rows = rows.repartition("block", "value", "tree").sortWithinPartitions("block", "value", "tree", "query", "fp")
+    rows = tree_rows(block_keys(distinct, radius, tree_size), tree_size, "fp").select("key", "tree", "query", "fp")
 
     def run(batches):
         now, tree = None, BKTree()
         for batch in batches:
             a, b = [], []
-            for block, value, number, query, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                if (block, value, number) != now:
-                    now, tree = (block, value, number), BKTree()
+            for key, number, query, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, number) != now:
+                    now, tree = (key, number), BKTree()
                 bits = fp & (1 << 64) - 1
                 roots = tree.touched(bits, radius)
                 for r in roots:
@@ -159,3 +212,113 @@ def near_duplicates(df: DataFrame, radius: int = 2, shingle: int = 3, tree_size:
     named = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     of = distinct.join(labels, distinct.fp == labels.node, "left").join(named, "label", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def multipliers(n: int) -> list[int]:
+    """Odd multipliers of the least shingle hashes: from a rule, so that all runs use the same."""
+    return [xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 7) | 1 for k in range(n)]
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the different 5-word shingles; fewer words are one shingle, no words none."""
+    got = np.unique(tokens(text))
+    if len(got) == 0 and (words := words_of(text)):
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    return got
+
+
+def sketches(df: DataFrame, minima: int) -> DataFrame:
+    """(id, kind, fp, least) of rows (id, text): kind names the set of shingles, fp is its SimHash, least its least hashes."""
+    odd = np.array(multipliers(minima), np.uint64)
+
+    def run(batches):
+        for part in chunks(batches, 1 << 20):
+            kinds, fps, least = [], [], []
+            for text in part.column(1).to_pylist():
+                h = shingle_set(text)
+                kinds.append(xxhash.xxh128_digest(h.tobytes()))
+                ones = np.zeros(64, np.int64)
+                low = np.full(minima, (1 << 64) - 1, np.uint64)
+                for k in range(0, len(h), 1 << 14):
+                    some = h[k : k + (1 << 14)]
+                    ones += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    low = np.minimum(low, (some[:, None] * odd).min(axis=0))
+                fps.append(sum(1 << i for i in np.flatnonzero(2 * ones > len(h)).tolist()))
+                least.append((low >> np.uint64(33)).astype(np.int32))
+            flat = pa.array(np.concatenate(least))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1) * minima, pa.int32()), flat)
+            cols = [part.column(0), pa.array(kinds, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "kind", "fp", "least"])
+
+    return in_batches(df.select("id", "text"), run, f"id {df.schema['id'].dataType.simpleString()}, kind binary, fp long, least array<int>")
+
+
+def tree_pairs(rows: DataFrame, radius: int, tree_size: int, kind: str) -> DataFrame:
+    """(a, b) candidates of rows (key, n, id, fp): each row and the nearest member of each component within the radius."""
+    rows = tree_rows(rows, tree_size, "id").select("key", "tree", "query", "id", "fp")
+    ids = to_arrow_type(rows.schema["id"].dataType)
+
+    def run(batches):
+        now, tree, names = None, BKTree(), []
+        for batch in batches:
+            a, b = [], []
+            for key, number, query, doc, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, number) != now:
+                    now, tree, names = (key, number), BKTree(), []
+                value = fp & (1 << 64) - 1
+                found = tree.nearest(value, radius)
+                a += [doc] * len(found)
+                b += [names[n] for n in found.values()]
+                if not query:
+                    tree.add(value, set(found))
+                    names.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], ["a", "b"])
+
+    return in_batches(rows, run, f"a {kind}, b {kind}")
+
+
+def similar_texts(
+    df: DataFrame, similar: float = 0.8, radius: int = 18, bands: int = 10, band: int = 3, tree_size: int = TREE_SIZE, small: int = SMALL_IDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Ids that belong to a group: id, component_id (the smallest id that is reachable over verified links).
+
+    Texts link when their sets of 5-word shingles have a similarity (shared over all) of at least `similar`. Equal sets
+    are one node. Nodes meet in `bands` shards, each named by `band` least hashes, so two texts at 0.8 miss each other
+    with probability (1 - 0.8^3)^10 < 0.001. In a shard, nodes whose least hashes mostly agree with those of the
+    shard's smallest id are paired with it; the others are searched with a BK-tree of the shard's fingerprints, where
+    a text at 0.8 is beyond 18 of 64 bits with probability under 0.005. All pairs are verified on the shingles.
+
+    Defined cases: rows without an id are left out; rows that share an id are one document; texts without words are
+    equal; fewer than five words are one shingle; an empty table gives no row; other columns are ignored.
+    """
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    kind = docs.schema["id"].dataType.simpleString()
+    seen = written(sketches(docs, bands * band), "sketches")
+    nodes = written(seen.groupBy("kind").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.first("fp").alias("fp"), F.first("least").alias("least")), "nodes")
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("least")[band * b + i] for i in range(band)]) for b in range(bands)])
+    rows = nodes.select("id", "fp", "least", F.explode(keys).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "least")).alias("first")).where("n > 1")
+    rows = rows.join(sizes, "key")
+    agree = F.size(F.filter(F.zip_with("least", "first.least", lambda x, y: x == y), lambda x: x))
+    rows = written(rows.select("key", "id", "fp", F.col("first.id").alias("pivot"), (agree >= similar * bands * band).alias("near")), "shards")
+    stars = rows.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    rest = shards(rows.where("not near or id = pivot").select("key", "id", "fp"))
+    pairs = written(stars.unionByName(tree_pairs(rest, radius, tree_size, kind)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = only(docs, needed, "left_semi", small).distinct()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+
+    def verify(batches):
+        sets = lru_cache(maxsize=256)(shingle_set)
+        for batch in chunks(batches, 1 << 20, at=2):
+            good = []
+            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = sets(one), sets(other)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared >= similar * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    edges = in_batches(both.select("a", "b", "one", "other"), verify, f"a {kind}, b {kind}")
+    # A node with copies links their ids as well.
+    copies = seen.join(nodes.where("id <> top").select("kind", F.col("id").alias("a")), "kind").where("id <> a").select("a", F.col("id").alias("b"))
+    return components(edges.unionByName(copies)).select(F.col("node").alias(id_col), F.col("label").alias("component_id"))

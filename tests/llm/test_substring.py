@@ -111,7 +111,7 @@ def test_pipeline_stages(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}")
         df = spark.read.parquet(f"{tmp_path}/{name}")
         kept.append({r.doc_id for r in df.collect()})
-    assert kept[0] == {0, 1, 4, 5, 6, 7} and kept[1] >= {0, 4, 5, 6, 7} and kept[2] == kept[1]
+    assert kept[0] == {0, 1, 4, 5, 6, 7} and kept[1] == {0, 4, 5, 6, 7} and kept[2] == kept[1]  # the text with a word put behind it is a near copy
     assert kept[3] == kept[2] - {6} == kept[4]
     cut = spark.read.parquet(f"{tmp_path}/substring_dedup").where("doc_id = 5").first()
     assert shared.split()[0] not in cut.text and cut.n_chars == len(cut.text)
