@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, decontaminate, langid, simhash, substring
-from barloom.llm.common import shared_dir
+from barloom.llm.common import only, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of linked fingerprints."""
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    """Keeps one document, the one with the smallest id, of each group of texts linked at a similarity of 0.8 (5-word shingles)."""
+    gone = simhash.similar_texts(docs).where("doc_id <> component_id").select("doc_id")
+    return only(docs, gone, "left_anti", on="doc_id").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the benchmark contaminates."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontaminate.decontaminate(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    bad = decontaminate.decontaminate(docs, items).where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return only(docs, bad, "left_anti", on="doc_id").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
