@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SMALL_IDS, chunks, in_batches, only, words_of, written
+from .common import SMALL_IDS, chunks, in_batches, only, with_groups, words_of, written
 from .substring import tokens
 
 TREE_SIZE = 4096
@@ -125,11 +125,6 @@ class BKTree:
             n = self.children[n][d]
 
 
-def shards(keyed: DataFrame) -> DataFrame:
-    """keyed (key, ...) with n, the rows of its key; keys of a single row go."""
-    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-
-
 def bits(of: str, first: int, width: int) -> F.Column:
     return F.shiftrightunsigned(of, first).bitwiseAND((1 << width) - 1)
 
@@ -141,7 +136,7 @@ def block_keys(distinct: DataFrame, radius: int, tree_size: int) -> DataFrame:
     block = [bits("fp", a, b - a) for a, b in zip(edges, edges[1:])]
     pairs = list(combinations(range(n), 2))
     keys = [F.struct(F.xxhash64(F.lit(k), block[i], block[j]).alias("key"), F.lit(k).alias("of")) for k, (i, j) in enumerate(pairs)]
-    rows = written(shards(distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.of")), "shards")
+    rows = written(with_groups(distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.of"), "key"), "shards")
     # In a large shard the bits outside of its two blocks are cut anew; at most radius of them differ.
     free = []
     for k, (i, j) in enumerate(pairs):
@@ -151,7 +146,7 @@ def block_keys(distinct: DataFrame, radius: int, tree_size: int) -> DataFrame:
         signed = [m - (1 << 64) if m >> 63 else m for m in masks]
         free.append(F.array(*[F.xxhash64("key", F.lit(c), F.col("fp").bitwiseAND(F.lit(m))) for c, m in enumerate(signed)]))
     again = F.element_at(F.array(*free), F.col("of") + 1)
-    large = shards(rows.where(F.col("n") > tree_size).select("fp", F.explode(again).alias("key")))
+    large = with_groups(rows.where(F.col("n") > tree_size).select("fp", F.explode(again).alias("key")), "key")
     return rows.where(F.col("n") <= tree_size).select("key", "n", "fp").unionByName(large.select("key", "n", "fp"))
 
 
@@ -296,13 +291,11 @@ def similar_texts(
     seen = written(sketches(docs, bands * band), "sketches")
     nodes = written(seen.groupBy("kind").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.first("fp").alias("fp"), F.first("least").alias("least")), "nodes")
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("least")[band * b + i] for i in range(band)]) for b in range(bands)])
-    rows = nodes.select("id", "fp", "least", F.explode(keys).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "least")).alias("first")).where("n > 1")
-    rows = rows.join(sizes, "key")
+    rows = with_groups(nodes.select("id", "fp", "least", F.explode(keys).alias("key")), "key", F.min(F.struct("id", "least")).alias("first"))
     agree = F.size(F.filter(F.zip_with("least", "first.least", lambda x, y: x == y), lambda x: x))
     rows = written(rows.select("key", "id", "fp", F.col("first.id").alias("pivot"), (agree >= similar * bands * band).alias("near")), "shards")
     stars = rows.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    rest = shards(rows.where("not near or id = pivot").select("key", "id", "fp"))
+    rest = with_groups(rows.where("not near or id = pivot").select("key", "id", "fp"), "key")
     pairs = written(stars.unionByName(tree_pairs(rest, radius, tree_size, kind)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = only(docs, needed, "left_semi", small).distinct()
