@@ -1,11 +1,18 @@
-"""Causal window features: every frame ends at the current bar and counts rows, never time."""
+"""Causal window features: every frame ends at the current bar and counts rows, never time.
+
+A feature is a column builder of its window with its rows of warm-up; the registry holds them under their names. Features
+of one set are computed in one pass over the bars, long or wide. EMA and RSI are recursions and are given as prefix scans.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def series():
     return Window.partitionBy("symbol").orderBy("bar")
 
@@ -20,116 +27,151 @@ def prior(column: str = "close", n: int = 1) -> Column:
 
 def full(value: Column, rows: int) -> Column:
     """value where so many rows have been seen, else null (warm-up)."""
-    return F.when(F.row_number().over(series()) >= rows, value)
+    return F.when(F.col("_r") >= rows, value)
 
 
 def C(name: str) -> Column:
     return F.col(name)
 
 
-def true_range() -> Column:
-    return F.coalesce(F.greatest(C("high") - C("low"), F.abs(C("high") - prior()), F.abs(C("low") - prior())), C("high") - C("low"))
-
-
-def simple_return(n: int = 1) -> Column:
-    return C("close") / prior(n=n) - 1
-
-
-def deviation(column: str, n: int) -> Column:
-    return full(F.stddev_pop(column).over(back(n - 1)), n + 1)
-
-
-def compute(bars: DataFrame, name: str) -> DataFrame:
-    """symbol, bar, value, status (value, warmup or undefined) of one feature of the registry."""
-    base = bars.withColumn("ret", simple_return()).withColumn("lret", F.ln(C("close") / prior())).withColumn("tr", true_range())
-    base = base.withColumn("vol", deviation("ret", 10)).withColumn("vol30", deviation("ret", 30))
-    value, warm = REGISTRY[name]()
-    rows = base.select("symbol", "bar", value.alias("value"), F.row_number().over(series()).alias("r"))
-    status = F.when(F.col("value").isNotNull(), "value").when(F.col("r") <= warm, "warmup").otherwise("undefined")
-    return rows.select("symbol", "bar", F.round("value", 6).alias("value"), status.alias("status"))
-
-
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def breakout() -> Column:
-    high, low = F.max("high").over(back(5, -1)), F.min("low").over(back(5, -1))
-    return full(F.when(C("close") > high, 1.0).when(C("close") < low, -1.0).otherwise(0.0), 6)
-
-
-#: Feature -> (column, rows of warm-up). New features are added here.
-REGISTRY = {
-    "simple_return": lambda: (simple_return(), 1),
-    "log_return": lambda: (C("lret"), 1),
-    "rolling_return": lambda: (simple_return(20), 20),
-    "rate_of_change": lambda: (simple_return(10), 10),
-    "sma": lambda: (full(F.avg("close").over(back(4)), 5), 4),
-    "moving_average_distance": lambda: (full(C("close") / F.avg("close").over(back(4)) - 1, 5), 4),
-    "rolling_volatility": lambda: (C("vol"), 10),
-    "realized_volatility": lambda: (deviation("lret", 10), 10),
-    "true_range": lambda: (C("tr"), 0),
-    "atr": lambda: (full(F.avg("tr").over(back(13)), 14), 13),
-    "rolling_high": lambda: (full(F.max("high").over(back(4)), 5), 4),
-    "rolling_low": lambda: (full(F.min("low").over(back(4)), 5), 4),
-    "range_position": lambda: (full(ratio(C("close") - F.min("low").over(back(4)), F.max("high").over(back(4)) - F.min("low").over(back(4))), 5), 4),
-    "distance_to_previous_high": lambda: (full(C("close") / F.max("high").over(back(5, -1)) - 1, 6), 5),
-    "distance_to_previous_low": lambda: (full(C("close") / F.min("low").over(back(5, -1)) - 1, 6), 5),
-    "breakout_state": lambda: (breakout(), 5),
-    "volatility_ratio": lambda: (ratio(C("vol"), C("vol30")), 30),
-    "dollar_volume": lambda: (C("volume") * C("close"), 0),
-}
-
-
-def recursive(bars: DataFrame, name: str, n: int) -> DataFrame:
-    """ema or rsi: recursions, so each series is walked once in a task; a feature frame can't express them."""
-
-    def ema(close: pd.Series) -> pd.Series:
-        out, now, a = [None] * len(close), None, 2 / (n + 1)
-        for i, c in enumerate(close):
-            if i == n - 1:
-                now = close[:n].mean()
-            elif i >= n:
-                now = a * c + (1 - a) * now
-            out[i] = now
-        return pd.Series(out, dtype="float64")
-
-    def rsi(close: pd.Series) -> pd.Series:
-        d = close.diff()
-        up, down = d.clip(lower=0), -d.clip(upper=0)
-        out, g, l = [None] * len(close), None, None
-        for i in range(n, len(close)):
-            g = up[1 : n + 1].mean() if i == n else (g * (n - 1) + up[i]) / n
-            l = down[1 : n + 1].mean() if i == n else (l * (n - 1) + down[i]) / n
-            out[i] = (100.0 if g else 50.0) if l == 0 else 100 - 100 / (1 + g / l)
-        return pd.Series(out, dtype="float64")
-
-    walk = {"ema": ema, "rsi": rsi}[name]
+def true_range() -> Column:
+    return F.coalesce(F.greatest(C("high") - C("low"), F.abs(C("high") - prior()), F.abs(C("low") - prior())), C("high") - C("low"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bar").reset_index(drop=True)
-        return pd.DataFrame({"symbol": rows.symbol, "bar": rows.bar, "value": walk(rows.close).round(6)})
 
-    return bars.select("symbol", "bar", "close").groupBy("symbol").applyInPandas(run, "symbol string, bar long, value double")
+def simple_return(n: int = 1) -> Column:
+    return ratio(C("close"), prior(n=n)) - 1
 
 
-def volatility_percentile(bars: DataFrame, n: int = 10) -> DataFrame:
-    """Share of the last n volatilities that are at most the current one."""
-    base = bars.withColumn("ret", simple_return()).withColumn("vol", deviation("ret", n))
-    seen = base.withColumn("seen", F.collect_list("vol").over(back(n - 1)))
-    at_most = F.expr("size(filter(seen, x -> x <= vol))") / n
-    return seen.select("symbol", "bar", F.when(F.size("seen") == n, at_most).alias("value"))
+def log_return() -> Column:
+    x = ratio(C("close"), prior())
+    return F.when(x > 0, F.ln(x))
 
 
-def to_wide(long: DataFrame) -> DataFrame:
-    """One row a bar, one column a feature."""
-    return long.groupBy("symbol", "bar").pivot("feature").agg(F.first("value"))
+def deviation(column: str, n: int) -> Column:
+    """Population deviation of the last n values, all of them known."""
+    return F.when(F.count(column).over(back(n - 1)) == n, F.stddev_pop(column).over(back(n - 1)))
+
+
+def prepared(bars: DataFrame) -> DataFrame:
+    """bars with _r (row of the series, from 1), _ret, _lret and _tr."""
+    return bars.withColumns({"_r": F.row_number().over(series()), "_ret": simple_return(), "_lret": log_return(), "_tr": true_range()})
+
+
+def breakout(n: int) -> Column:
+    high, low = F.max("high").over(back(n, -1)), F.min("low").over(back(n, -1))
+    return full(F.when(C("close") > high, 1.0).when(C("close") < low, -1.0).otherwise(0.0), n + 1)
+
+
+def spread_in_range(n: int) -> Column:
+    low, high = F.min("low").over(back(n - 1)), F.max("high").over(back(n - 1))
+    return full(ratio(C("close") - low, high - low), n)
+
+
+def percentile(n: int) -> Column:
+    """Share of the last n volatilities that are at most the current one; frames of frames, so from the column _vol."""
+    seen = F.collect_list("_vol").over(back(n - 1))
+    return F.when(F.size(seen) == n, F.size(F.filter(seen, lambda x: x <= C("_vol"))) / n)
+
+
+Builder = Callable[[int], Column]
+#: Feature -> (column of a window, rows of warm-up of a window, default window, inputs). New features are added here.
+REGISTRY: dict[str, tuple[Builder, Callable[[int], int], int, tuple[str, ...]]] = {
+    "simple_return": (lambda n: C("_ret"), lambda n: 1, 1, ("close",)),
+    "log_return": (lambda n: C("_lret"), lambda n: 1, 1, ("close",)),
+    "rolling_return": (lambda n: simple_return(n), lambda n: n, 20, ("close",)),
+    "rate_of_change": (lambda n: simple_return(n), lambda n: n, 20, ("close",)),
+    "sma": (lambda n: full(F.avg("close").over(back(n - 1)), n), lambda n: n - 1, 20, ("close",)),
+    "moving_average_distance": (lambda n: full(ratio(C("close"), F.avg("close").over(back(n - 1))) - 1, n), lambda n: n - 1, 20, ("close",)),
+    "rolling_volatility": (lambda n: deviation("_ret", n), lambda n: n, 20, ("close",)),
+    "realized_volatility": (lambda n: deviation("_lret", n), lambda n: n, 20, ("close",)),
+    "true_range": (lambda n: C("_tr"), lambda n: 0, 1, ("high", "low", "close")),
+    "atr": (lambda n: full(F.avg("_tr").over(back(n - 1)), n), lambda n: n - 1, 14, ("high", "low", "close")),
+    "rolling_high": (lambda n: full(F.max("high").over(back(n - 1)), n), lambda n: n - 1, 20, ("high",)),
+    "rolling_low": (lambda n: full(F.min("low").over(back(n - 1)), n), lambda n: n - 1, 20, ("low",)),
+    "range_position": (spread_in_range, lambda n: n - 1, 20, ("high", "low", "close")),
+    "distance_to_previous_high": (lambda n: full(ratio(C("close"), F.max("high").over(back(n, -1))) - 1, n + 1), lambda n: n, 20, ("high", "close")),
+    "distance_to_previous_low": (lambda n: full(ratio(C("close"), F.min("low").over(back(n, -1))) - 1, n + 1), lambda n: n, 20, ("low", "close")),
+    "breakout_state": (breakout, lambda n: n, 20, ("high", "low", "close")),
+    "volatility_ratio": (lambda n: ratio(deviation("_ret", n), deviation("_ret", 3 * n)), lambda n: 3 * n, 10, ("close",)),
+    "equity_volume": (lambda n: F.when(C("asset_class").isin("equity", "etf"), C("volume")), lambda n: 0, 1, ("volume",)),
+    "dollar_volume": (lambda n: F.when(C("asset_class").isin("equity", "etf"), C("volume") * C("close")), lambda n: 0, 1, ("volume", "close")),
+}
 
 
-def asof(events: DataFrame, features: DataFrame) -> DataFrame:
-    """events (symbol, t) with the newest feature value (symbol, t, value) at or before t: one sort of the union, no range join."""
-    both = events.select("symbol", "t", F.lit(1).alias("event"), F.lit(None).cast("double").alias("value"), F.col("id")).unionByName(
-        features.select("symbol", "t", F.lit(0).alias("event"), "value", F.lit(None).cast("long").alias("id"))
-    )
-    w = Window.partitionBy("symbol").orderBy("t", "event", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("value", F.last("value", True).over(w)).where("event = 1").select("symbol", "t", "id", "value")
+def status(value: Column, warm: int, inputs: tuple[str, ...]) -> Column:
+    """value, warmup, undefined (all inputs are there) or missing_input."""
+    known = F.lit(True)
+    for c in inputs:
+        known = known & F.col(c).isNotNull()
+    return F.when(value.isNotNull(), "value").when(F.col("_r") <= warm, "warmup").when(known, "undefined").otherwise("missing_input")
+
+
+def compute(bars: DataFrame, name: str, window: int | None = None) -> DataFrame:
+    """symbol, bar, value, status of one feature of the registry; window is its default if not given."""
+    build, warm, default, inputs = REGISTRY[name]
+    n = window or default
+    rows = prepared(bars).withColumn("_value", build(n).cast("double"))
+    return rows.select("symbol", "bar", F.col("_value").alias("value"), status(F.col("_value"), warm(n), inputs).alias("status"))
+
+
+def compute_feature_set(bars: DataFrame, requests: list[tuple[str, int]]) -> DataFrame:
+    """symbol, bar, feature, parameters, value, status of many (feature, window) requests in one pass over the bars; a request twice is refused."""
+    if len(set(requests)) != len(requests):
+        raise ValueError("a feature is requested twice with the same parameters")
+    rows = prepared(bars)
+    rows = rows.withColumns({f"_v{i}": REGISTRY[name][0](n).cast("double") for i, (name, n) in enumerate(requests)})
+    each = [
+        F.struct(F.lit(name).alias("feature"), F.lit(f"window={n}").alias("parameters"), F.col(f"_v{i}").alias("value"), status(F.col(f"_v{i}"), REGISTRY[name][1](n), REGISTRY[name][3]).alias("status"))
+        for i, (name, n) in enumerate(requests)
+    ]
+    return rows.select("symbol", "bar", F.inline(F.array(*each)))
+
+
+def features_wide(long: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """One row a bar and one column a (feature, parameters) of names, called feature_parameters; the names are given, so nothing is looked up first."""
+    at = lambda f, p: F.max(F.when((F.col("feature") == f) & (F.col("parameters") == p), F.col("value")))
+    return long.groupBy("symbol", "bar").agg(*[at(f, p).alias(f"{f}_{p}".replace("=", "")) for f, p in names])
+
+
+def smoothed(rows: DataFrame, x: str, start: str, first: int, keep: float, take: float) -> DataFrame:
+    """rows (symbol, bar, _r) with `x` smoothed: the column start at row `first`, then keep * last + take * x.
+
+    Within blocks of rows, last_k = keep^k * sum(x_j / keep^j); a block takes over the end of the block before, whose own
+    beginning has decayed below a double's precision by then. Null before `first`."""
+    size = max(1, min(4096, int(230 / -math.log(keep)))) if 0 < keep < 1 else 1
+    k = F.col("_r") - first
+    rows = rows.withColumns({"_b": F.when(k >= 0, F.floor(k / size)), "_k": F.pmod(k, F.lit(size))})
+    put = F.when(k == 0, F.col(start)).otherwise(take * F.col(x)) / F.pow(F.lit(keep), F.col("_k"))
+    inside = Window.partitionBy("symbol", "_b").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.when(F.col("_b").isNotNull(), F.pow(F.lit(keep), F.col("_k")) * F.sum(put).over(inside)))
+    ends = rows.where("_b is not null").groupBy("symbol", "_b").agg(F.max_by("_own", "bar").alias("_end"))
+    ends = ends.select("symbol", "_b", F.coalesce(F.lag("_end").over(Window.partitionBy("symbol").orderBy("_b")), F.lit(0.0)).alias("_from"))
+    rows = rows.join(ends, ["symbol", "_b"], "left")
+    return rows.withColumn(x, F.when(F.col("_b").isNotNull(), F.col("_own") + F.pow(F.lit(keep), F.col("_k") + 1) * F.col("_from"))).drop("_b", "_k", "_own", "_from")
+
+
+def ema(bars: DataFrame, n: int) -> DataFrame:
+    """symbol, bar, value: mean of the first n closes, then 2 / (n + 1) of the close and the rest of the last value."""
+    rows = bars.select("symbol", "bar", F.col("close").cast("double").alias("value"), F.row_number().over(series()).alias("_r"))
+    rows = rows.withColumn("_start", F.avg("value").over(back(n - 1)))
+    return smoothed(rows, "value", "_start", n, (n - 1) / (n + 1), 2 / (n + 1)).select("symbol", "bar", "value")
+
+
+def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
+    """symbol, bar, value: Wilder means of gains and losses, begun with the means of the first n; no loss is 100, or 50 without a gain."""
+    rows = bars.select("symbol", "bar", (F.col("close") - prior()).alias("d"), F.row_number().over(series()).alias("_r"))
+    rows = rows.withColumns({"up": F.greatest("d", F.lit(0.0)), "down": F.greatest(-F.col("d"), F.lit(0.0))}).withColumns({"_up": F.avg("up").over(back(n - 1)), "_down": F.avg("down").over(back(n - 1))})
+    for x in ("up", "down"):
+        rows = smoothed(rows, x, f"_{x}", n + 1, (n - 1) / n, 1 / n)
+    told = F.when(F.col("down") == 0, F.when(F.col("up") == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.col("up") / F.col("down")))
+    return rows.select("symbol", "bar", told.alias("value"))
+
+
+def volatility_percentile(bars: DataFrame, n: int = 20) -> DataFrame:
+    """symbol, bar, value: share of the last n volatilities (of n returns each) that are at most the current one."""
+    rows = prepared(bars).withColumn("_vol", deviation("_ret", n))
+    return rows.select("symbol", "bar", percentile(n).alias("value"))

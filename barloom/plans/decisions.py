@@ -25,8 +25,8 @@ def averaged(s: SparkSession, d: str) -> DataFrame:
     on = ["symbol", "bar"]
     out = b.select(*on, "close", F.col("spread_close").alias("spread"), (F.floor(F.col("bar") / HOUR) % 50 == 0).alias("bad"))
     for name, n in (("fast", 10), ("slow", 30)):
-        out = out.join(X.recursive(b, "ema", n).withColumn("value", F.when(~F.isnan("value"), F.col("value"))).withColumnRenamed("value", name), on)
-    return out.join(X.volatility_percentile(b).withColumnRenamed("value", "percentile"), on)
+        out = out.join(r6(X.ema(b, n), "value").withColumnRenamed("value", name), on)
+    return out.join(X.volatility_percentile(b, 10).withColumnRenamed("value", "percentile"), on)
 
 
 def ema_sql(name: str, n: int) -> str:

@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, us, row_no, bid, ask, volume."""
+    """symbol, us, row_no, bid, ask, bid_volume, ask_volume."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("symbol"), micros("ts").alias("us"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"), (F.col("value") + k / 10000).alias("ask"), k.alias("volume")
+        F.col("event_type").alias("symbol"), micros("ts").alias("us"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"), (F.col("value") + k / 10000).alias("ask"), k.alias("bid_volume"), (k + 1).alias("ask_volume")
     )
 
 
