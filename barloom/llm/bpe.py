@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -85,8 +86,8 @@ class Transducer:
                 node = self.child[node << 8 | byte]
             self.token[node] = i
         self.follows = Recent(MOST_PAIRS)  # before << 32 | token -> 1 or 2 (no or yes)
-        self.split: dict[int, tuple[int, int] | None] = {}
-        self.edges: dict[int, tuple[int, ...]] = {}
+        #: What makes a token, by its id: -2 not looked at yet, -1 nothing (a byte or an odd string).
+        self.left, self.right = (array("i", [-2]) * (max(self.names) + 1) for _ in range(2))
         #: Strings that the merges alone never make; they only stand as whole pre-tokens.
         self.odd = {i for i, name in self.names.items() if len(name) > 1 and self.halves(i) is None}
         self.known = Recent(MOST_PIECES)
@@ -113,32 +114,28 @@ class Transducer:
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
-        if token not in self.split:
-            name, self.split[token] = self.names[token], None
-            if len(name) > 1:
-                parts = self.merged(name, below=token)
-                self.split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
-        return self.split[token]
-
-    def edge(self, token: int, side: int) -> tuple[int, ...]:
-        """The tokens that stand at one end of a token while it is being merged, each followed by the rank that ends it."""
-        if (token << 1 | side) not in self.edges:
-            out, until, now = [], 1 << 40, token
-            while True:
-                out += [now, until]
-                if (both := self.halves(now)) is None:
-                    break
-                until, now = now, both[side]
-            self.edges[token << 1 | side] = tuple(out)
-        return self.edges[token << 1 | side]
+        if self.left[token] == -2:
+            name = self.names[token]
+            parts = self.merged(name, below=token) if len(name) > 1 else []
+            self.left[token], self.right[token] = parts if len(parts) == 2 else (-1, -1)
+        return None if self.left[token] < 0 else (self.left[token], self.right[token])
+
+    def edge(self, token: int, side: int):
+        """The tokens that stand at one end of a token while it is being merged, each with the rank that ends it."""
+        until = 1 << 40
+        while True:
+            yield token, until
+            if (both := self.halves(token)) is None:
+                return
+            until, token = token, both[side]
 
     def crossed(self, before: int, token: int) -> bool:
         """Whether some merge joins an end piece of before with an end piece of token."""
-        names, ids = self.names, self.ids
-        lefts, rights = self.edge(before, 1), self.edge(token, 0)
-        for left, left_ends in zip(lefts[::2], lefts[1::2]):
-            for right, right_ends in zip(rights[::2], rights[1::2]):
-                rank = ids.get(names[left] + names[right])
+        names, ids, rights = self.names, self.ids, list(self.edge(token, 0))
+        for left, left_ends in self.edge(before, 1):
+            name = names[left]
+            for right, right_ends in rights:
+                rank = ids.get(name + names[right])
                 # Of equal ranks the leftmost merge comes first.
                 if rank is not None and left < rank < left_ends and right < rank <= right_ends:
                     return True
