@@ -3,7 +3,8 @@
 A file is a Parquet part that Spark writes, so that commits, retries and remote stores are Spark's business. Each of
 its rows is one block: `payload` holds the ids of whole documents at the fewest bits that the vocabulary needs, bit
 0 first; `doc_ids` and `offsets` (little-endian 64-bit, one offset more than documents) say where each document's ids
-begin, so that any document, or any id, can be read without the ones before it; `part` and `part_start` place the
+begin, so that any document, or any id, can be read without the ones before it; `least_id` and `largest_id` let readers
+skip blocks by the files' statistics; `part` and `part_start` place the
 block in the whole sequence, which is in ascending order of the document id. `bits` and `n_ids` make the block
 self-describing.
 
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .bpe import expand
 from .common import chunks, in_batches, utf8
-from .pretoken import pieces
+from .pretoken import classes, pieces
 from .token_counts import byte_letters
 
 MOST_PIECES = 300_000
-SCHEMA = "part int, block int, part_start long, bits int, n_docs int, n_ids long, doc_ids binary, null_ids binary, offsets binary, payload binary"
+SCHEMA = "part int, block int, part_start long, bits int, n_docs int, n_ids long, least_id long, largest_id long, doc_ids binary, null_ids binary, offsets binary, payload binary"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -76,8 +77,8 @@ class LibraryEncoder:
                 known[t] = tuple([x.id for x in model.tokenize("".join([letters[b] for b in t.encode()]))])
         return [known[t] for t in texts]
 
-    def chunk(self, column: pa.Array) -> list[np.ndarray]:
-        found, starts = pieces(*utf8(column), words=False)
+    def chunk(self, column: pa.Array, table: np.ndarray) -> list[np.ndarray]:
+        found, starts = pieces(*utf8(column), words=False, table=table)
         ids, edges = expand(found, self.encode(found.dictionary.to_pylist()))
         at = edges[starts]
         out = [ids[a:b] for a, b in zip(at, at[1:])]
@@ -95,6 +96,7 @@ def encoder(path: str) -> LibraryEncoder:
 def write_ids(df: DataFrame, out: str, path: str, vocabulary: int, end_id: int = 0, block_ids: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each text, appends end_id and writes the blocks to the folder out in ascending order of id_col."""
     bits = max(1, (vocabulary - 1).bit_length())
+    table = df.sparkSession.sparkContext.broadcast(classes("tokenizers"))
 
     def run(batches):
         part, block, done = TaskContext.get().partitionId(), 0, 0
@@ -105,15 +107,16 @@ def write_ids(df: DataFrame, out: str, path: str, vocabulary: int, end_id: int =
             edges = np.concatenate([[0], np.cumsum(size)]).astype("<i8")
             named = np.array([d or 0 for d in docs], "<i8").tobytes()
             nulls = np.packbits([d is None for d in docs]).tobytes()
-            values = [part, block, done, bits, len(docs), int(edges[-1]), named, nulls, edges.tobytes(), pack(np.concatenate(ids), bits)]
+            known = [d for d in docs if d is not None]
+            values = [part, block, done, bits, len(docs), int(edges[-1]), min(known, default=None), max(known, default=None), named, nulls, edges.tobytes(), pack(np.concatenate(ids), bits)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
         i32, i64, raw = pa.int32(), pa.int64(), pa.binary()
-        types = [i32, i32, i64, i32, i32, i64, raw, raw, raw, raw]
+        types = [i32, i32, i64, i32, i32, i64, i64, i64, raw, raw, raw, raw]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         held = 0
         for chunk in chunks(batches):
-            for doc, got in zip(chunk.column(0).to_pylist(), encoder(path).chunk(chunk.column(1))):
+            for doc, got in zip(chunk.column(0).to_pylist(), encoder(path).chunk(chunk.column(1), table.value)):
                 docs.append(doc)
                 ids.append(np.append(got, np.uint32(end_id)))
                 held += len(ids[-1])
@@ -123,7 +126,9 @@ def write_ids(df: DataFrame, out: str, path: str, vocabulary: int, end_id: int =
         if docs:
             yield row()
 
-    ordered = df.select(F.col(id_col).cast("long"), text_col).repartitionByRange(F.col(id_col).asc()).sortWithinPartitions(id_col, text_col)
+    # The text's hash is part of the range, so that an id that many rows share is spread; a number beside it splits equal rows.
+    ordered = df.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col).alias("_h"), F.monotonically_increasing_id().alias("_r"))
+    ordered = ordered.repartitionByRange(F.col(id_col).asc(), "_h", "_r").sortWithinPartitions(id_col, "_h", "_r").select(id_col, text_col)
     in_batches(ordered, run, SCHEMA).write.parquet(out)
 
 
@@ -159,9 +164,16 @@ def _before():
 
 
 def read_one(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:
-    """Random access: the ids of each document with this id; only the blocks that may hold it are unpacked."""
-    found = []
-    for r in spark.read.parquet(out).toLocalIterator():
-        docs, edges = np.frombuffer(r.doc_ids, "<i8"), np.frombuffer(r.offsets, "<i8")
-        found += [unpack(r.payload, r.bits, edges[i], edges[i + 1]) for i in np.flatnonzero(docs == doc_id)]
-    return found
+    """Random access: the ids of each document with this id. The files' statistics skip blocks that can't hold it, and only the slices asked for are unpacked, in the tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                docs, edges = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["offsets"], "<i8")
+                null = np.unpackbits(np.frombuffer(r["null_ids"], np.uint8))[: r["n_docs"]].astype(bool)
+                for i in np.flatnonzero((docs == doc_id) & ~null):
+                    ids = unpack(r["payload"], r["bits"], int(edges[i]), int(edges[i + 1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["ids"])
+
+    blocks = spark.read.parquet(out).where((F.col("least_id") <= doc_id) & (F.col("largest_id") >= doc_id))
+    return [np.frombuffer(r.ids, "<u4") for r in in_batches(blocks, run, "ids binary").collect()]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, in_batches, utf8
-from .pretoken import pieces
+from .pretoken import classes, pieces
 
 #: Bounds of what a worker remembers; each entry takes 100 to 400 bytes.
 MOST_STATES = 250_000
@@ -296,9 +296,9 @@ def token_bytes(path: str) -> list[bytes]:
     return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
 
 
-def encode_chunk(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_chunk(column: pa.Array, path: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk, and where each text's ids start (one more than texts)."""
-    found, starts = pieces(*utf8(column), words=False)
+    found, starts = pieces(*utf8(column), words=False, table=table)
     ids, edges = expand(found, transducer(path).encode(found.dictionary.to_pylist()))
     return ids, edges[starts]
 
@@ -313,10 +313,11 @@ def decode_blocks(blocks, names: list[bytes]):
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids binary): the ids of each text as little-endian unsigned 32-bit integers."""
+    table = df.sparkSession.sparkContext.broadcast(classes("tiktoken"))
 
     def run(batches):
         for part in chunks(batches, 1 << 20):
-            ids, at = encode_chunk(part.column(1), path)
+            ids, at = encode_chunk(part.column(1), path, table.value)
             ids = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], [id_col, "ids"]
@@ -343,11 +344,12 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", block: int = 1 << 1
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 and decoded_sha256 (of the decoded bytes), all computed where the text lies."""
+    table = df.sparkSession.sparkContext.broadcast(classes("tiktoken"))
 
     def run(batches):
         names = token_bytes(path)
         for part in chunks(batches, 1 << 20):
-            ids, at = encode_chunk(part.column(1), path)
+            ids, at = encode_chunk(part.column(1), path, table.value)
             ids, hashes, back = ids.astype("<u4"), [], []
             for a, b in zip(at, at[1:]):
                 hashes.append(hashlib.sha256(ids[a:b].tobytes()).hexdigest())

@@ -7,24 +7,41 @@ before a run and at seven contractions, so the cuts can be computed with numpy o
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-#: Code points with the White_Space property (fixed values).
-WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What an apostrophe makes one token with (fixed values).
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 
+def everything() -> str:
+    """All code points that text can hold, in order."""
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
 @functools.cache
-def classes() -> np.ndarray:
-    """Class of every code point."""
-    kind = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[WHITE] = SPACE
+def classes(library: str) -> np.ndarray:
+    """Class of every code point as the library's own patterns see it (their Unicode tables are of different age).
+
+    Asked once on the driver and sent to the tasks: a megabyte, whatever the data."""
+    table = np.zeros(0x110000, np.uint8)
+    text = everything()
+    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+        if library == "tiktoken":
+            import tiktoken
+
+            # What no pattern matches is left out of the encoding, so that the matches come back.
+            probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+            table[[ord(c) for c in probe.decode(probe.encode_ordinary(text))]] = kind
+        else:
+            from tokenizers import Regex
+            from tokenizers.pre_tokenizers import Split
+
+            for _, (start, stop) in Split(Regex(pattern + "+"), behavior="removed", invert=True).pre_tokenize_str(text):
+                table[points[start:stop]] = kind
     return table
 
 
@@ -44,7 +61,7 @@ def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, cp
 
 
-def cuts(raw: np.ndarray, offs: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+def cuts(raw: np.ndarray, offs: np.ndarray, words: bool, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts of pre-tokens, and which of them are kept.
 
     words False: the byte-level pattern, where all is kept and a blank joins the run after it.
@@ -54,7 +71,7 @@ def cuts(raw: np.ndarray, offs: np.ndarray, words: bool) -> tuple[np.ndarray, np
     n = len(at)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    cls = classes()[cp]
+    cls = table[cp]
     first = np.zeros(n, bool)  # first character of a document
     first[np.searchsorted(at, offs[:-1][offs[:-1] < len(raw)])] = True
     prev = np.empty_like(cls)
@@ -91,9 +108,9 @@ def cuts(raw: np.ndarray, offs: np.ndarray, words: bool) -> tuple[np.ndarray, np
     return at[begin], cls[begin] != SPACE if words else np.ones(len(begin), bool)
 
 
-def pieces(raw: np.ndarray, offs: np.ndarray, words: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The kept pre-tokens of a chunk, dictionary-encoded, and for each document where its pre-tokens start (one more than documents)."""
-    begin, keep = cuts(raw, offs, words)
+def pieces(raw: np.ndarray, offs: np.ndarray, words: bool, table: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """table: class of each code point. The kept pre-tokens of a chunk, dictionary-encoded, and for each document where its pre-tokens start (one more than documents)."""
+    begin, keep = cuts(raw, offs, words, table)
     edges = np.append(begin, len(raw)).astype(np.int32)
     found = pa.StringArray.from_buffers(len(begin), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw)))
     if words:

@@ -1,8 +1,10 @@
 """Token counts with a whole-token shortcut (operator 10).
 
-The vocabulary is worked through once: a string that ends a word is *proven* when the merges turn it alone into one
-token. Pre-tokens that are proven strings count one each and are found by one vectorised membership test; only the
-rest is merged, each different pre-token once. A text that holds a special string is counted by the library itself.
+The vocabulary is worked through once on the driver, before any text is read: a string that ends a word is *proven* when
+the merges turn it alone into one token. The proven strings are sent to the tasks (at most the vocabulary). Pre-tokens
+that are proven strings count one each and are found by one vectorised membership test; only the rest is merged, each
+different pre-token once. A text that holds a special string is counted by the library itself. Classes of characters
+and the normal form of texts beyond U+02FF come from the library, whose Unicode tables are newer than Python's.
 
 Defined cases: null text is empty and has 0 bytes and 0 tokens; repeated rows each give a row; other columns are
 ignored; texts of any length are counted whole.
@@ -12,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import chunks, in_batches, utf8
-from .pretoken import pieces
+from .pretoken import classes, pieces
 
 END = "</w>"
 MOST_PIECES = 300_000
@@ -35,17 +36,22 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordMerges:
-    """Merges of a vocabulary with word ends, and the strings proven to be one token."""
+    """Merges of a vocabulary with word ends."""
 
     def __init__(self, path: str):
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.letters = byte_letters()
-        letter_bytes = {c: b for b, c in self.letters.items()}
+        self.vocabulary = model["vocab"]
         self.known: dict[str, int] = {}
-        self.proven = []
-        for token in model["vocab"]:
+
+    def proven(self) -> list[str]:
+        """Texts that the merges turn into one token."""
+        letter_bytes = {c: b for b, c in self.letters.items()}
+        out = []
+        for token in self.vocabulary:
             if not token.endswith(END) or not all(c in letter_bytes for c in token[: -len(END)]):
                 continue
             try:
@@ -53,7 +59,8 @@ class WordMerges:
             except UnicodeDecodeError:  # no pre-token is part of a character
                 continue
             if text and self.merge(text) == 1:
-                self.proven.append(text)
+                out.append(text)
+        return out
 
     def merge(self, text: str) -> int:
         """How many tokens the merges leave of a pre-token."""
@@ -85,9 +92,13 @@ class WordMerges:
 
 
 @functools.cache
-def merges(path: str) -> tuple[WordMerges, pa.Array]:
-    model = WordMerges(path)
-    return model, pa.array(model.proven, pa.string())
+def merges(path: str) -> WordMerges:
+    return WordMerges(path)
+
+
+@functools.cache
+def proof(path: str) -> list[str]:
+    return merges(path).proven()
 
 
 @functools.cache
@@ -97,24 +108,26 @@ def library(path: str):
     return Tokenizer.from_file(path), [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
 
 
-def normal(column: pa.Array) -> pa.Array:
-    """NFC, then each character in lower case by itself (a capital sigma never becomes a final one)."""
+def normal(column: pa.Array, path: str) -> pa.Array:
+    """The library's normal form; up to U+02FF it is each character in lower case."""
     raw, offs = utf8(column)
     if not len(raw) or raw.max() < 0x80:
         low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
         return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(low))
-    texts = (t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in column.fill_null("").to_pylist())
-    return pa.array([t.replace("Σ", "σ").lower() for t in texts], pa.large_string())
+    told = library(path)[0].normalizer.normalize_str
+    return pa.array([t.lower() if t.isascii() or max(t) <= "\u02ff" else told(t) for t in column.fill_null("").to_pylist()], pa.large_string())
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+    sent = df.sparkSession.sparkContext.broadcast((proof(path), classes("tokenizers")))
 
     def run(batches):
-        model, proven = merges(path)
+        model, (strings, table) = merges(path), sent.value
+        proven = pa.array(strings, pa.string())
         tokenizer, specials = library(path)
         for part in chunks(batches):
-            found, starts = pieces(*utf8(normal(part.column(1))), words=True)
+            found, starts = pieces(*utf8(normal(part.column(1), path)), words=True, table=table)
             one = pc.is_in(found.dictionary, value_set=proven).to_numpy(zero_copy_only=False)
             each = np.ones(len(one), np.int64)
             rest = np.flatnonzero(~one)
