@@ -143,3 +143,9 @@ def quote_fills(orders: DataFrame, quotes: DataFrame, slip: float) -> DataFrame:
     price = quote + F.when(F.col("kind") == "limit", 0.0).when(F.col("side") == "buy", slip).otherwise(-slip)
     rows = rows.select("id", F.col("fill_bar").alias("fill_us"), quote.alias("quote"), price.alias("price"), "expires")
     return rows.where("price > 0 and (expires is null or fill_us < expires)").drop("expires")
+
+
+def features_exact(bars: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bars (symbol, bar) with the feature value of exactly that bar, keys that have it more than once: an error of the feature table)."""
+    twice = features.groupBy("symbol", "bar").count().where("count > 1").select("symbol", "bar")
+    return bars.join(features.select("symbol", "bar", "value"), ["symbol", "bar"]), bars.join(twice, ["symbol", "bar"], "left_semi")
