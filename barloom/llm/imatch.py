@@ -1,17 +1,19 @@
 """Document fingerprints by I-Match with randomised lexicons (operator 8); DataFrame functions only.
 
 The lexicon keeps the terms whose document frequency lies in a band: too rare terms are noise, too frequent ones say
-nothing. Each of `subsets` random lexicons keeps every `1 / sparse`-th term of it, chosen by a hash of term and subset.
-Per subset, a document's distinct terms are sorted and hashed; the fingerprint is the sequence of these hashes, and the
-likeness of two fingerprints is the share of equal hashes among the subsets in which either has a term. A document
-without any kept term falls back to the hash of all its distinct terms, in every subset.
+nothing. Each of `subsets` random lexicons keeps a share of it, chosen by a hash of term and subset; the shares go down
+in steps of two (1/16, 1/32, ... `levels` steps, then again), so that a text of any length has lexicons of which it
+holds about one term. Per subset, a document's distinct terms are sorted and hashed; the fingerprint is the sequence of
+these hashes, and the likeness of two fingerprints is the share of equal hashes among the subsets in which either has
+a term. A document without any kept term falls back to the hash of all its distinct terms, in every subset.
 
 The number of terms in the band is at most (mean distinct terms a document) / low, whatever the number of documents;
 it is counted and the lexicon is broadcast only up to `small` terms, else joined by shuffle.
 
 Defined cases: null text is empty; texts without words share one fingerprint; equal texts have equal fingerprints;
-other columns are ignored. The next document of a row is found by ascending id with the ids in blocks of `block`, so no
-task holds all ids; rows that share an id stand in the order of their texts' hashes.
+other columns are ignored; ids are integers (anything that casts to long; other texts raise). Rows stand in ascending id
+order, null ids first, and rows that share an id in the order of their texts' hashes; repeated rows follow each other,
+so all but the last of them are followed by their own text. The order is found in ranges of ids, so no task holds all.
 """
 
 from __future__ import annotations
@@ -21,33 +23,35 @@ from pyspark.sql import functions as F
 
 from .common import word_array, written
 
+KEY = ["k", "t"]
 
-def lexicon(docs: DataFrame, low: float, high: float, subsets: int, sparse: int, text_col: str) -> DataFrame:
+
+def lexicon(docs: DataFrame, low: float, high: float, subsets: int, levels: int, text_col: str) -> DataFrame:
     """(term, subset) of the band, over all documents."""
     n = docs.count()
     term = F.explode(F.array_distinct(word_array(F.col(text_col))))
     df = docs.select(term.alias("word")).select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n)))
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda j: F.pmod(F.xxhash64(F.col("term"), j), F.lit(sparse)) == 0)
-    return band.select("term", F.explode(chosen).alias("subset"))
+    chosen = [F.when(F.pmod(F.xxhash64("term", F.lit(j)), F.lit(16 << j % levels)) == 0, F.lit(j)) for j in range(subsets)]
+    return band.select("term", F.explode(F.array_compact(F.array(*chosen))).alias("subset"))
 
 
-def fingerprints(texts: DataFrame, kept: DataFrame, subsets: int, by: list[str], carry: list[str], text_col: str) -> DataFrame:
-    """by, carry and prints (array of one hash a subset, null where no term is kept) for each group of by."""
+def fingerprints(texts: DataFrame, kept: DataFrame, subsets: int, by: list[str], text_col: str) -> DataFrame:
+    """by and prints (array of one hash a subset, null where no term is kept) for each row of texts, whose by is unique."""
     words = F.sort_array(F.array_distinct(word_array(F.col(text_col))))
-    rows = texts.select(*by, *carry, words.alias("words"))
-    rows = rows.select(*by, *carry, "words", F.xxhash64(F.array_join("words", " ")).alias("all"))
-    # Nothing of the array is named beside the explode: what is would be worked out again for each of its rows.
-    rows = rows.select(*by, *carry, "all", F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("word"))
-    # The empty word stands for the document itself, so that documents without kept terms stay.
+    # Nothing but the keys is carried beside the words; the empty word stands for the document, so that all stay.
+    rows = texts.select(*by, words.alias("words")).select(*by, F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("word"))
     rows = rows.withColumn("term", F.when(F.col("word") != "", F.xxhash64("word")).otherwise(F.lit(0)))
-    terms = rows.join(kept, "term").groupBy(*by, "subset").agg(
-        F.xxhash64(F.array_join(F.sort_array(F.collect_list("word")), " ")).alias("print"), *[F.first(c).alias(c) for c in carry], F.first("all").alias("all")
-    )
-    found = terms.groupBy(*by).agg(F.collect_list(F.when(F.col("subset") >= 0, F.struct("subset", "print"))).alias("got"), *[F.first(c).alias(c) for c in carry], F.first("all").alias("all"))
+    hashed = F.xxhash64(F.array_join(F.sort_array(F.collect_list("word")), " "))
+    terms = rows.join(kept, "term").groupBy(*by, "subset").agg(hashed.alias("print"))
+    found = terms.groupBy(*by).agg(F.collect_list(F.when(F.col("subset") >= 0, F.struct("subset", "print"))).alias("got"))
     of = F.map_from_entries("got")
-    each = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda j: F.when(F.size("got") == 0, F.col("all")).otherwise(F.try_element_at(of, j)))
-    return found.select(*by, *carry, each.alias("prints"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda j: F.try_element_at(of, j))
+    return found.select(*by, F.when(F.size("got") > 0, each).alias("prints"))
+
+
+def whole_hash(text: Column) -> Column:
+    return F.xxhash64(F.array_join(F.sort_array(F.array_distinct(word_array(text))), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -60,55 +64,62 @@ def shown(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda x: F.when(x.isNull(), "--------").otherwise(F.lower(F.substring(F.lpad(F.hex(x), 16, "0"), 9, 8)))), "")
 
 
-def followers(ids: DataFrame, block: int) -> DataFrame:
-    """(k, t, n_chars) with the next row's nk, nt and the row before's pk, pt, p_chars, in ascending order; the last is followed by the first."""
-    cut = ids.withColumn("block", F.floor(F.col("k") / block))
-    w = Window.partitionBy("block").orderBy("k", "t", "r")
-    me = F.struct("k", "t", "r", "n_chars")
+def followers(ids: DataFrame) -> DataFrame:
+    """ids (k, t, n_chars, copies; k and t unique) with nk, nt of the next row and pk, pt, p_chars of the row before, in ascending order; the last is followed by the first."""
+    ranged = ids.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("part", F.spark_partition_id())
+    cut = written(ranged, "ranges")  # the number of a range is kept as it was dealt
+    me = F.struct("k", "t", "n_chars")
+    w = Window.partitionBy("part").orderBy(*KEY)
     inside = cut.withColumn("next", F.lead(me).over(w)).withColumn("prev", F.lag(me).over(w))
-    ends = cut.groupBy("block").agg(F.min(me).alias("first"), F.max(me).alias("last"))
-    over = Window.orderBy("block")  # one row for each block of ids, not for each document
-    whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select(
-        "block", F.coalesce(F.lead("first").over(over), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(over), F.last("last").over(whole)).alias("ahead")
-    )
-    return inside.join(ends, "block").select("k", "t", "r", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "ahead").alias("prev"))
+    ends = cut.groupBy("part").agg(F.min(me).alias("first"), F.max(me).alias("last"))
+    over = Window.orderBy("part")  # one row for each range, not for each document
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("part", F.coalesce(F.lead("first").over(over), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(over), F.last("last").over(whole)).alias("ahead"))
+    rows = inside.join(F.broadcast(ends), "part").withColumns({"next": F.coalesce("next", "after"), "prev": F.coalesce("prev", "ahead")})
+    return rows.select(*KEY, "n_chars", "copies", F.col("next.k").alias("nk"), F.col("next.t").alias("nt"), F.col("prev.k").alias("pk"), F.col("prev.t").alias("pt"), F.col("prev.n_chars").alias("p_chars"))
 
 
 def fingerprint_edits(
-    docs: DataFrame, low: float = 0.002, high: float = 0.2, subsets: int = 32, sparse: int = 32, small: int = 500_000, block: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, low: float = 0.002, high: float = 0.2, subsets: int = 32, levels: int = 8, small: int = 500_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    k = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(k.alias("k"), F.xxhash64(text).alias("t"), F.monotonically_increasing_id().alias("r"), text.alias("text"))
-    ids = written(rows.select("k", "t", "r", F.length("text").cast("long").alias("n_chars")), "ids")
-    line = written(followers(ids, block), "order")
-    key = ["k", "t", "r"]
+    # Equal rows are one until the end: a row is named by its id and its text's hash, both of which any scan gives again.
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
+    ids = rows.groupBy(*KEY).agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
+    line = written(followers(ids), "order")
+    texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
     # What a row gives to the one before it: as many first characters as that one loses.
-    heads = line.select(*key, F.col("prev.k").alias("pk"), F.col("prev.t").alias("pt"), F.col("prev.r").alias("pr"), F.floor(F.col("prev.n_chars") / 4).cast("int").alias("m"))
-    heads = rows.join(heads.hint("shuffle_hash"), key).select(F.col("pk").alias("k"), F.col("pt").alias("t"), F.col("pr").alias("r"), F.expr("left(text, m)").alias("head"))
-    n = F.length("text")
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head"))
-    pairs = rows.join(heads.hint("shuffle_hash"), key).select(*key, n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
-    both = pairs.select(*key, "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    both = both.select(*key, "n_chars", "edited_sha256", "x.kind", "x.text")
-    kept = written(lexicon(docs, low, high, subsets, sparse, text_col), "lexicon")
+    part = F.floor(F.col("n_chars") / 4).cast("int")
+    given = texts.join(line, KEY)
+    given = given.select(*KEY, "n_chars", "copies", "text", "pk", "pt", F.expr("left(text, cast(floor(p_chars / 4) as int))").alias("head"))
+    heads = given.select(F.col("pk").alias("k"), F.col("pt").alias("t"), "head")
+    kept_part = F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))")
+    mine = given.select(*KEY, "n_chars", "copies", "text").join(heads, KEY)
+    last = F.concat(kept_part, F.col("head"))
+    again = F.concat(kept_part, F.expr("left(text, cast(floor(length(text) / 4) as int))"))
+    # kind 0: the text; 1: edited by the next row; 2: edited by its own text, where the same row follows.
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("x")), F.struct(F.lit(1).alias("kind"), last.alias("x")), F.struct(F.lit(2).alias("kind"), F.when(F.col("copies") > 1, again).alias("x")))
+    each = written(mine.select(*KEY, F.inline(kinds)).where("x is not null"), "texts")
+    kept = written(lexicon(docs, low, high, subsets, levels, text_col), "lexicon")
     size = kept.count()
     kept = kept.union(kept.sparkSession.createDataFrame([(0, -1)], "term long, subset int"))
-    kept = F.broadcast(kept) if size <= small else kept
-    prints = fingerprints(both, kept, subsets, [*key, "kind"], ["n_chars", "edited_sha256"], "text")
-    own = prints.groupBy(*key).agg(
-        F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"),
-        F.max(F.when(F.col("kind") == 0, F.col("prints"))).alias("prints"), F.max(F.when(F.col("kind") == 1, F.col("prints"))).alias("edited"),
-    )
+    prints = fingerprints(each, F.broadcast(kept) if size <= small else kept, subsets, [*KEY, "kind"], "x")
+    # Who has no kept term shows the hash of all its terms in every subset.
+    told = each.select(*KEY, "kind", F.when(F.col("kind") > 0, F.sha2("x", 256)).alias("sha"), whole_hash(F.col("x")).alias("all")).join(prints, [*KEY, "kind"])
+    told = told.select(*KEY, "kind", "sha", F.coalesce("prints", F.array_repeat("all", subsets)).alias("prints"))
+    at = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
+    own = told.groupBy(*KEY).agg(at("prints", 0).alias("prints"), at("prints", 1).alias("edited"), at("sha", 1).alias("sha"), at("prints", 2).alias("edited_again"), at("sha", 2).alias("sha_again"))
     own = written(own, "prints")
-    following = line.select(*key, F.col("next.k").alias("nk"), F.col("next.t").alias("nt"), F.col("next.r").alias("nr"))
-    other = own.select(F.col("k").alias("nk"), F.col("t").alias("nt"), F.col("r").alias("nr"), F.col("prints").alias("next_prints"))
-    out = own.join(following, key).join(other, ["nk", "nt", "nr"])
+    other = own.select(F.col("k").alias("nk"), F.col("t").alias("nt"), F.col("prints").alias("next_prints"))
+    out = own.join(line.select(*KEY, "n_chars", "copies", "nk", "nt"), KEY).join(other, ["nk", "nt"])
+    # The last of equal rows is followed by the next document, the ones before it by themselves.
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    out = out.withColumn("copy", copy).withColumn("same", F.col("copy") < F.col("copies"))
+    pick = lambda a, b: F.when(F.col("same"), F.col(a)).otherwise(F.col(b))
+    edited, following = pick("edited_again", "edited"), pick("prints", "next_prints")
     doc = F.when(F.col("k") != -(1 << 63), F.col("k")).cast(docs.schema[id_col].dataType)
     return out.select(
-        doc.alias(id_col), "n_chars", "edited_sha256", shown(F.col("prints")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("prints"), F.col("edited")).alias("near_edited"), likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
+        doc.alias(id_col), "n_chars", pick("sha_again", "sha").alias("edited_sha256"), shown(F.col("prints")).alias("fingerprint"), shown(edited).alias("edited_fingerprint"),
+        likeness(F.col("prints"), edited).alias("near_edited"), likeness(F.col("prints"), following).alias("near_next"),
     )

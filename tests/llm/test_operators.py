@@ -13,7 +13,7 @@ import xxhash
 import zlib
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, imatch, langid, licenses, sharding, simhash
+from barloom.llm import common, decontaminate, imatch, langid, licenses, sharding, simhash
 
 RNG = random.Random(9)
 VOCAB = ["mit", "license", "apache", "general", "public", "licensed", "under", "the", "version", "2", "0", "É", "copyright", "c", "all", "rights", "reserved", "x"]
@@ -169,22 +169,63 @@ def test_decontamination_equals_sql(spark):
     assert not any(r.contaminated for r in decontaminate.decontaminate(df, items.limit(0)).collect())
 
 
-def test_imatch_contract(spark):
-    words = [f"t{i}" for i in range(80)]
-    texts = TEXTS[:40] + [" ".join(RNG.choices(words, k=80)) for _ in range(60)] + ["日本 語 é"] * 2
-    got = rows(imatch.fingerprint_edits(frame(spark, texts), low=0.05, high=0.9, block=16))
-    assert len(got) == len(texts)
-    for i, text in enumerate(texts):
-        text, following = text or "", texts[(i + 1) % len(texts)] or ""
-        m = len(text) // 4
-        edited = text[: len(text) - m] + following[:m]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if (texts[(i + 1) % len(texts)] or "") == text:
-            assert r.near_next == 1
-    by_text = {}
-    for i, r in got.items():
-        assert by_text.setdefault(texts[i] or "", r.fingerprint) == r.fingerprint
-    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()])
+def spark_hash(spark, values, *more):
+    """xxhash64 as Spark computes it, asked of Spark."""
+    df = spark.createDataFrame([(v,) for v in values], "v string" if not values or isinstance(values[0], str) else "v long")
+    return [r.h for r in df.select(F.xxhash64("v", *more).alias("h")).collect()]
+
+
+def imatch_words(text):
+    return sorted({w.decode() for w in common.words_of(text)}, key=lambda w: w.encode())
+
+
+def brute_prints(spark, texts, corpus, low, high, subsets, levels):
+    """Fingerprints of texts: the hashes of sorted kept terms a subset, or of all terms where none is kept."""
+    df = {}
+    for t in corpus:
+        for w in imatch_words(t):
+            df[w] = df.get(w, 0) + 1
+    band = [w for w, n in df.items() if max(2, low * len(corpus)) <= n <= max(2, high * len(corpus))]
+    term = dict(zip(band, spark_hash(spark, band)))
+    kept = [set() for _ in range(subsets)]
+    for j in range(subsets):
+        kept[j] = {w for w, h in zip(band, spark_hash(spark, [term[w] for w in band], F.lit(j))) if h % (16 << j % levels) == 0}
+    lines, at = {}, []
+    for t in texts:
+        words = imatch_words(t)
+        row = [" ".join(w for w in words if w in kept[j]) or None for j in range(subsets)]
+        at.append(row if any(row) else [" ".join(words)] * subsets)
+    for row in at:
+        for x in row:
+            lines[x] = None
+    names = [x for x in lines if x is not None]
+    lines.update(zip(names, spark_hash(spark, names)))
+    return [[None if x is None else lines[x] for x in row] for row in at]
+
+
+def brute_likeness(a, b):
+    told = [x == y for x, y in zip(a, b) if x is not None or y is not None]
+    return sum(told) / len(told) if told else 1.0
+
+
+def test_imatch_equals_brute_force(spark):
+    words = [f"t{i}" for i in range(300)]
+    texts = TEXTS[:40] + [" ".join(RNG.choices(words, k=RNG.randrange(1, 400))) for _ in range(60)] + ["日本 語 é"] * 2 + ["longer text " * 30_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id here"), (50, texts[50]), (50, texts[50]), (51, "another text of the same id")]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, kind string, k int").repartition(5)
+    t_hash = spark_hash(spark, [t or "" for _, t in rows])
+    line = sorted(range(len(rows)), key=lambda n: (rows[n][0] is not None, rows[n][0] or 0, t_hash[n]))
+    ordered = [(rows[n][0], rows[n][1] or "") for n in line]
+    edited = [t[: len(t) - len(t) // 4] + ordered[(n + 1) % len(ordered)][1][: len(t) // 4] for n, (_, t) in enumerate(ordered)]
+    args = {"low": 0.02, "high": 0.9, "subsets": 12, "levels": 3}
+    prints = brute_prints(spark, [t for _, t in ordered] + edited, [t for _, t in ordered], **args)
+    own, changed = prints[: len(ordered)], prints[len(ordered) :]
+    show = lambda p: "".join("--------" if x is None else f"{x & (1 << 64) - 1:016x}"[8:] for x in p)
+    want = sorted(
+        (-1 if d is None else d, len(t), hashlib.sha256(edited[n].encode()).hexdigest(), show(own[n]), show(changed[n]), round(brute_likeness(own[n], changed[n]), 9), round(brute_likeness(own[n], own[(n + 1) % len(ordered)]), 9))
+        for n, (d, t) in enumerate(ordered)
+    )
+    got = imatch.fingerprint_edits(df, **args).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+    assert np.mean([r.near_edited for r in got]) > 2 * np.mean([r.near_next for r in got])
     assert imatch.fingerprint_edits(frame(spark, [])).count() == 0
