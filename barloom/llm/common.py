@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -29,19 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below spark.checkpoint.dir; only where that is unset (tests) below a local one."""
+    """A new folder path below spark.checkpoint.dir. Where that is unset, a local folder serves a local master only: executors of a cluster would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "barloom-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/barloom-shared"
     return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage and survives lost executors. made: gets the table's path, for `sweep`."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if made is not None:
+        made.append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def sweep(spark: SparkSession, made: list[str], *keep: DataFrame) -> None:
+    """Deletes the tables of made but for keep: what is built on them has been written itself by now."""
+    kept = {t._written_at for t in keep}
+    for path in [p for p in made if p not in kept]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # each table has a folder of its own
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        made.remove(path)
 
 
 def bounded_batches(df: DataFrame) -> None:
@@ -65,13 +78,13 @@ def only(df: DataFrame, ids: DataFrame, how: str, small: int = SMALL_IDS, on: st
     return df.join(F.broadcast(ids) if ids.count() <= small else ids, on, how)
 
 
-def with_groups(rows: DataFrame, key: str, *aggregates: F.Column) -> DataFrame:
+def with_groups(rows: DataFrame, key: str, *aggregates: F.Column, made: list[str] | None = None) -> DataFrame:
     """rows with n and other aggregates of the rows of the same key; keys of a single row go.
 
     A key that holds over a thousandth of all grouped rows is joined by broadcast (there are a thousand of them at
     most), so that no task holds a hot key's rows; the others are joined by shuffle.
     """
-    groups = written(rows.groupBy(key).agg(F.count("*").alias("n"), *aggregates).where("n > 1"), "groups")
+    groups = written(rows.groupBy(key).agg(F.count("*").alias("n"), *aggregates).where("n > 1"), "groups", made)
     most = (groups.agg(F.sum("n")).first()[0] or 0) // 1000
     hot, cold = groups.where(F.col("n") > most), groups.where(F.col("n") <= most)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")

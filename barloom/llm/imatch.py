@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_array, written
+from .common import sweep, word_array, written
 
 KEY = ["k", "t"]
 
@@ -64,10 +64,10 @@ def shown(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda x: F.when(x.isNull(), "--------").otherwise(F.lower(F.substring(F.lpad(F.hex(x), 16, "0"), 9, 8)))), "")
 
 
-def followers(ids: DataFrame) -> DataFrame:
+def followers(ids: DataFrame, made: list[str]) -> DataFrame:
     """ids (k, t, n_chars, copies; k and t unique) with nk, nt of the next row and pk, pt, p_chars of the row before, in ascending order; the last is followed by the first."""
     ranged = ids.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("part", F.spark_partition_id())
-    cut = written(ranged, "ranges")  # the number of a range is kept as it was dealt
+    cut = written(ranged, "ranges", made)  # the number of a range is kept as it was dealt
     me = F.struct("k", "t", "n_chars")
     w = Window.partitionBy("part").orderBy(*KEY)
     inside = cut.withColumn("next", F.lead(me).over(w)).withColumn("prev", F.lag(me).over(w))
@@ -87,7 +87,8 @@ def fingerprint_edits(
     # Equal rows are one until the end: a row is named by its id and its text's hash, both of which any scan gives again.
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
     ids = rows.groupBy(*KEY).agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
-    line = written(followers(ids), "order")
+    made: list[str] = []
+    line = written(followers(ids, made), "order", made)
     texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
     # What a row gives to the one before it: as many first characters as that one loses.
     part = F.floor(F.col("n_chars") / 4).cast("int")
@@ -100,8 +101,8 @@ def fingerprint_edits(
     again = F.concat(kept_part, F.expr("left(text, cast(floor(length(text) / 4) as int))"))
     # kind 0: the text; 1: edited by the next row; 2: edited by its own text, where the same row follows.
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("x")), F.struct(F.lit(1).alias("kind"), last.alias("x")), F.struct(F.lit(2).alias("kind"), F.when(F.col("copies") > 1, again).alias("x")))
-    each = written(mine.select(*KEY, F.inline(kinds)).where("x is not null"), "texts")
-    kept = written(lexicon(docs, low, high, subsets, levels, text_col), "lexicon")
+    each = written(mine.select(*KEY, F.inline(kinds)).where("x is not null"), "texts", made)
+    kept = written(lexicon(docs, low, high, subsets, levels, text_col), "lexicon", made)
     size = kept.count()
     kept = kept.union(kept.sparkSession.createDataFrame([(0, -1)], "term long, subset int"))
     prints = fingerprints(each, F.broadcast(kept) if size <= small else kept, subsets, [*KEY, "kind"], "x")
@@ -110,7 +111,8 @@ def fingerprint_edits(
     told = told.select(*KEY, "kind", "sha", F.coalesce("prints", F.array_repeat("all", subsets)).alias("prints"))
     at = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     own = told.groupBy(*KEY).agg(at("prints", 0).alias("prints"), at("prints", 1).alias("edited"), at("sha", 1).alias("sha"), at("prints", 2).alias("edited_again"), at("sha", 2).alias("sha_again"))
-    own = written(own, "prints")
+    own = written(own, "prints", made)
+    sweep(docs.sparkSession, made, line, own)
     other = own.select(F.col("k").alias("nk"), F.col("t").alias("nt"), F.col("prints").alias("next_prints"))
     out = own.join(line.select(*KEY, "n_chars", "copies", "nk", "nt"), KEY).join(other, ["nk", "nt"])
     # The last of equal rows is followed by the next document, the ones before it by themselves.

@@ -1,7 +1,7 @@
 """Sharding by histogram sort (operator 4); DataFrame functions only.
 
 The sort key of a row is (hash of its text, hash of its id, row number), so equal texts lie together and even one
-text that fills a third of all bytes can be cut. Candidate boundaries are the prefixes of the key, 16 bits at a time:
+text that fills a third of all bytes can be cut. Candidate boundaries are the prefixes of the key, 8 bits at a time:
 one aggregation counts the exact bytes below each of them, and only prefixes that still straddle a wanted splitter are
 refined in the next round, until what is left uncertain is within the tolerance. Then each row compares its key with
 the splitters and the rows are exchanged once, by (shard, slice of the shard), to number them. A shard has as many
@@ -10,7 +10,7 @@ slices as its rows need, so no task ever holds a whole shard.
 Law `bytes`: sizes of shards differ from the mean by the tolerance and one row at most. Size is UTF-8 bytes plus 16.
 
 Defined cases: null text has size 16 and the checksum of the empty text; repeated rows are placed one by one; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored; null ids are placed like any other.
 """
 
 from __future__ import annotations
@@ -20,16 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-DIGITS = 12  # of 16 bits: four each of text hash, id hash, row number
-LIMIT = 1 << 16
+WIDTH = 8  # bits of a digit
+EACH = 64 // WIDTH  # digits each of text hash, id hash, row number
+DIGITS = 3 * EACH
+LIMIT = 1 << WIDTH
 
 
 def digit(k: int) -> Column:
-    return F.shiftrightunsigned(F.col(("h", "g", "r")[k // 4]), 48 - 16 * (k % 4)).bitwiseAND(LIMIT - 1).cast("int")
+    return F.shiftrightunsigned(F.col(("h", "g", "r")[k // EACH]), 64 - WIDTH * (k % EACH + 1)).bitwiseAND(LIMIT - 1).cast("int")
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[list[int]]:
-    """For each inner boundary the key prefix at which the next shard starts. At most shards - 1 prefixes are refined in a round, so what reaches the driver is bounded by shards times 65,536 counts."""
+    """For each inner boundary the key prefix at which the next shard starts. At most shards - 1 prefixes are refined in a round, so what reaches the driver is bounded by shards times 256 counts."""
     total = keys.agg(F.sum("size")).first()[0] or 0
     wanted = {k: total * k / shards for k in range(1, shards)}
     slack = tolerance * total / shards
@@ -46,9 +48,9 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[list[int]]
             rows = keys.where(F.concat_ws(",", *prefix).isin([",".join(map(str, p)) for p in groups]))
         else:
             tied = F.lit("").alias("prefix")
-        counted = rows.groupBy(tied, digit(depth).alias("d")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("prefix", "d").collect()
+        counted = rows.groupBy(tied, digit(depth).alias("d")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
         found: dict[str, list[tuple[int, int, int]]] = {}
-        for row in counted:
+        for row in sorted(counted, key=lambda r: (r.prefix, r.d)):
             found.setdefault(row.prefix, []).append((row.d, row.bytes, row.rows))
         following: dict[tuple[int, ...], tuple[float, list[int]]] = {}
         for p, (below, open_) in groups.items():
@@ -73,9 +75,9 @@ def at_least(cut: list[int]) -> Column:
     """Whether a row's key is at or behind a boundary: words of the key compared as unsigned numbers."""
     padded = cut + [0] * (DIGITS - len(cut))
     words = []
-    for w in range((len(cut) + 3) // 4):
+    for w in range((len(cut) + EACH - 1) // EACH):
         value = 0
-        for d in padded[4 * w : 4 * w + 4]:
+        for d in padded[EACH * w : EACH * (w + 1)]:
             value = value * LIMIT + d
         words.append(value)
     test = F.lit(True)

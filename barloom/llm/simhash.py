@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SMALL_IDS, chunks, in_batches, only, with_groups, words_of, written
+from .common import SMALL_IDS, chunks, in_batches, only, sweep, with_groups, words_of, written
 from .substring import tokens
 
 TREE_SIZE = 4096
@@ -129,14 +129,14 @@ def bits(of: str, first: int, width: int) -> F.Column:
     return F.shiftrightunsigned(of, first).bitwiseAND((1 << width) - 1)
 
 
-def block_keys(distinct: DataFrame, radius: int, tree_size: int) -> DataFrame:
+def block_keys(distinct: DataFrame, radius: int, tree_size: int, made: list[str]) -> DataFrame:
     """(key, n, fp) of all shards; keys are hashes, and a collision only joins two shards."""
     n = radius + 2
     edges = [64 * k // n for k in range(n + 1)]
     block = [bits("fp", a, b - a) for a, b in zip(edges, edges[1:])]
     pairs = list(combinations(range(n), 2))
     keys = [F.struct(F.xxhash64(F.lit(k), block[i], block[j]).alias("key"), F.lit(k).alias("of")) for k, (i, j) in enumerate(pairs)]
-    rows = written(with_groups(distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.of"), "key"), "shards")
+    rows = written(with_groups(distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.of"), "key", made=made), "shards", made)
     # In a large shard the bits outside of its two blocks are cut anew; at most radius of them differ.
     free = []
     for k, (i, j) in enumerate(pairs):
@@ -146,7 +146,7 @@ def block_keys(distinct: DataFrame, radius: int, tree_size: int) -> DataFrame:
         signed = [m - (1 << 64) if m >> 63 else m for m in masks]
         free.append(F.array(*[F.xxhash64("key", F.lit(c), F.col("fp").bitwiseAND(F.lit(m))) for c, m in enumerate(signed)]))
     again = F.element_at(F.array(*free), F.col("of") + 1)
-    large = with_groups(rows.where(F.col("n") > tree_size).select("fp", F.explode(again).alias("key")), "key")
+    large = with_groups(rows.where(F.col("n") > tree_size).select("fp", F.explode(again).alias("key")), "key", made=made)
     return rows.where(F.col("n") <= tree_size).select("key", "n", "fp").unionByName(large.select("key", "n", "fp"))
 
 
@@ -158,9 +158,9 @@ def tree_rows(rows: DataFrame, tree_size: int, node: str) -> DataFrame:
     return rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "query", node)
 
 
-def links(distinct: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
+def links(distinct: DataFrame, radius: int, tree_size: int, made: list[str]) -> DataFrame:
     """(a, b): edges between different fingerprints that connect what is linked within the radius."""
-    rows = tree_rows(block_keys(distinct, radius, tree_size), tree_size, "fp").select("key", "tree", "query", "fp")
+    rows = tree_rows(block_keys(distinct, radius, tree_size, made), tree_size, "fp").select("key", "tree", "query", "fp")
 
     def run(batches):
         now, tree = None, BKTree()
@@ -183,25 +183,31 @@ def links(distinct: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> D
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, label): the smallest node of each component, by minimum labels with pointer jumping. Each round is written to the shared folder."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    """(node, label): the smallest node of each component, by minimum labels with pointer jumping. Each round is written to the shared folder, and the one before it removed."""
+    made: list[str] = []
+    spark = edges.sparkSession
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges", made)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", made)
     for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        new = written(lower.join(up, "label", "left").select("node", F.least("label", "upper").alias("label"), "old"), "labels")
+        new = written(lower.join(up, "label", "left").select("node", F.least("label", "upper").alias("label"), "old"), "labels", made)
+        sweep(spark, made, both, new)
         labels = new.select("node", "label")
         if not new.where("label != old").limit(1).count():
+            sweep(spark, made, new)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, shingle: int = 3, tree_size: int = TREE_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (smallest id that is reachable over links)."""
-    prints = written(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    made: list[str] = []
+    prints = written(fingerprints(df, shingle, id_col, text_col), "fingerprints", made)
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
-    labels = components(links(distinct, radius, tree_size))
+    labels = components(links(distinct, radius, tree_size, made))
+    sweep(df.sparkSession, made, prints)
     # Nodes are fingerprints; their smallest document over the whole component names it.
     linked = distinct.join(labels, distinct.fp == labels.node)
     named = linked.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -288,15 +294,18 @@ def similar_texts(
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     kind = docs.schema["id"].dataType.simpleString()
-    seen = written(sketches(docs, bands * band), "sketches")
-    nodes = written(seen.groupBy("kind").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.first("fp").alias("fp"), F.first("least").alias("least")), "nodes")
+    made: list[str] = []
+    spark = df.sparkSession
+    seen = written(sketches(docs, bands * band), "sketches", made)
+    nodes = written(seen.groupBy("kind").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.first("fp").alias("fp"), F.first("least").alias("least")), "nodes", made)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("least")[band * b + i] for i in range(band)]) for b in range(bands)])
-    rows = with_groups(nodes.select("id", "fp", "least", F.explode(keys).alias("key")), "key", F.min(F.struct("id", "least")).alias("first"))
+    rows = with_groups(nodes.select("id", "fp", "least", F.explode(keys).alias("key")), "key", F.min(F.struct("id", "least")).alias("first"), made=made)
     agree = F.size(F.filter(F.zip_with("least", "first.least", lambda x, y: x == y), lambda x: x))
-    rows = written(rows.select("key", "id", "fp", F.col("first.id").alias("pivot"), (agree >= similar * bands * band).alias("near")), "shards")
+    rows = written(rows.select("key", "id", "fp", F.col("first.id").alias("pivot"), (agree >= similar * bands * band).alias("near")), "shards", made)
     stars = rows.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    rest = with_groups(rows.where("not near or id = pivot").select("key", "id", "fp"), "key")
-    pairs = written(stars.unionByName(tree_pairs(rest, radius, tree_size, kind)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    rest = with_groups(rows.where("not near or id = pivot").select("key", "id", "fp"), "key", made=made)
+    pairs = written(stars.unionByName(tree_pairs(rest, radius, tree_size, kind)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs", made)
+    sweep(spark, made, seen, nodes, pairs)
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = only(docs, needed, "left_semi", small).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
@@ -314,4 +323,6 @@ def similar_texts(
     edges = in_batches(both.select("a", "b", "one", "other"), verify, f"a {kind}, b {kind}")
     # A node with copies links their ids as well.
     copies = seen.join(nodes.where("id <> top").select("kind", F.col("id").alias("a")), "kind").where("id <> a").select("a", F.col("id").alias("b"))
-    return components(edges.unionByName(copies)).select(F.col("node").alias(id_col), F.col("label").alias("component_id"))
+    labels = components(edges.unionByName(copies))
+    sweep(spark, made)
+    return labels.select(F.col("node").alias(id_col), F.col("label").alias("component_id"))

@@ -125,6 +125,18 @@ def test_shards_are_balanced_and_gapless(spark):
             assert (abs(size - mean) <= 2 * most + 0.01 * mean).all(), size
 
 
+def test_shards_of_odd_rows(spark):
+    """Null ids, repeated rows, one text of half of all bytes, clashing columns: slots stay gapless and sizes near equal."""
+    rows = [(None, "a"), (None, "a"), *[(5, "same")] * 60, *[(i, f"text {i}") for i in range(200)], (9, "x" * 3000)]
+    df = spark.createDataFrame([(i, t, 1, "l") for i, t in rows], "doc_id long, text string, shard int, law string").repartition(3)
+    got = sharding.shard(df, shards=5, tolerance=0.01, slice_rows=20).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size) for r in got) == sorted((i is not None, i or 0, len(t) + 16) for i, t in rows)
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(5)]
+    assert max(sizes) - min(sizes) <= 2 * 3016
+
+
 def brute_fingerprint(text):
     raw = (text or "").encode()
     words = [w for w in bytes(c + 32 if 65 <= c <= 90 else c for c in raw).replace(b"\n", b" ").split(b" ") if w]
@@ -165,6 +177,11 @@ def test_decontamination_equals_sql(spark):
     for w in want.to_dict("records"):
         r = got[w["doc_id"]]
         assert {c: r[c] for c in w} == w
+    assert any(r.n_near > r.n_items for r in got.values())
+    # rows without an id, repeated rows, an id of two texts and a text of a million words
+    odd = [(None, line), (None, "x"), (7, line), (7, line), (7, "other"), (8, "word " * 1_000_000 + line)]
+    told = decontaminate.decontaminate(spark.createDataFrame([(i, t, "c", 1) for i, t in odd], "doc_id long, text string, term string, n_hit int"), items).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in told) == [(0, 1, 0, False), (0, 40, 40, True), (7, 1, 0, False), (7, 40, 40, True), (7, 40, 40, True), (8, 1_000_040, 40, False)]
     assert decontaminate.decontaminate(df.limit(0), items).count() == 0
     assert not any(r.contaminated for r in decontaminate.decontaminate(df, items.limit(0)).collect())
 
