@@ -35,8 +35,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the benchmark contaminates."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontaminate.decontaminate(docs, items).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return only(docs, bad, "left_anti", on="doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    told = decontaminate.decontaminate(docs, items).where("contaminated")
+    # A row is named by its id, if it has one, and its text's hash.
+    bad = told.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k"), F.col("text_xxhash64").alias("_t")).distinct()
+    named = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return only(named, bad, "left_anti", on=["_k", "_t"]).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
