@@ -56,28 +56,41 @@ def block_bootstrap_paths(returns: DataFrame, replications: int, block: int, see
     return ranked.groupBy("symbol").agg(*[rank_value("v", p).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.avg((F.col("v") <= 0).cast("double")).alias("p_loss"))
 
 
-def fold_schedule(start: Column, train: int, forward: int, folds: int, oos: Column, rolling: int | None = None) -> Column:
-    """Array of folds (fold, train_start, train_end, test_end): each test follows its training, and none reaches the locked period."""
+def fold_schedule(start: Column, train: int, forward: int, folds: int, oos: Column, rolling: int | None = None, validation: int = 0, purge: int = 0, embargo: int = 0) -> Column:
+    """Array of folds (fold, train_start, train_end, validation_end, test_start, test_end) of one plan; a plan whose last test would enter the locked period is refused: null.
+
+    Each training is followed by a validation of that length, a purge and the test; the next fold begins an embargo later."""
 
     def one(i: Column) -> Column:
-        end = start + train + i * forward
+        end = start + train + i * (forward + embargo)
         first = start if rolling is None else end - rolling
-        return F.struct(i.alias("fold"), first.alias("train_start"), end.alias("train_end"), (end + forward).alias("test_end"))
+        test = end + validation + purge
+        return F.struct(i.alias("fold"), first.alias("train_start"), end.alias("train_end"), (end + validation).alias("validation_end"), test.alias("test_start"), (test + forward).alias("test_end"))
 
     made = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), one)
-    return F.filter(made, lambda f: (f["test_end"] <= oos) & (f["train_start"] >= start))
+    fits = (start + train < oos) & (start + train + (folds - 1) * (forward + embargo) + validation + purge + forward <= oos)
+    return F.when(fits, made)
 
 
 def assign_folds(rows: DataFrame, schedules: DataFrame) -> DataFrame:
-    """Role of each row (symbol, bar) in each fold of its symbol; rows outside of a fold are left out."""
+    """Role of each row (symbol, bar) in each fold of its symbol: train, validation or test; rows outside (purged ones too) are left out. A symbol has few folds."""
     both = rows.select("symbol", "bar").join(schedules, "symbol").select("symbol", "bar", F.explode("folds").alias("f"))
-    role = F.when((F.col("bar") >= F.col("f.train_start")) & (F.col("bar") < F.col("f.train_end")), "train").when((F.col("bar") >= F.col("f.train_end")) & (F.col("bar") < F.col("f.test_end")), "test")
+    inside = lambda a, z: (F.col("bar") >= F.col(f"f.{a}")) & (F.col("bar") < F.col(f"f.{z}"))
+    role = F.when(inside("train_start", "train_end"), "train").when(inside("train_end", "validation_end"), "validation").when(inside("test_start", "test_end"), "test")
     return both.select("symbol", "bar", F.col("f.fold").alias("fold"), role.alias("role")).where("role is not null")
 
 
+def fold_findings(folds: DataFrame) -> DataFrame:
+    """Folds (symbol, fold, test_start, test_end) that are out of order or overlap the fold before them, or run outside the period (period_start, period_end)."""
+    w = Window.partitionBy("symbol").orderBy("fold")
+    rows = folds.withColumn("before", F.lag("test_end").over(w)).withColumn("earlier", F.lag("test_start").over(w))
+    code = F.when(F.col("test_start") < F.col("earlier"), "out_of_order").when(F.col("test_start") < F.col("before"), "overlaps").when((F.col("test_start") < F.col("period_start")) | (F.col("test_end") > F.col("period_end")), "outside_period")
+    return rows.select("symbol", "fold", code.alias("code")).where("code is not null")
+
+
 def walk_forward_summary(folds: DataFrame) -> DataFrame:
     """folds: symbol, fold, first_close, last_close of the test part. Mean and worst return, and how many folds lose."""
-    ret = F.col("last_close") / F.col("first_close") - 1
+    ret = F.try_divide(F.col("last_close"), F.col("first_close")) - 1
     return folds.groupBy("symbol").agg(F.count("*").alias("folds"), F.avg(ret).alias("mean_return"), F.min(ret).alias("worst_return"), F.count_if(ret <= 0).alias("losing"))
 
 

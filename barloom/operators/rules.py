@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import commission, session_open
+from barloom.functions.columns import commission, finite, session_open
 
 
 def regime_states(rows: DataFrame, separation: float = 0.001, low: float = 0.25, high: float = 0.75, most_spread: float = 0.002) -> DataFrame:
-    """symbol, bar, data_session, trend, volatility, liquidity of rows (symbol, bar, close, spread, fast, slow, percentile, bad).
+    """symbol, bar, data_session, trend, volatility, liquidity of rows (symbol, bar, close, spread, fast, slow, percentile, bad; asset_class and volume if equities are among them, which need a volume).
 
     bad: an error is known for the bar. A null feature is warm-up; a closed session, an error or an unusable feature
     makes trend and volatility unavailable and liquidity unknown.
@@ -23,7 +23,8 @@ def regime_states(rows: DataFrame, separation: float = 0.001, low: float = 0.25,
     strength = (fast - slow) / F.abs(slow)
     trend = F.when(strength > separation, "trending_up").when(strength < -separation, "trending_down").otherwise("neutral")
     vol = F.when(pct < low, "low").when(pct > high, "high").otherwise("normal")
-    liquidity = F.when(F.col("spread").isNull() | (F.col("close") <= 0), "unknown").when(F.col("spread") / F.col("close") > most_spread, "stressed").otherwise("normal")
+    lacks = (F.col("asset_class") != "forex") & ~F.coalesce(F.col("volume") > 0, F.lit(False)) if "asset_class" in rows.columns else F.lit(False)
+    liquidity = F.when(F.col("spread").isNull() | (F.col("close") <= 0) | lacks, "unknown").when(F.col("spread") / F.col("close") > most_spread, "stressed").otherwise("normal")
     active = F.col("data_session") == "active"
     return rows.withColumn("data_session", session).select(
         "symbol", "bar", "data_session", F.when(active, trend).otherwise("unavailable").alias("trend"), F.when(active, vol).otherwise("unavailable").alias("volatility"),
@@ -119,27 +120,149 @@ def evaluate_promotion(rows: DataFrame, least_trades: int, most_p: float | None,
     return rows.withColumn("promotion", told.otherwise("promotion_review"))
 
 
-def risk_checks(intents: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Adds failed (array of check ids in order), approved, and authorized (the least remaining limit, or what may be reduced).
-
-    Columns of intents: position (signed notional), notional (signed request), equity, gross, net, daily_pnl, high_water,
-    spread_fraction, age (seconds of the quote), open_positions. A request against the position only reduces it.
-    """
-    c = F.col
-    reduces = c("position") * c("notional") < 0
-    more = F.greatest(F.abs(c("notional")) - F.when(reduces, F.abs("position")).otherwise(0.0), F.lit(0.0))
+def temporal(time: Column, now: Column, age: int, stale: str) -> Column:
+    """Reason why an input's time is not usable, or null."""
+    return F.when(time.isNull() | (time > now), "FUTURE_DATED_INPUT").when(now - time > age, stale)
+
+
+def risk_checks(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Adds failed (array of "check:REASON" in order), approved, action and the authorized new and reduction notional.
+
+    Columns: now, intent_time, direction, status, duplicate; health, health_time; market_time, same_symbol, market_status,
+    bid, ask; regime_time, session, trend, volatility, liquidity; portfolio_time, mark_time, held, equity, cash, margin,
+    daily_pnl, high_water, locks, risk_day, open_positions, pending, gross, net, long, short, instrument, asset_class.
+    A null market_time, session, portfolio_time or health is a missing input: its further checks are left out."""
+    c, lit = F.col, F.lit
+    now, up = c("now"), c("direction") == "long"
+    yes = lit(True)
+    # Names of checks and reasons (fixed values), in the order in which they are made.
+    tests: list[tuple[str, Column, Column]] = []  # (check, applies, reason or null)
+
+    def add(check: str, applies: Column, reason: Column) -> None:
+        tests.append((check, applies, reason))
+
+    def unless(ok: Column, reason: str) -> Column:
+        return F.when(~F.coalesce(ok, lit(False)), reason)
+
+    add("kill_switch", yes, unless(lit(not limits.get("kill_switch", 0)), "KILL_SWITCH_ACTIVE"))
+    add("intent_timestamp", yes, F.when(c("intent_time") > now, "FUTURE_DATED_INPUT").when(c("intent_time") != now, "INTENT_NOT_ACTIONABLE"))
+    add("intent", yes, unless(c("direction").isin("long", "short") & (c("status") == "directional"), "INTENT_NOT_ACTIONABLE"))
+    health = c("health").isNotNull()
+    add("system_health_freshness", health, temporal(c("health_time"), now, limits["health_age"], "SYSTEM_HEALTH_STALE"))
+    add("system_health", yes, unless(c("health") == "healthy", "SYSTEM_UNHEALTHY"))
+    market = c("market_time").isNotNull()
+    add("market_data", yes, unless(market, "DATA_UNAVAILABLE"))
+    add("market_scope", market, unless(c("same_symbol"), "DATA_INVALID"))
+    add("market_freshness", market, temporal(c("market_time"), now, limits["market_age"], "DATA_STALE"))
+    status = c("market_status")
+    add("market_data_status", market, F.when(status == "stale", "DATA_STALE").when(status == "unavailable", "DATA_UNAVAILABLE").when(status != "valid", "DATA_INVALID"))
+    priced = F.coalesce(finite(c("bid")) & finite(c("ask")) & (c("bid") > 0) & (c("ask") > 0), lit(False))
+    add("market_price", market, unless(priced, "PRICE_INVALID"))
+    add("market_crossed", market & priced, unless(c("bid") <= c("ask"), "CROSSED_MARKET"))
+    middle = (c("bid") + c("ask")) / 2
+    add("spread", market & priced & (c("bid") <= c("ask")), unless(c("ask") - c("bid") <= limits["spread"] * middle, "SPREAD_TOO_WIDE"))
+    regime = F.when(c("session").isNull(), "REGIME_UNAVAILABLE").when(c("regime_time") > now, "FUTURE_DATED_INPUT").when(c("regime_time") != now, "REGIME_UNAVAILABLE").when(c("session") != "active", "MARKET_INACTIVE")
+    regime = regime.when((c("trend") == "unavailable") | (c("volatility") == "unavailable") | (c("liquidity") == "unknown"), "REGIME_UNAVAILABLE").when(c("liquidity") == "stressed", "LIQUIDITY_STRESSED")
+    add("regime", yes, regime)
+    book = c("portfolio_time").isNotNull()
+    add("portfolio", yes, unless(book, "PORTFOLIO_INVALID"))
+    add("portfolio_freshness", book, temporal(c("portfolio_time"), now, limits["snapshot_age"], "STALE_RISK_SNAPSHOT"))
+    add("position_mark_freshness", book, unless((c("held") == 0) | ((c("mark_time") <= c("portfolio_time")) & (now - c("mark_time") <= limits["snapshot_age"])), "STALE_RISK_SNAPSHOT"))
+    numbers = F.coalesce(reduce(lambda a, b: a & b, [finite(c(n)) for n in ("equity", "cash", "margin", "daily_pnl", "high_water")]) & (c("equity") > 0), lit(False))
+    add("portfolio_numeric", book, unless(numbers, "PORTFOLIO_INVALID"))
+    full = book & numbers
+    add("duplicate_intent", full, unless(~c("duplicate"), "DUPLICATE_INTENT"))
+    add("risk_locks", full, F.when(c("locks").contains("drawdown"), "DRAWDOWN_LOCKED").when(c("locks") != "", "RISK_LOCK_ACTIVE"))
+    add("risk_day", full, unless(c("risk_day") == F.floor(now / 86_400), "RISK_DAY_MISMATCH"))
+    add("capital", full, unless(c("cash") >= limits["cash"], "INSUFFICIENT_CAPITAL"))
+    add("margin", full, unless(c("margin") >= limits["margin"], "INSUFFICIENT_MARGIN"))
+    add("leverage", full, unless(c("gross") <= limits["leverage"] * c("equity"), "MAX_LEVERAGE_EXCEEDED"))
+    add("daily_loss", full, unless(c("daily_pnl") > -limits["daily_loss"], "DAILY_LOSS_LIMIT"))
+    add("drawdown", full, unless(c("high_water") - c("equity") < limits["drawdown"], "DRAWDOWN_LIMIT"))
+    reduces = F.when(up, c("instrument") < 0).otherwise(c("instrument") > 0)
+    grows = full & ~reduces
+    add("position_count", grows, unless(c("open_positions") < limits["positions"], "MAX_POSITIONS_EXCEEDED"))
+    add("pending_intents", grows, unless(c("pending") < limits["pending"], "MAX_PENDING_INTENTS_EXCEEDED"))
     left = {
-        "gross": F.lit(limits["gross"]) - c("gross"),
-        "instrument": F.lit(limits["instrument"]) - F.abs(c("position")),
-        "net": F.lit(limits["net"]) - F.abs(c("net")),
-        "leverage": c("equity") * limits["leverage"] - c("gross"),
-    }
-    tests = [("quote_fresh", c("age") <= limits["age"]), ("spread", c("spread_fraction") <= limits["spread"]), ("daily_loss", -c("daily_pnl") < limits["daily_loss"]), ("drawdown", (c("high_water") - c("equity")) / c("high_water") < limits["drawdown"])]
-    grows = more > 0
-    tests += [(f"{n}_limit", ~grows | (v > 0)) for n, v in left.items()] + [("open_positions", ~grows | (c("position") != 0) | (c("open_positions") < limits["positions"]))]
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in tests]))
-    authorized = F.when(F.size("failed") > 0, 0.0).when(reduces, F.least(F.abs("notional"), F.abs("position"))).otherwise(F.least(F.abs(c("notional")), *left.values()))
-    return intents.withColumn("failed", failed).withColumn("approved", F.size("failed") == 0).withColumn("authorized", F.greatest(authorized, F.lit(0.0)))
+        "gross_exposure": (limits["gross"] - c("gross"), lit("MAX_GROSS_EXPOSURE_EXCEEDED")),
+        "net_exposure": (F.when(up, limits["net"] - c("net")).otherwise(limits["net"] + c("net")), lit("MAX_NET_EXPOSURE_EXCEEDED")),
+        "directional_exposure": (F.when(up, limits["long"] - c("long")).otherwise(limits["short"] - c("short")), F.when(up, "MAX_LONG_EXPOSURE_EXCEEDED").otherwise("MAX_SHORT_EXPOSURE_EXCEEDED")),
+        "instrument_exposure": (limits["instrument"] - F.abs(c("instrument")), lit("MAX_INSTRUMENT_EXPOSURE_EXCEEDED")),
+        "asset_class_exposure": (limits["asset_class"] - c("asset_class"), lit("MAX_ASSET_CLASS_EXPOSURE_EXCEEDED")),
+        "leverage_headroom": (limits["leverage"] * c("equity") - c("gross"), lit("MAX_LEVERAGE_EXCEEDED")),
+    }
+    for check, (remaining, reason) in left.items():
+        add(check, grows, F.when(~F.coalesce(remaining > 0, lit(False)), reason))
+    add("reduction_scope", full & reduces, unless(F.abs(c("instrument")) > 0, "INTENT_NOT_ACTIONABLE"))
+    each = F.array(*[F.when(F.coalesce(applies, lit(False)) & reason.isNotNull(), F.concat(lit(f"{check}:"), reason)) for check, applies, reason in tests])
+    rows = rows.withColumn("failed", F.array_compact(each)).withColumn("approved", F.size("failed") == 0)
+    new = F.least(lit(limits["trade"]), *[v for v, _ in left.values()])
+    return rows.withColumns({
+        "action": F.when(reduces, "reduction_only").otherwise("new_or_increase"), "max_new": F.when(c("approved") & ~reduces, new).otherwise(0.0), "max_reduction": F.when(c("approved") & reduces, F.abs(c("instrument"))).otherwise(0.0),
+    })
+
+
+def fuse_signals(signals: DataFrame, states: DataFrame, rules: DataFrame, votes: int = 2, margin: int = 1) -> DataFrame:
+    """One intent a decision (symbol, bar) of signals (symbol, bar, strategy, source_id, direction): direction, status, votes, and each signal's eligibility as "strategy:state".
+
+    A decision needs a usable regime state. A source twice is a duplicate (the first strategy in order stays), an
+    unavailable direction is left out, and a strategy with rules (strategy, direction, trend, volatility, liquidity; null is
+    any) needs one that fits its direction and the regime. Then the majority of long and short decides, with least votes and margin.
+    Rules are a small table."""
+    c = F.col
+    s = states.withColumn("usable", (c("data_session") == "active") & (c("trend") != "unavailable") & (c("volatility") != "unavailable") & (c("liquidity") != "unknown"))
+    rows = signals.join(s, ["symbol", "bar"], "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
+    w = Window.partitionBy("symbol", "bar", "source_id").orderBy("strategy", "direction")
+    rows = rows.withColumn("twice", F.row_number().over(w) > 1)
+    r = F.broadcast(rules.groupBy("strategy").agg(F.collect_list(F.struct("direction", "trend", "volatility", "liquidity")).alias("rules")))
+    fits = lambda x, n: x[n].isNull() | (x[n] == c(n))
+    allowed = c("rules").isNull() | F.exists("rules", lambda x: fits(x, "direction") & fits(x, "trend") & fits(x, "volatility") & fits(x, "liquidity"))
+    state = F.when(~c("usable"), "regime_unavailable").when(c("twice"), "duplicate").when(c("direction") == "unavailable", "unavailable").when(~allowed, "regime_incompatible").otherwise("eligible")
+    rows = rows.join(r, "strategy", "left").withColumn("state", state)
+    n = {d: F.count_if((c("state") == "eligible") & (c("direction") == d)).alias(f"n_{d}") for d in ("long", "short", "flat", "hold")}
+    told = rows.groupBy("symbol", "bar").agg(
+        *n.values(), F.max("usable").alias("usable"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "strategy", "direction", "state"))), ",").alias("signals")
+    )
+    eligible = c("n_long") + c("n_short") + c("n_flat") + c("n_hold")
+    won = lambda a, b: (c(a) >= votes) & (c(a) - c(b) >= margin)
+    direction = F.when(~c("usable") | (eligible == 0), "unavailable").when(won("n_long", "n_short"), "long").when(won("n_short", "n_long"), "short").otherwise("hold")
+    status = F.when(~c("usable"), "regime_unavailable").when(eligible == 0, "all_signals_unavailable").when(c("n_long") + c("n_short") == 0, "no_directional_signal")
+    status = status.when(won("n_long", "n_short") | won("n_short", "n_long"), "directional").otherwise("no_consensus")
+    return told.select("symbol", "bar", direction.alias("direction"), status.alias("status"), "n_long", "n_short", "n_flat", "n_hold", "signals")
+
+
+def signal_breakout(rows: DataFrame, equity: bool) -> DataFrame:
+    """Direction, reason and score of a close against the extremes of the bars before it (high_before, low_before; null while warming up). Equities are long only."""
+    high, low, close = F.col("high_before"), F.col("low_before"), F.col("close")
+    warm = high.isNull() | low.isNull()
+    below = F.lit("flat" if equity else "short")
+    direction = F.when(warm, "hold").when(close > high, "long").when(close < low, below).otherwise("hold" if equity else "flat")
+    reason = F.when(warm, "warmup").when(close > high, "close_above_previous_high").when(close < low, "close_below_previous_low").otherwise("inside_previous_range")
+    score = F.when(close > high, F.try_divide(close, high) - 1).when(close < low, F.try_divide(close, low) - 1).otherwise(0.0)
+    return rows.select("symbol", "bar", direction.alias("direction"), reason.alias("reason"), F.when(~warm, score).alias("score"))
+
+
+def signal_momentum(rows: DataFrame, least: float) -> DataFrame:
+    """Long while the rolling return (ret; null while warming up) is over least, else flat."""
+    ret = F.col("ret")
+    direction = F.when(ret.isNull(), "hold").when(ret > least, "long").otherwise("flat")
+    reason = F.when(ret.isNull(), "warmup").when(ret > least, "momentum_above_threshold").otherwise("momentum_not_above_threshold")
+    return rows.select("symbol", "bar", direction.alias("direction"), reason.alias("reason"), ret.alias("score"))
+
+
+def allocation_requests(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """signals (id, symbol, bar, direction, side, quantity) whose side fits the direction, with requested notional at the bar's ask (long) or bid (short)."""
+    fits = ((F.col("direction") == "long") & (F.col("side") == "buy")) | ((F.col("direction") == "short") & (F.col("side") == "sell"))
+    rows = signals.where(fits).join(bars.select("symbol", "bar", "bid", "ask"), ["symbol", "bar"])
+    return rows.select("id", "symbol", "bar", "direction", (F.col("quantity") * F.when(F.col("direction") == "long", F.col("ask")).otherwise(F.col("bid"))).alias("requested"))
+
+
+def bound_authorization(decisions: DataFrame, allocated: DataFrame) -> DataFrame:
+    """decisions (id, action, max_new, max_reduction) with the side of their action capped by the allocation (id, amount); none means nothing."""
+    rows = decisions.join(allocated, "id", "left")
+    amount = F.greatest(F.coalesce("amount", F.lit(0.0)), F.lit(0.0))
+    grows = F.col("action") == "new_or_increase"
+    return rows.withColumns({"max_new": F.when(grows, F.least("max_new", amount)).otherwise(F.lit(0.0)), "max_reduction": F.when(grows, F.lit(0.0)).otherwise(F.least("max_reduction", amount))}).drop("amount")
 
 
 def size_orders(rows: DataFrame, increment: float, least: float, per_unit: float, rate: float, floor: float) -> DataFrame:

@@ -20,14 +20,7 @@ def signals(bars: DataFrame, least: float = 0.0) -> DataFrame:
 
 
 def vote_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("symbol", "bar").agg(*[F.count_if(F.col("direction") == d).alias(f"n_{d}") for d in ("long", "short", "flat")])
-
-
-def fuse_signals(found: DataFrame, votes: int = 2, margin: int = 1) -> DataFrame:
-    """Majority with a least number of votes and margin, else hold."""
-    v = vote_counts(found)
-    won = lambda a, b: (F.col(a) >= votes) & (F.col(a) - F.col(b) >= margin)
-    return v.select("symbol", "bar", F.when(won("n_long", "n_short"), "long").when(won("n_short", "n_long"), "short").otherwise("hold").alias("decision"))
+    return found.groupBy("symbol", "bar").agg(*[F.count_if(F.col("direction") == d).alias(f"n_{d}") for d in ("long", "short", "flat", "hold")])
 
 
 def cash_ledger(fills: DataFrame, start: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from barloom.operators import rules as U
 from barloom.sources import tables as S
 
 from .desk import HB
-from .queries import DAYS, FILLS, HOUR, OPEN, bars, bars_sql, query, r6
+from barloom.operators import trading as T
+
+from .queries import DAYS, FILLS, HOUR, OPEN, SIGNALS, bars, bars_sql, query, r6
 
 # Regimes and signals
 
@@ -114,22 +116,119 @@ query(
 
 # Risk, sizing and allocation
 
-LIMITS = {"gross": 10_000.0, "instrument": 2_500.0, "net": 3_500.0, "leverage": 2.0, "age": 80.0, "spread": 0.0085, "daily_loss": 650.0, "drawdown": 0.4, "positions": 10}
-INTENTS = """k, ((k % 7) - 3) * 1000.0 as position, ((k % 5) - 2) * 2000.0 as notional, e as equity, (k % 13) * 1000.0 as gross, ((k % 9) - 4) * 1000.0 as net, ((k % 17) - 8) * 100.0 as daily_pnl,
-  e + (k % 6) * 500.0 as high_water, (k % 10) / 1000.0 as spread_fraction, k % 100 as age, k % 12 as open_positions"""
+LIMITS = {
+    "health_age": 60, "market_age": 30, "snapshot_age": 90, "spread": 0.01, "cash": 500.0, "margin": 300.0, "leverage": 2.0, "daily_loss": 650.0, "drawdown": 2400.0, "positions": 10, "pending": 8,
+    "gross": 12_000.0, "net": 3_500.0, "long": 8_000.0, "short": 8_000.0, "instrument": 2_500.0, "asset_class": 7_000.0, "trade": 1_500.0,
+}
+#: Inputs of the checks by key rules: column -> expression (both dialects).
+INTENTS = {
+    "now": "864000", "intent_time": "864000 + case when k % 31 = 0 then 5 when k % 37 = 0 then -5 else 0 end", "direction": "case k % 9 when 0 then 'hold' when 1 then 'short' when 2 then 'short' when 3 then 'short' else 'long' end",
+    "status": "case when k % 9 = 0 then 'no_consensus' else 'directional' end", "duplicate": "k % 41 = 0", "health": "case when k % 43 = 0 then 'degraded' when k % 47 <> 0 then 'healthy' end", "health_time": "864000 - k % 67",
+    "market_time": "case when k % 53 <> 0 then 864000 - k % 33 end", "same_symbol": "k % 59 <> 0", "market_status": "case k % 61 when 0 then 'stale' when 1 then 'invalid' when 2 then 'unavailable' else 'valid' end",
+    "bid": "case when k % 71 = 0 then null when k % 73 = 0 then cast(0.0 as double) else cast(100.0 as double) end", "ask": "cast(100.0 + (k % 12) * 0.1 - case when k % 79 = 0 then 5 else 0 end as double)",
+    "regime_time": "864000 + case when k % 83 = 0 then 1 when k % 89 = 0 then -1 else 0 end", "session": "case when k % 97 = 0 then null when k % 13 = 0 then 'inactive' else 'active' end", "trend": "case when k % 17 = 0 then 'unavailable' else 'neutral' end",
+    "volatility": "'normal'", "liquidity": "case k % 19 when 0 then 'unknown' when 1 then 'stressed' else 'normal' end", "portfolio_time": "case when k % 101 <> 0 then 864000 - k % 95 end", "mark_time": "case when k % 23 <> 0 then 864000 - k % 95 - k % 2 end", "held": "k % 3",
+    "equity": "cast(case when k % 103 = 0 then 0 else e end as double)", "cash": "cast((k % 11) * 300 as double)", "margin": "cast((k % 7) * 150 as double)", "daily_pnl": "cast(((k % 17) - 8) * 100 as double)", "high_water": "cast(e + (k % 6) * 500 as double)",
+    "locks": "case when k % 107 = 0 then 'drawdown' when k % 109 = 0 then 'daily_loss' else '' end", "risk_day": "case when k % 29 = 0 then 9 else 10 end", "open_positions": "k % 12", "pending": "k % 10", "gross": "cast((k % 14) * 1000 as double)", "net": "cast(((k % 9) - 4) * 1000 as double)",
+    "long": "cast((k % 10) * 1000 as double)", "short": "cast((k % 11) * 900 as double)", "instrument": "cast(((k % 7) - 3) * 1000 as double)", "asset_class": "cast((k % 8) * 1100 as double)",
+}
 _FROM = "(select o_orderkey as k, cast(o_totalprice / 10 + 1000 as double) as e from orders)"
-_double = lambda s, d: S.table(s, d, "orders").selectExpr("o_orderkey as k", "cast(o_totalprice / 10 + 1000 as double) as e")
-_LEFT = {"gross": "10000 - gross", "instrument": "2500 - abs(position)", "net": "3500 - abs(net)", "leverage": "equity * 2 - gross"}
-query(
-    "risk_checks",
-    f"""with i as (select {INTENTS} from {_FROM}), g as (select *, position * notional < 0 as reduces, abs(notional) - case when position * notional < 0 then abs(position) else 0 end > 0 as grows, abs(notional) as asked from i),
-    f as (select *, concat_ws(',', case when age > 80 then 'quote_fresh' end, case when spread_fraction > 0.0085 then 'spread' end, case when -daily_pnl >= 650 then 'daily_loss' end, case when (high_water - equity) / high_water >= 0.4 then 'drawdown' end,
-    {", ".join(f"case when grows and {v} <= 0 then '{n}_limit' end" for n, v in _LEFT.items())}, case when grows and position = 0 and open_positions >= 10 then 'open_positions' end) as failed from g)
-    select k, failed, failed = '' as approved, round(case when failed <> '' then 0 when reduces then least(asked, abs(position)) else greatest(least(asked, {", ".join(_LEFT.values())}), 0) end::double, 4) as authorized from f""",
+
+
+def intents(s: SparkSession, d: str) -> DataFrame:
+    return S.table(s, d, "orders").selectExpr("o_orderkey as k", "cast(o_totalprice / 10 + 1000 as double) as e").selectExpr("k", *[f"{e} as {n}" for n, e in INTENTS.items()])
+
+
+_age = lambda t, most, stale: f"case when {t} is null or {t} > now then 'FUTURE_DATED_INPUT' when now - {t} > {most} then '{stale}' end"
+_no = lambda ok, why: f"case when not coalesce({ok}, false) then '{why}' end"
+_priced = "market_time is not null and coalesce(bid > 0 and ask > 0, false)"
+_book, _full = "portfolio_time is not null", "portfolio_time is not null and equity > 0"
+_grows = f"{_full} and not reduces"
+_left = {
+    "gross_exposure": ("12000 - gross", "'MAX_GROSS_EXPOSURE_EXCEEDED'"), "net_exposure": ("case when up then 3500 - net else 3500 + net end", "'MAX_NET_EXPOSURE_EXCEEDED'"),
+    "directional_exposure": ("case when up then 8000 - long else 8000 - short end", "case when up then 'MAX_LONG_EXPOSURE_EXCEEDED' else 'MAX_SHORT_EXPOSURE_EXCEEDED' end"), "instrument_exposure": ("2500 - abs(instrument)", "'MAX_INSTRUMENT_EXPOSURE_EXCEEDED'"),
+    "asset_class_exposure": ("7000 - asset_class", "'MAX_ASSET_CLASS_EXPOSURE_EXCEEDED'"), "leverage_headroom": ("2 * equity - gross", "'MAX_LEVERAGE_EXCEEDED'"),
+}
+_checks = [
+    ("intent_timestamp", "true", "case when intent_time > now then 'FUTURE_DATED_INPUT' when intent_time <> now then 'INTENT_NOT_ACTIONABLE' end"), ("intent", "true", _no("direction in ('long', 'short') and status = 'directional'", "INTENT_NOT_ACTIONABLE")),
+    ("system_health_freshness", "health is not null", _age("health_time", 60, "SYSTEM_HEALTH_STALE")), ("system_health", "true", _no("health = 'healthy'", "SYSTEM_UNHEALTHY")), ("market_data", "true", _no("market_time is not null", "DATA_UNAVAILABLE")),
+    ("market_scope", "market_time is not null", _no("same_symbol", "DATA_INVALID")), ("market_freshness", "market_time is not null", _age("market_time", 30, "DATA_STALE")),
+    ("market_data_status", "market_time is not null", "case market_status when 'stale' then 'DATA_STALE' when 'unavailable' then 'DATA_UNAVAILABLE' when 'invalid' then 'DATA_INVALID' end"), ("market_price", "market_time is not null", _no("bid > 0 and ask > 0", "PRICE_INVALID")),
+    ("market_crossed", _priced, _no("bid <= ask", "CROSSED_MARKET")), ("spread", f"{_priced} and bid <= ask", _no("ask - bid <= 0.01::double * ((bid + ask) / 2)", "SPREAD_TOO_WIDE")),
+    ("regime", "true", "case when session is null then 'REGIME_UNAVAILABLE' when regime_time > now then 'FUTURE_DATED_INPUT' when regime_time <> now then 'REGIME_UNAVAILABLE' when session <> 'active' then 'MARKET_INACTIVE' when trend = 'unavailable' or liquidity = 'unknown' then 'REGIME_UNAVAILABLE' when liquidity = 'stressed' then 'LIQUIDITY_STRESSED' end"),
+    ("portfolio", "true", _no(_book, "PORTFOLIO_INVALID")), ("portfolio_freshness", _book, _age("portfolio_time", 90, "STALE_RISK_SNAPSHOT")), ("position_mark_freshness", _book, _no("held = 0 or (mark_time <= portfolio_time and now - mark_time <= 90)", "STALE_RISK_SNAPSHOT")),
+    ("portfolio_numeric", _book, _no("equity > 0", "PORTFOLIO_INVALID")), ("duplicate_intent", _full, _no("not duplicate", "DUPLICATE_INTENT")), ("risk_locks", _full, "case when locks = 'drawdown' then 'DRAWDOWN_LOCKED' when locks <> '' then 'RISK_LOCK_ACTIVE' end"),
+    ("risk_day", _full, _no("risk_day = now // 86400", "RISK_DAY_MISMATCH")), ("capital", _full, _no("cash >= 500", "INSUFFICIENT_CAPITAL")), ("margin", _full, _no("margin >= 300", "INSUFFICIENT_MARGIN")), ("leverage", _full, _no("gross <= 2 * equity", "MAX_LEVERAGE_EXCEEDED")),
+    ("daily_loss", _full, _no("daily_pnl > -650", "DAILY_LOSS_LIMIT")), ("drawdown", _full, _no("high_water - equity < 2400", "DRAWDOWN_LIMIT")), ("position_count", _grows, _no("open_positions < 10", "MAX_POSITIONS_EXCEEDED")), ("pending_intents", _grows, _no("pending < 8", "MAX_PENDING_INTENTS_EXCEEDED")),
+    *[(n, _grows, f"case when {v} <= 0 then {why} end") for n, (v, why) in _left.items()],
+]
+RISK = f"""with i as (select k, {", ".join(f"{e} as {n}" for n, e in INTENTS.items())} from {_FROM}), g as (select *, direction = 'long' as up, case when direction = 'long' then instrument < 0 else instrument > 0 end as reduces from i),
+  f as (select *, concat_ws(',', {", ".join(f"case when {a} and ({r}) is not null then '{n}:' || ({r}) end" for n, a, r in _checks)}) as failed from g),
+  rd as (select k, failed, failed = '' as approved, case when reduces then 'reduction_only' else 'new_or_increase' end as action, case when failed = '' and not reduces then least(1500, {", ".join(v for v, _ in _left.values())}) else 0 end::double as max_new, case when failed = '' and reduces then abs(instrument) else 0 end::double as max_reduction from f)"""
+_told = ["k", "approved", "action", "max_new", "max_reduction"]
+
+
+def risk_(s: SparkSession, d: str) -> DataFrame:
+    return U.risk_checks(intents(s, d), LIMITS).select(*_told, F.array_join("failed", ",").alias("failed"))
+
+
+query("risk_checks", f"{RISK} select * from rd")(risk_)
+query(
+    "bound_authorization",
+    f"{RISK} select k as id, case when action = 'new_or_increase' then least(max_new, case when k % 4 > 0 then (k % 6 - 1) * 400 else 0 end) else 0 end::double as max_new0, case when action = 'new_or_increase' then 0 else least(max_reduction, greatest(case when k % 4 > 0 then (k % 6 - 1) * 400 else 0 end, 0)) end::double as max_reduction from rd".replace(
+        "least(max_new, case when k % 4 > 0 then (k % 6 - 1) * 400 else 0 end)", "least(max_new, greatest(case when k % 4 > 0 then (k % 6 - 1) * 400 else 0 end, 0))").replace("max_new0", "max_new"),
+)(lambda s, d: U.bound_authorization(risk_(s, d).select(F.col("k").alias("id"), "action", "max_new", "max_reduction"), S.table(s, d, "orders").where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 6 - 1) * 400.0).alias("amount"))).select("id", "max_new", "max_reduction"))
+
+# Fusion
+
+RULES = [("trend", "long", "trending_up", None, None), ("trend", "short", None, "high", None), ("breakout", None, None, None, "normal")]
+
+
+def fusion_signals(s: SparkSession, d: str) -> DataFrame:
+    """Three strategies' signals; some are unavailable, some share a source, some hold."""
+    h = F.floor(F.col("bar") / HOUR)
+    direction = F.when((h % 11 == 0) & (F.col("strategy") == "momentum"), "unavailable").when((h % 13 == 0) & (F.col("strategy") == "trend"), "hold").otherwise(F.col("direction"))
+    source = F.when(h % 7 == 0, F.lit("shared")).otherwise(F.col("strategy"))
+    return T.signals(bars(s, d)).select("symbol", "bar", "strategy", source.alias("source_id"), direction.alias("direction"))
+
+
+query(
+    "fuse_signals",
+    f"""{AVERAGED.rstrip()}, {SIGNALS.replace(bars_sql(HOUR) + ", ", "")}, fs as (select symbol, bar, strategy, case when bar // 3600 % 7 = 0 then 'shared' else strategy end as source_id, case when bar // 3600 % 11 = 0 and strategy = 'momentum' then 'unavailable' when bar // 3600 % 13 = 0 and strategy = 'trend' then 'hold' else direction end as direction from signals),
+    fj as (select fs.*, states.trend, states.volatility, states.liquidity, coalesce(data_session = 'active' and states.trend <> 'unavailable' and liquidity <> 'unknown', false) as usable, row_number() over (partition by fs.symbol, fs.bar, source_id order by strategy, direction) > 1 as twice from fs left join states on states.symbol = fs.symbol and states.bar = fs.bar),
+    ft as (select *, case when not usable then 'regime_unavailable' when twice then 'duplicate' when direction = 'unavailable' then 'unavailable' when strategy = 'trend' and not (direction = 'long' and trend = 'trending_up' or direction = 'short' and volatility = 'high') or strategy = 'breakout' and liquidity <> 'normal' then 'regime_incompatible' else 'eligible' end as state from fj),
+    fc as (select symbol, bar, {", ".join(f"count(*) filter (state = 'eligible' and direction = '{x}') as n_{x}" for x in ("long", "short", "flat", "hold"))}, count(*) filter (state = 'eligible') as n, bool_or(usable) as usable, string_agg(strategy || ':' || direction || ':' || state, ',' order by strategy || ':' || direction || ':' || state) as signals from ft group by 1, 2),
+    fw as (select *, n_long >= 2 and n_long - n_short >= 1 as up, n_short >= 2 and n_short - n_long >= 1 as down from fc)
+    select symbol, bar, case when not usable or n = 0 then 'unavailable' when up then 'long' when down then 'short' else 'hold' end as direction, case when not usable then 'regime_unavailable' when n = 0 then 'all_signals_unavailable' when n_long + n_short = 0 then 'no_directional_signal' when up or down then 'directional' else 'no_consensus' end as status,
+    n_long, n_short, n_flat, n_hold, signals from fw""",
+)(lambda s, d: U.fuse_signals(fusion_signals(s, d), U.regime_states(averaged(s, d)), s.createDataFrame(RULES, "strategy string, direction string, trend string, volatility string, liquidity string")))
+for _name, _equity in (("signal_forex_breakout", False), ("signal_equity_breakout", True)):
+    query(
+        _name,
+        f"""{HB}, x as (select symbol, bar, close, case when row_number() over (partition by symbol order by bar) > 20 then max(high) over w end as hi, case when row_number() over (partition by symbol order by bar) > 20 then min(low) over w end as lo from bars window w as (partition by symbol order by bar rows between 20 preceding and 1 preceding))
+        select symbol, bar, case when hi is null then 'hold' when close > hi then 'long' when close < lo then '{"flat" if _equity else "short"}' else '{"hold" if _equity else "flat"}' end as direction, case when hi is null then 'warmup' when close > hi then 'close_above_previous_high' when close < lo then 'close_below_previous_low' else 'inside_previous_range' end as reason,
+        round(case when hi is not null then case when close > hi then close / hi - 1 when close < lo then close / lo - 1 else 0 end end, 6) as score from x""",
+    )(lambda s, d, e=_equity: r6(U.signal_breakout(before_extremes(s, d), e), "score"))
+
+
+def before_extremes(s: SparkSession, d: str) -> DataFrame:
+    rows = X.prepared(bars(s, d))
+    return rows.select("symbol", "bar", "close", X.full(F.max("high").over(X.back(20, -1)), 21).alias("high_before"), X.full(F.min("low").over(X.back(20, -1)), 21).alias("low_before"))
+
+
+query(
+    "signal_momentum",
+    f"""{HB}, x as (select symbol, bar, close / lag(close, 20) over (partition by symbol order by bar) - 1 as ret from bars) select symbol, bar, case when ret is null then 'hold' when ret > 0.02 then 'long' else 'flat' end as direction,
+    case when ret is null then 'warmup' when ret > 0.02 then 'momentum_above_threshold' else 'momentum_not_above_threshold' end as reason, round(ret, 6) as score from x""",
+)(lambda s, d: r6(U.signal_momentum(X.compute(bars(s, d), "rolling_return").select("symbol", "bar", F.col("value").alias("ret")), 0.02), "score"))
+query(
+    "allocation_requests",
+    f"""with {SIGNALS} select symbol || strategy as id, symbol, bar, direction, round((bar // 3600 % 5 + 1) * case when direction = 'long' then ask_close else close end, 4) as requested from signals join bars using (symbol, bar) where direction = 'long' and bar // 3600 % 3 > 0 or direction = 'short' and bar // 3600 % 3 = 0""",
 )(
-    lambda s, d: U.risk_checks(_double(s, d).selectExpr(*[x.strip() for x in INTENTS.replace("\n", " ").split(", ")]).withColumns({c: F.col(c).cast("double") for c in ("position", "notional", "gross", "net", "daily_pnl", "high_water", "spread_fraction")}), LIMITS).select(
-        "k", F.array_join("failed", ",").alias("failed"), "approved", F.round("authorized", 4).alias("authorized")
-    )
+    lambda s, d: U.allocation_requests(
+        T.signals(bars(s, d)).select(F.concat("symbol", "strategy").alias("id"), "symbol", "bar", "direction", F.when(F.col("bar") / HOUR % 3 > 0, "buy").otherwise("sell").alias("side"), (F.col("bar") / HOUR % 5 + 1).alias("quantity")),
+        bars(s, d).select("symbol", "bar", F.col("close").alias("bid"), F.col("ask_close").alias("ask")),
+    ).withColumn("requested", F.round("requested", 4))
 )
 query(
     "size_orders",
@@ -193,15 +292,31 @@ query(
 DAY = 86_400
 
 
+PLAN = {"train": 7 * DAY, "forward": 3 * DAY, "folds": 5, "rolling": 7 * DAY, "validation": DAY, "purge": 7200, "embargo": 3600}
+
+
 def schedules(s: SparkSession, d: str) -> DataFrame:
     ends = bars(s, d).groupBy("symbol").agg(F.min("bar").alias("a"), F.max("bar").alias("z"))
-    return ends.select("symbol", R.fold_schedule(F.col("a"), 7 * DAY, 3 * DAY, 5, F.col("z") - 2 * DAY, 7 * DAY).alias("folds"))
+    # One series has a locked period that its plan would enter: the plan is refused.
+    return ends.select("symbol", R.fold_schedule(F.col("a"), oos=F.when(F.col("symbol") == "view", F.col("a") + 20 * DAY).otherwise(F.col("z") - DAY), **PLAN).alias("folds"))
 
 
-FOLDS = f"""{HB}, ends as (select symbol, min(bar) as a, max(bar) as z from bars group by 1), fx as (select symbol, a, z, unnest(range(0, 5)) as fold from ends),
-  folds as (select symbol, fold, a + fold * {3 * DAY} as train_start, a + {7 * DAY} + fold * {3 * DAY} as train_end, a + {10 * DAY} + fold * {3 * DAY} as test_end from fx where a + {10 * DAY} + fold * {3 * DAY} <= z - {2 * DAY})"""
+FOLDS = f"""{HB}, ends as (select symbol, min(bar) as a, max(bar) as z from bars group by 1), fx as (select symbol, a, case when symbol = 'view' then a + {20 * DAY} else z - {DAY} end as oos, unnest(range(0, 5)) as fold from ends),
+  folds as (select symbol, fold, a + fold * {3 * DAY + 3600} as train_start, a + {7 * DAY} + fold * {3 * DAY + 3600} as train_end, a + {8 * DAY} + fold * {3 * DAY + 3600} as validation_end, a + {8 * DAY + 7200} + fold * {3 * DAY + 3600} as test_start, a + {11 * DAY + 7200} + fold * {3 * DAY + 3600} as test_end
+    from fx where a + {11 * DAY + 7200} + 4 * {3 * DAY + 3600} <= oos)"""
 query("fold_schedule", f"{FOLDS} select * from folds")(lambda s, d: schedules(s, d).select("symbol", F.inline("folds")))
-ASSIGNED = f"{FOLDS}, asg as (select symbol, bar, close, fold, case when bar < train_end then 'train' else 'test' end as role from bars join folds using (symbol) where bar >= train_start and bar < test_end)"
+query(
+    "fold_findings",
+    f"""{FOLDS}, o as (select symbol, fold, test_start - case when fold = 2 then 400000 when fold = 3 then 90000 else 0 end as test_start, test_end, a as period_start, z as period_end from folds join ends using (symbol)),
+    l as (select *, lag(test_end) over w as b, lag(test_start) over w as e from o window w as (partition by symbol order by fold)), c as (select symbol, fold, case when test_start < e then 'out_of_order' when test_start < b then 'overlaps' when test_start < period_start or test_end > period_end - 1400000 then 'outside_period' end as code from l) select * from c where code is not null""".replace("a as period_start, z as period_end", "a as period_start, z as period_end"),
+)(
+    lambda s, d: R.fold_findings(
+        schedules(s, d).select("symbol", F.inline("folds")).withColumn("test_start", F.col("test_start") - F.when(F.col("fold") == 2, 400_000).when(F.col("fold") == 3, 90_000).otherwise(0)).join(
+            bars(s, d).groupBy("symbol").agg(F.min("bar").alias("period_start"), (F.max("bar") - 1_400_000).alias("period_end")), "symbol"
+        )
+    )
+)
+ASSIGNED = f"{FOLDS}, asg as (select symbol, bar, close, fold, case when bar < train_end then 'train' when bar < validation_end then 'validation' else 'test' end as role from bars join folds using (symbol) where bar >= train_start and bar < test_end and not (bar >= validation_end and bar < test_start))"
 query("assign_folds", f"{ASSIGNED} select symbol, bar, fold, role from asg")(lambda s, d: R.assign_folds(bars(s, d), schedules(s, d)))
 query(
     "walk_forward_summary",

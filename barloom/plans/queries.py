@@ -221,11 +221,7 @@ SIGNALS = f"""{bars_sql(HOUR)}, sg as (select symbol, bar, row_number() over w a
   signals as (select symbol, bar, unnest(['breakout', 'momentum', 'trend']) as strategy, unnest([breakout, momentum, trend]) as direction from sg where r > 10),
   votes as (select symbol, bar, count(*) filter (direction = 'long') as n_long, count(*) filter (direction = 'short') as n_short, count(*) filter (direction = 'flat') as n_flat from signals group by 1, 2)"""
 query("strategy_signals", f"with {SIGNALS} select symbol, bar, strategy, direction from signals")(lambda s, d: T.signals(bars(s, d)))
-query("vote_counts", f"with {SIGNALS} select * from votes")(lambda s, d: T.vote_counts(T.signals(bars(s, d))))
-query(
-    "fuse_signals",
-    f"with {SIGNALS} select symbol, bar, case when n_long >= 2 and n_long - n_short >= 1 then 'long' when n_short >= 2 and n_short - n_long >= 1 then 'short' else 'hold' end as decision from votes",
-)(lambda s, d: T.fuse_signals(T.signals(bars(s, d))))
+query("vote_counts", f"with {SIGNALS} select *, 0 as n_hold from votes")(lambda s, d: T.vote_counts(T.signals(bars(s, d))))
 
 
 def orders_(s: SparkSession, d: str) -> DataFrame:
@@ -363,5 +359,5 @@ query("stream_ticks_to_bars")(stream.replayed)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks to hourly bars to the fused decision of three strategies."""
-    return T.fuse_signals(T.signals(bars(spark, sf_dir)))
+    """Ticks to hourly bars to the signals of three strategies and their votes."""
+    return T.vote_counts(T.signals(bars(spark, sf_dir)))
