@@ -12,7 +12,7 @@ from barloom.operators import features as X
 from barloom.operators import ledger as L
 from barloom.operators import trading as T
 from barloom.sources import tables as S
-from barloom.streaming import bars as stream
+
 
 HOUR, DAY = 3600, 86_400
 Q: dict = {}
@@ -355,7 +355,7 @@ query(
         .union(S.table(s, d, "customer").selectExpr("'nation'", "concat('C', c_custkey)", "concat('N', c_nationkey)"))
     )
 )
-query("stream_ticks_to_bars")(stream.replayed)
+
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,21 @@
-"""Bars of a stream of ticks."""
+"""Stream operators: bars, late ticks, store writes by micro-batch, decisions once, admission and running equity."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from barloom.operators.gates import admission_gate
+from barloom.sources.shared import shared_path
 
 
 def stream_ticks_to_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Hourly bars of a streaming (or batch) frame symbol, ts, row_no, bid. A watermark drops ticks that come later than `late`; in append mode a bar comes out once the watermark has passed it."""
+    """Bars of a streaming (or batch) frame symbol, ts, row_no, bid. A watermark drops ticks that come later than `late`; in append mode a bar comes out once the watermark has passed it."""
     order = F.struct("ts", "row_no")
     grouped = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width).alias("w"))
     return grouped.agg(F.min_by("bid", order).alias("open"), F.max("bid").alias("high"), F.min("bid").alias("low"), F.max_by("bid", order).alias("close"), F.count("*").alias("n")).select(
@@ -18,14 +23,87 @@ def stream_ticks_to_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1
     )
 
 
+def stream_late_ticks(ticks: DataFrame) -> DataFrame:
+    """Every tick (symbol, us, row_no, bid) with late: whether it is not later than one of its symbol that came before it. The state is the newest time of a symbol; a batch is read in source order."""
+    schema = "symbol string, us long, row_no long, bid double, late boolean"
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("row_no")
+        newest = state.get[0] if state.exists else None
+        before = rows.us.cummax().shift()
+        if newest is not None:
+            before = before.fillna(newest).clip(lower=newest)
+        state.update((int(max(rows.us.max(), newest if newest is not None else rows.us.max())),))
+        yield rows.assign(late=(rows.us <= before).fillna(False))[["symbol", "us", "row_no", "bid", "late"]]
+
+    return ticks.groupBy("symbol").applyInPandasWithState(run, schema, "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_dedupe_bars(bars: DataFrame, late: str = "1 day") -> DataFrame:
+    """Bars (symbol, bar timestamp, ...) once a logical key, as long as the watermark remembers it."""
+    return bars.withWatermark("bar", late).dropDuplicatesWithinWatermark(["symbol", "bar"])
+
+
+def stream_upsert(rows: DataFrame, path: str, state: str, key: list[str], order: str) -> StreamingQuery:
+    """Appends the rows of each micro-batch whose key the table at path lacks, the first by order of each key. A batch that is tried again finds its rows there."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), order).alias("x")).select("x.*")
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            first = first.join(spark.read.schema(batch.schema).parquet(path).select(*key), key, "left_anti")
+        first.write.mode("append").parquet(path)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def stream_decisions_once(decisions: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Records each decision key (symbol, bar, strategy) once, however often a cycle brings it."""
+    return stream_upsert(decisions, path, state, ["symbol", "bar", "strategy"], "cycle")
+
+
+def stream_admission_gate(batches: DataFrame, now: F.Column, most_age: int) -> DataFrame:
+    """Candidate batches of a stream with the first reason that blocks them: rows are judged one by one, so no state is kept."""
+    return admission_gate(batches, now, most_age)
+
+
+def stream_last_equity(changes: DataFrame) -> DataFrame:
+    """account, t, equity, high_water after each change (account, t, seq, delta) of a stream; the state of an account is its equity and peak."""
+    schema = "account long, t long, seq long, equity double, high_water double"
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
+        equity, peak = state.get if state.exists else (0.0, float("-inf"))
+        line = equity + rows.delta.cumsum()
+        high = line.cummax().clip(lower=peak)
+        state.update((float(line.iloc[-1]), float(high.iloc[-1])))
+        yield rows.assign(equity=line, high_water=high)[["account", "t", "seq", "equity", "high_water"]]
+
+    return changes.groupBy("account").applyInPandasWithState(run, schema, "equity double, high_water double", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """What a finite stream gives until it is drained, as a table in the shared folder."""
+    out = shared_path(spark, "stream")
+    df.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/data")
+
+
+def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+    """A given table read as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def micro_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"))
+
+
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read as a stream and drained into a table of closed bars in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/barloom-shared"
-    out = f"{base.rstrip('/')}/bars-{uuid.uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    ticks = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"))
-    bars = stream_ticks_to_bars(ticks)
-    run = bars.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(bars.schema).parquet(f"{out}/data")
+    """The events table drained as a stream into bars: closed ones come out in append mode, and those that the watermark has not passed at the end are flushed from the table's last hours by the batch form of the same plan."""
+    closed = drained(stream_ticks_to_bars(micro_ticks(spark, sf_dir)), spark)
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"))
+    newest = closed.agg(F.max("bar")).first()[0]
+    open_ = stream_ticks_to_bars(raw.where(F.col("ts") >= newest) if newest else raw)
+    return closed.unionByName(open_.join(closed.select("symbol", "bar"), ["symbol", "bar"], "left_anti"))

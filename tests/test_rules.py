@@ -2,10 +2,15 @@
 
 import math
 
+from pyspark.sql import functions as F
+
+from barloom.operators import asof as A
+from barloom.operators import bars as B
 from barloom.operators import ledger as L
 from barloom.operators import quality as K
 from barloom.operators import research as R
 from barloom.operators import rules as U
+from barloom.operators import trading as T
 
 FILL = "account long, symbol string, fill_id long, side string, quantity long, price double, fee double, t long"
 
@@ -20,6 +25,55 @@ def test_average_cost_with_a_reversal(spark):
     assert L.position_ledger(spark.createDataFrame([], FILL)).count() == 0
 
 
+def test_average_cost_of_a_position_that_never_goes_flat(spark):
+    """Thousands of fills that keep a tenth: the running product of what stays would vanish."""
+    rows = [(1, "a", 0, "buy", 10, 100.0, 1.0, 0)]
+    for k in range(1, 5001):
+        rows.append((1, "a", k, "sell" if k % 2 else "buy", 9, 100.0 + (0 if k % 2 else k % 7), 1.0, k))
+    got = L.position_ledger(spark.createDataFrame(rows, FILL)).orderBy("fill_id").collect()
+    position, average, fees = 0, 0.0, 0.0
+    for r, (_, _, _, side, q, price, fee, _) in zip(got, rows):
+        if side == "buy":
+            average, fees = (average * position + price * q) / (position + q), (fees + fee)
+            position += q
+        else:
+            assert abs(r.realized - q * (price - average)) < 1e-6 and abs(r.entry_fees - fees * q / position) < 1e-9
+            fees -= fees * q / position
+            position -= q
+        assert r.position == position and abs(r.average_price - average) < 1e-9
+    trades = L.closed_trades(L.position_ledger(spark.createDataFrame(rows[:2], FILL))).first()
+    assert abs(trades.fees - 1.9) < 1e-12 and abs(trades.net_pnl + 1.9) < 1e-12
+
+
+def test_reports_survive_what_they_count(spark):
+    schema = "symbol string, bar long, open double, high double, low double, close double, volume double"
+    nan = float("nan")
+    rows = [("a", 0, 1.0, 1.0, 1.0, 0.0, 0.0), ("a", 3600, nan, 1.0, 1.0, 1.0, None), ("a", 7200, 5.0, 1.0, 2.0, None, -1.0), ("a", 18_000, 5.0, 5.0, 5.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, schema)
+    r = K.quality_report(df, 3600).first()
+    assert (r.row_count, r.nonpositive_price_count, r.nonfinite_price_count, r.missing_price_count, r.volume_anomaly_count, r.missing_intervals, r.suspicious_jumps) == (4, 1, 1, 1, 2, 2, 1)
+    assert T.performance_metrics(df.select("symbol", "bar", "close"), annualization=252).count() == 1
+    assert L.drawdown_segments(df.na.fill(0.0)).count() == 1 and B.suspicious_jumps(df, 0.2).count() == 1
+    assert K.quality_report(df.limit(0), 3600).count() == 0
+
+
+def test_plans_that_enter_the_locked_period_are_refused(spark):
+    df = spark.createDataFrame([(0, 100), (0, 60)], "a long, z long")
+    got = [r.f for r in df.select(R.fold_schedule(F.col("a"), 20, 10, 4, F.col("z"), validation=5, purge=1, embargo=2).alias("f")).collect()]
+    assert got[1] is None and [(f.train_end, f.validation_end, f.test_start, f.test_end) for f in got[0]][:2] == [(20, 25, 26, 36), (32, 37, 38, 48)]
+
+
+def test_nearest_rows_of_odd_tables(spark):
+    """Ties, strictness, null times and keys, blocks without points, empty tables, clashing names."""
+    e = spark.createDataFrame([(1, "a", 100), (2, "a", 50), (3, None, 100), (4, "a", None), (5, "a", 10**9)], "id long, symbol string, t long")
+    p = spark.createDataFrame([("a", 100, 1, 1.0), ("a", 100, 2, 2.0), ("a", 60, 3, 3.0), (None, 90, 4, 4.0)], "symbol string, t long, id long, v double")
+    at = lambda **k: {r.id: r.found and r.found.v for r in A.nearest(e, p, tie="id", block=40, **k).collect()}
+    assert at() == {1: 2.0, 2: None, 3: 4.0, 4: None, 5: 2.0}
+    assert at(strict=True) == {1: 3.0, 2: None, 3: 4.0, 4: None, 5: 2.0}
+    assert at(after=True) == {1: 1.0, 2: 3.0, 3: None, 4: None, 5: None}
+    assert A.nearest(e, p.limit(0), block=40).where("found is not null").count() == 0 and A.nearest(e.limit(0), p).count() == 0
+
+
 def test_a_tick_may_have_several_findings(spark):
     schema = "symbol string, row_no long, us long, bid double, ask double, bid_volume double, ask_volume double"
     rows = [("a", 1, 5, 1.0, 2.0, 1.0, 1.0), ("a", 2, 5, 3.0, 2.0, None, -1.0), ("a", 3, 4, None, math.inf, 1.0, 1.0), ("a", 4, 6, -1.0, 2.0, 1.0, 1.0)]
@@ -54,7 +108,7 @@ def test_allocation_keeps_every_budget(spark):
 def test_orders_without_a_horizon_find_their_first_touch(spark):
     bars = spark.createDataFrame([("a", i * 86_400, 10.0, 12.0, 8.0 if i != 200 else 1.0) for i in range(1, 300)], "symbol string, bar long, open double, high double, low double")
     orders = spark.createDataFrame([(1, "a", 86_400, "buy", "limit", 2.0), (2, "a", 86_400, "buy", "stop", 11.0), (3, "a", 201 * 86_400, "buy", "limit", 2.0), (4, "a", 86_400, "buy", "limit", 8.5)], "id long, symbol string, t long, side string, kind string, level double")
-    got = {r.id: (r.fill_bar // 86_400, r.fill_price) for r in L.conditional_fills(orders, bars).collect()}
+    got = {r.id: (r.fill_bar // 86_400, r.fill_price) for r in L.first_touch_fills(orders, bars, 86_400).collect()}
     assert got == {1: (200, 2.0), 2: (2, 11.0), 4: (2, 8.5)}
 
 
