@@ -6,7 +6,9 @@ runs; a place matches when the automaton, started at a word, accepts, that is, w
 
 Defined cases: null or empty text has no words, no places, empty labels and score 0; places may overlap and all count;
 repeated rows each give a row; other columns are ignored; texts of any length are scanned whole.
-Score: 1 where a whole template of the method matches, else 0.5 where only a base phrase stands, else 0.
+A template may begin with a free region; then a match may begin at any word. Score: 1 where a whole license text stands,
+with all its mandatory wording, else 0.75 where a notice that names a license does, else 0.5 where only a base phrase
+stands, else 0.
 """
 
 from __future__ import annotations
@@ -21,14 +23,29 @@ from .common import chunks, in_batches, words_of
 
 #: Base phrases and their labels (fixed values).
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: Templates of the method (fixed values: wordings of public license notices).
-TEMPLATES = {
+_SOFTWARE = "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_REDISTRIBUTION = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>> 1 <</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>> 2 <</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+#: Whole license texts (fixed values: wordings of public licenses; names and numbers of clauses are free or may be left out).
+WHOLE = {
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>> including the next paragraph <</opt>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-2-text": f"{_REDISTRIBUTION} {_SOFTWARE}",
+    "bsd-3-text": f"{_REDISTRIBUTION} <<opt>> 3 <</opt>> neither the name of <<var:12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_SOFTWARE}",
+    "isc-text": "permission to use copy modify <<opt>> and <</opt>> <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var:12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var:12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<opt>> http <</opt>> <<opt>> https <</opt>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+}
+#: Notices that name a license (fixed values).
+NOTICES = {
     "mit-notice": "<<opt>> this work is <</opt>> released under the <<opt>> terms of the <</opt>> mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>> the software <</opt>> to deal in the software without restriction",
     "apache-2.0": "licensed under the apache license version 2 0 <<opt>> the license <</opt>>",
-    "gpl-3.0": "licensed under the gnu <<opt>> lesser <</opt>> general public license version 3 <<opt>> or later <</opt>>",
+    "gpl-3.0": "licensed under the gnu general public license version 3 <<opt>> or later <</opt>>",
+    "lgpl-3.0": "licensed under the gnu lesser general public license version 3 <<opt>> or later <</opt>>",
+    "agpl-3.0": "licensed under the gnu affero general public license version 3 <<opt>> or later <</opt>>",
     "gpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "cc-by-nc-4.0": "licensed under <<opt>> the <</opt>> <<opt>> creative commons <</opt>> cc by nc 4 0",
+    "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
+    "cc-by-4.0": "licensed under <<opt>> the <</opt>> <<opt>> a <</opt>> <<opt>> creative commons <</opt>> cc by 4 0",
+    "cc-by-sa-4.0": "licensed under <<opt>> the <</opt>> <<opt>> a <</opt>> <<opt>> creative commons <</opt>> cc by sa 4 0",
+    "cc-by-nc-4.0": "licensed under <<opt>> the <</opt>> <<opt>> a <</opt>> <<opt>> creative commons <</opt>> cc by nc 4 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "all-rights": "copyright <<opt>> c <</opt>> <<var:8>> all rights reserved",
@@ -75,8 +92,9 @@ class Automaton:
         self.start = self.closed([begin])
         self.steps: dict[tuple[frozenset, bytes], frozenset] = {}
         self.found: dict[frozenset, tuple[str, ...]] = {}
-        #: Words a match can begin with.
+        #: Words a match can begin with; with a free region in front, any.
         self.first = {w for n in self.start for w in self.arcs[n]}
+        self.anywhere = ANY in self.first
 
     def node(self) -> int:
         self.arcs.append({})
@@ -109,7 +127,7 @@ class Automaton:
 
     def places(self, words: list[bytes]):
         """(start, end, label) of every place; the shortest end of each label."""
-        for i in [i for i, w in enumerate(words) if w in self.first]:
+        for i in range(len(words)) if self.anywhere else [i for i, w in enumerate(words) if w in self.first]:
             state, k, seen = self.start, i, set()
             while state and k < len(words):
                 state = self.step(state, words[k])
@@ -125,9 +143,9 @@ def automaton(templates: tuple[tuple[str, str], ...]) -> Automaton:
     return Automaton(dict(templates))
 
 
-def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, base: dict[str, str] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, whole: dict[str, str] = WHOLE, notices: dict[str, str] = NOTICES, base: dict[str, str] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, places (start, end, label)."""
-    every = tuple((base | templates).items())
+    every = tuple((base | notices | whole).items())
 
     def run(batches):
         machine = automaton(every)
@@ -140,7 +158,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, base: dict[str, s
                 labels = {label for _, _, label in places}
                 out.append(
                     (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels & set(base))),
-                     ",".join(sorted(labels)), 1.0 if labels - set(base) else 0.5 if labels else 0.0,
+                     ",".join(sorted(labels)), 1.0 if labels & set(whole) else 0.75 if labels & set(notices) else 0.5 if labels else 0.0,
                      [{"start": i, "end": k, "label": label} for i, k, label in places])
                 )
             place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))
@@ -172,6 +190,6 @@ def oracle() -> str:
     with a as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
     b as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as j, list_filter(range(len(w)), lambda i: coalesce({place}, false)) as pos from a),
-    c as (select *, {joined(BASE)} as base_labels, {joined(BASE | TEMPLATES)} as labels from b)
+    c as (select *, {joined(BASE)} as base_labels, {joined(BASE | NOTICES | WHOLE)} as labels, {joined(WHOLE)} as texts, {joined(NOTICES)} as notices from b)
     select doc_id, cast(len(w) as bigint) as n_words, cast(len(pos) as bigint) as n_base, list_min(pos) as first_word, list_max(pos) as last_word,
-      base_labels, labels, cast(case when labels <> base_labels then 1 when labels <> '' then 0.5 else 0 end as double) as score from c"""
+      base_labels, labels, cast(case when texts <> '' then 1 when notices <> '' then 0.75 when labels <> '' then 0.5 else 0 end as double) as score from c"""

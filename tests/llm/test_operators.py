@@ -49,6 +49,38 @@ def test_license_scan_equals_sql(spark):
     assert "all-rights" in got[5].labels and "apache-2.0" in got[7].labels
 
 
+def test_whole_licenses_need_every_word(spark):
+    """Each license with names and numbers put in is found as itself; with one mandatory word changed it is not."""
+    rng, texts, want = random.Random(3), [], []
+    for label, template in licenses.WHOLE.items():
+        words, skip = [], False
+        for mark in licenses.MARK.finditer(template):
+            if mark[0].startswith("<<opt") or mark[0].startswith("<</opt"):
+                skip = mark[0] == "<<opt>>" and rng.random() < 0.5
+            elif mark[1]:
+                words += ["Acme", "Inc"]
+            elif not skip:
+                words.append(mark[0])
+        texts.append("Copyright (c) 2020 Acme. " + " ".join(words).upper() + " the end")
+        want.append((label, True))
+        broken = list(words)
+        broken[-3] = "zzz"
+        texts.append(" ".join(broken))
+        want.append((label, False))
+    texts.append("licensed under the gnu lesser general public license version 3")
+    df = frame(spark, texts)
+    got = rows(licenses.scan(df))
+    for i, (label, there) in enumerate(want):
+        assert (label in got[i].labels.split(",")) == there and (got[i].score == 1.0) == there, (label, there, got[i].labels)
+    assert got[len(want)].labels == "gpl,lgpl-3.0" and got[len(want)].score == 0.75
+    for w in sql(licenses.oracle(), documents=df).to_dict("records"):
+        assert (got[w["doc_id"]].labels, got[w["doc_id"]].score) == (w["labels"], w["score"])
+    free = licenses.Automaton({"x": "<<var:2>> stop"})
+    assert [p[:2] for p in free.places([b"a", b"b", b"stop"])] == [(0, 3), (1, 3), (2, 3)]
+    odd = licenses.scan(spark.createDataFrame([(None, "MIT License"), (None, None), (1, "mit license " * 300_000)], "doc_id long, text string")).collect()
+    assert sorted(r.n_base for r in odd) == [0, 1, 300_000] and licenses.scan(df.limit(0)).count() == 0
+
+
 def test_language_is_learned(spark):
     words = {"en": ["the", "and", "ing", "tion"], "de": ["der", "sch", "ung", "über"], "fr": ["les", "eau", "été", "que"]}
     docs = [(i, "".join(RNG.choices(words[lang] + [" "], k=40)), lang) for i, lang in enumerate(RNG.choices(list(words), k=300))]
