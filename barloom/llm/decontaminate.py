@@ -25,7 +25,6 @@ from .common import only, sweep, word_array, written
 
 KEY = ["k", "th"]
 LEADS = 3
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def sized(df: DataFrame, rows: int, small: int) -> DataFrame:
@@ -47,9 +46,13 @@ def windows_of(items: DataFrame, size: int, id_col: str, text_col: str, made: li
 
 
 def index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Postings (tid, k, th, pos) of the terms (term, tid), once each, sorted by term in files dealt by the whole posting, so that a frequent term is spread."""
+    """Postings (tid, k, th, pos) of the terms (term, tid), once each, sorted by term in files dealt by the whole posting, so that a frequent term is spread.
+
+    The empty term stands at place -1 of every document, where n_words tells its length."""
     rows = docs.select(*names(id_col, text_col), word_array(F.col(text_col)).alias("words"))
-    one = rows.select(*KEY, F.posexplode("words").alias("pos", "term")).join(terms, "term").select("tid", *KEY, "pos")
+    rows = rows.select(*KEY, F.size("words").alias("n"), "words")
+    one = rows.select(*KEY, "n", F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("at", "term")).join(terms, "term")
+    one = one.select("tid", *KEY, (F.col("at") - 1).alias("pos"), F.when(F.col("tid") < 0, F.col("n").cast("long")).alias("n_words"))
     return one.distinct().sortWithinPartitions("tid")
 
 
@@ -62,8 +65,8 @@ def close(lead: DataFrame, second: DataFrame, distance: int) -> DataFrame:
 
 def matches(
     docs: DataFrame, items: DataFrame, size: int = 13, small: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(exact places (k, th, start, length, wid), proximity matches (k, th, wid), items of windows (wid, item)); all are written."""
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(exact places (k, th, start, length, wid), proximity matches (k, th, wid), items of windows (wid, item), lengths of documents (k, th, n_words)); all are written."""
     made: list[str] = []
     spark = docs.sparkSession
     windows, of_items = windows_of(items, size, item_id, item_text, made)
@@ -72,10 +75,10 @@ def matches(
     vocabulary = written(terms.select("term").distinct().select("term", F.monotonically_increasing_id().alias("tid")), "vocabulary", made)
     n_terms = vocabulary.count()
     known = sized(vocabulary, n_terms, small)
-    df = docs.select(F.explode(word_array(F.col(text_col))).alias("term")).join(known, "term").groupBy("tid", "term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(word_array(F.col(text_col))).alias("term")).join(known, "term").groupBy("tid").agg(F.count("*").alias("df"))
     df = written(df, "frequencies", made)
     # A window with a term that no document has can't occur; the others are led by their rarest places.
-    ranked = terms.join(vocabulary, "term").join(df.drop("term"), "tid", "left").select("wid", "length", "off", "tid", F.coalesce("df", F.lit(0)).alias("df"))
+    ranked = terms.join(vocabulary, "term").join(df, "tid", "left").select("wid", "length", "off", "tid", F.coalesce("df", F.lit(0)).alias("df"))
     best = ranked.groupBy("wid", "length").agg(F.array_sort(F.collect_list(F.struct("df", "off", "tid"))).alias("by"))  # size terms at most
     best = written(best.where(F.col("by")[0]["df"] > 0), "ranked", made)
     n = best.count()
@@ -83,7 +86,8 @@ def matches(
     # The second different term of a window, for proximity.
     other = F.filter("by", lambda x: x["tid"] != F.col("by")[0]["tid"])
     pairs = best.where(F.size(other) > 0).select("wid", F.col("by")[0]["tid"].alias("one"), other[0]["tid"].alias("two"))
-    wanted = df.join(leads.union(pairs.select(F.col("two").alias("tid"))).distinct(), "tid", "left_semi").select("term", "tid")
+    wanted = vocabulary.join(leads.union(pairs.select(F.col("two").alias("tid"))).distinct(), "tid", "left_semi").select("term", "tid")
+    wanted = wanted.union(spark.createDataFrame([("", -1)], "term string, tid long"))
     postings = written(index(docs, sized(wanted, n_terms, small), id_col, text_col), "postings", made)
     found = None
     for k in range(LEADS):
@@ -101,21 +105,21 @@ def matches(
     told = found.join(sized(windows, n, small), "wid").join(words, KEY)
     exact = told.where(F.slice("words", F.col("start") + 1, F.col("length")) == F.col("terms")).select(*KEY, "start", "length", "wid").distinct()
     exact = written(exact, "exact", made)
-    sweep(spark, made, exact, near, of_items)
-    return exact, near, of_items
+    lengths = written(postings.where("tid < 0").select(*KEY, "n_words"), "lengths", made)
+    sweep(spark, made, exact, near, of_items, lengths)
+    return exact, near, of_items, lengths
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row: id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words and any hit), n_near, text_xxhash64."""
-    exact, near, of_items = matches(docs, items, size, id_col=id_col, text_col=text_col, item_id=item_id, item_text=item_text)
+    exact, near, of_items, lengths = matches(docs, items, size, id_col=id_col, text_col=text_col, item_id=item_id, item_text=item_text)
     places = exact.select(*KEY, "start", "length").distinct()
     hit = places.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     named = exact.select(*KEY, "wid").distinct().join(of_items, "wid").select(*KEY, "item").distinct()
     named = named.groupBy(*KEY).agg(F.array_sort(F.collect_list("item")).alias("items"))  # as many as the benchmark has at most
     close_ = near.groupBy(*KEY).agg(F.count("*").alias("n_near"))
-    counted = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc"), *names(id_col, text_col), counted.alias("n_words"))
-    out = rows.join(hit, KEY, "left").join(named, KEY, "left").join(close_, KEY, "left")
+    rows = docs.select(F.col(id_col).alias("doc"), *names(id_col, text_col))
+    out = rows.join(lengths, KEY).join(hit, KEY, "left").join(named, KEY, "left").join(close_, KEY, "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

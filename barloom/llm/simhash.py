@@ -23,7 +23,7 @@ unless all ids of it are null; other columns are ignored; texts of any length ar
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +37,8 @@ from .common import SMALL_IDS, chunks, in_batches, only, sweep, with_groups, wor
 from .substring import tokens
 
 TREE_SIZE = 4096
+#: Shards of at most so many texts are searched for all links.
+FEW = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -95,18 +97,24 @@ class BKTree:
                 todo += [kids[k] for k in range(d - radius, d + radius + 1) if k in kids]
         return found
 
-    def nearest(self, value: int, radius: int) -> dict[int, int]:
-        """Of each component that has a member within the radius, the nearest one, by its root."""
-        best: dict[int, tuple[int, int]] = {}
-        todo = [0] if self.values else []
+    def within(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """(distance, member) of all members within the radius."""
+        found, todo = [], [0] if self.values else []
         while todo:
             n = todo.pop()
             d = (self.values[n] ^ value).bit_count()
             if d <= radius:
-                r = self.root(n)
-                best[r] = min(best.get(r, (d, n)), (d, n))
+                found.append((d, n))
             kids = self.children[n]
             todo += [kids[k] for k in kids if abs(k - d) <= radius]
+        return found
+
+    def nearest(self, value: int, radius: int) -> dict[int, int]:
+        """Of each component that has a member within the radius, the nearest one, by its root."""
+        best: dict[int, tuple[int, int]] = {}
+        for d, n in self.within(value, radius):
+            r = self.root(n)
+            best[r] = min(best.get(r, (d, n)), (d, n))
         return {r: n for r, (_, n) in best.items()}
 
     def add(self, value: int, roots: set[int]) -> None:
@@ -255,23 +263,27 @@ def sketches(df: DataFrame, minima: int) -> DataFrame:
 
 
 def tree_pairs(rows: DataFrame, radius: int, tree_size: int, kind: str) -> DataFrame:
-    """(a, b) candidates of rows (key, n, id, fp): each row and the nearest member of each component within the radius."""
-    rows = tree_rows(rows, tree_size, "id").select("key", "tree", "query", "id", "fp")
+    """(a, b) candidates of rows (key, n, id, fp): each row and, in shards of at most FEW, every member within the radius; in larger ones the nearest member of each component."""
+    rows = tree_rows(rows, tree_size, "id").select("key", "tree", "query", "id", "fp", "n")
     ids = to_arrow_type(rows.schema["id"].dataType)
 
     def run(batches):
         now, tree, names = None, BKTree(), []
         for batch in batches:
             a, b = [], []
-            for key, number, query, doc, fp in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, number, query, doc, fp, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, number) != now:
                     now, tree, names = (key, number), BKTree(), []
                 value = fp & (1 << 64) - 1
-                found = tree.nearest(value, radius)
+                if n <= FEW:
+                    roots, found = set(), [m for _, m in tree.within(value, radius)]
+                else:
+                    best = tree.nearest(value, radius)
+                    roots, found = set(best), best.values()
                 a += [doc] * len(found)
-                b += [names[n] for n in found.values()]
+                b += [names[m] for m in found]
                 if not query:
-                    tree.add(value, set(found))
+                    tree.add(value, roots)
                     names.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], ["a", "b"])
 
@@ -285,9 +297,10 @@ def similar_texts(
 
     Texts link when their sets of 5-word shingles have a similarity (shared over all) of at least `similar`. Equal sets
     are one node. Nodes meet in `bands` shards, each named by `band` least hashes, so two texts at 0.8 miss each other
-    with probability (1 - 0.8^3)^10 < 0.001. In a shard, nodes whose least hashes mostly agree with those of the
-    shard's smallest id are paired with it; the others are searched with a BK-tree of the shard's fingerprints, where
-    a text at 0.8 is beyond 18 of 64 bits with probability under 0.005. All pairs are verified on the shingles.
+    with probability (1 - 0.8^3)^10 < 0.001. A shard is searched with a BK-tree of its fingerprints, where a text at 0.8 is
+    beyond 18 of 64 bits with probability under 0.005. In shards of more than FEW nodes, those whose least hashes mostly
+    agree with those of the smallest id or of the node in the middle of all fingerprints are paired with it, so that a family of m copies
+    makes about 2 m pairs and not m squared; the tree searches the others. All pairs are verified on the shingles.
 
     Defined cases: rows without an id are left out; rows that share an id are one document; texts without words are
     equal; fewer than five words are one shingle; an empty table gives no row; other columns are ignored.
@@ -300,10 +313,28 @@ def similar_texts(
     nodes = written(seen.groupBy("kind").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.first("fp").alias("fp"), F.first("least").alias("least")), "nodes", made)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("least")[band * b + i] for i in range(band)]) for b in range(bands)])
     rows = with_groups(nodes.select("id", "fp", "least", F.explode(keys).alias("key")), "key", F.min(F.struct("id", "least")).alias("first"), made=made)
-    agree = F.size(F.filter(F.zip_with("least", "first.least", lambda x, y: x == y), lambda x: x))
-    rows = written(rows.select("key", "id", "fp", F.col("first.id").alias("pivot"), (agree >= similar * bands * band).alias("near")), "shards", made)
-    stars = rows.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    rest = with_groups(rows.where("not near or id = pivot").select("key", "id", "fp"), "key", made=made)
+    rows = written(rows.select("key", "n", "id", "fp", "least", "first"), "met", made)
+    minima = bands * band
+    agree = lambda x: F.size(F.filter(F.zip_with("least", x, lambda p, q: p == q), lambda e: e))
+    # A large shard is a family: most of it is near its middle, the text whose fingerprint is nearest to the majority of each bit.
+    large = rows.where(F.col("n") > FEW)
+    bit = lambda k: F.shiftrightunsigned("fp", k).bitwiseAND(1)
+    value = lambda k: F.lit(1 << k if k < 63 else -(1 << 63))
+    sums = large.groupBy("key").agg(F.count("*").alias("m"), *[F.sum(bit(k)).alias(f"b{k}") for k in range(64)])
+    major = sums.select("key", reduce(lambda x, y: x.bitwiseOR(y), [F.when(2 * F.col(f"b{k}") > F.col("m"), value(k)).otherwise(F.lit(0).cast("long")) for k in range(64)]).alias("major"))
+    major = written(major, "major", made)
+    n_large = major.count()
+    sized = lambda x: F.broadcast(x) if n_large <= small else x
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
+    middle = large.join(sized(major), "key").groupBy("key").agg(F.min_by(F.struct("id", "least"), F.struct(away, "id")).alias("middle"))
+    middle = written(middle, "middle", made)
+    large = large.join(sized(middle), "key").withColumns({"to_first": agree(F.col("first.least")), "to_middle": agree(F.col("middle.least"))})
+    close = 0.85 * similar * minima  # some way below, for the pairs are verified
+    each = F.array(*[F.when(F.col(f"to_{x}") >= close, F.col(f"{x}.id")) for x in ("first", "middle")])
+    lead = (F.col("id") == F.col("first.id")) | (F.col("id") == F.col("middle.id"))
+    large = written(large.select("key", "n", "id", "fp", F.array_compact(each).alias("pivots"), lead.alias("lead")), "shards", made)
+    stars = large.select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b")
+    rest = rows.where(F.col("n") <= FEW).select("key", "n", "id", "fp").unionByName(large.where((F.size("pivots") == 0) | F.col("lead")).select("key", "n", "id", "fp"))
     pairs = written(stars.unionByName(tree_pairs(rest, radius, tree_size, kind)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs", made)
     sweep(spark, made, seen, nodes, pairs)
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import corpus_pipeline
 
-from barloom.llm import substring
+from barloom.llm import simhash, substring
 
 RNG = random.Random(3)
 
@@ -116,3 +116,105 @@ def test_pipeline_stages(spark, tmp_path):
     cut = spark.read.parquet(f"{tmp_path}/substring_dedup").where("doc_id = 5").first()
     assert shared.split()[0] not in cut.text and cut.n_chars == len(cut.text)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_every_exact_repeat_is_covered(spark):
+    """Brute force over all pairs: each run of 50 words that a smaller document has lies in found passages, whoever quotes parts of it."""
+    rng = random.Random(12)
+    pool = [passage(n) for n in (50, 55, 64, 80, 120) for _ in range(4)]
+    texts = {}
+    for i in range(90):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(pool)
+            if rng.random() < 0.4:  # a part that is too short
+                k = rng.randrange(20, 46)
+                at = rng.randrange(len(p) - k)
+                p = p[at : at + k]
+            text += [*passage(rng.randrange(0, 30)), *p]
+        texts[i] = text
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    found = {}
+    for r in substring.passages(df).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.first_word, r.last_word + 1))
+        shared = set(zip(*[texts[r.doc_id][r.first_word + k : r.last_word + 1] for k in range(5)])) & set(zip(*[texts[r.source_doc_id][k:] for k in range(5)]))
+        assert r.source_doc_id < r.doc_id and r.last_word - r.first_word >= 49 and shared
+    seen = {}
+    for i, t in texts.items():
+        for k in range(len(t) - 49):
+            run = tuple(t[k : k + 50])
+            if seen.setdefault(run, i) < i:
+                assert set(range(k, k + 50)) <= found.get(i, set()), (i, k, seen[run])
+
+
+def brute_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_similar_texts_equal_brute_force(spark):
+    """Copies, and copies with words changed, put in and left out: groups are those of all pairs at 0.8."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(25):
+        base = passage(rng.randrange(40, 400))
+        texts.append(base)
+        for _ in range(rng.randrange(6)):
+            t = list(base)
+            for _ in range(rng.randrange(0, 1 + len(t) // 30)):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randrange(2)] = [rng.choice(["new", "words", "here"])] * rng.randrange(2)
+            texts.append(t)
+    texts += [["short", "text"]] * 2 + [["short", "words"], [], []]
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [brute_sets(t) for _, t in docs]
+    label, links = list(range(len(docs))), []
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links.append((a, b))
+    for _ in range(20):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = [(i, t, 1) for i, t in docs] + [(None, docs[0][1], 1), (0, docs[0][1], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()}
+    assert {i: got.get(i, i) for i, _ in docs} == dict(enumerate(label))
+    assert {i: simhash_groups.get(i, i) for simhash_groups in [{r.doc_id: r.component_id for r in simhash.similar_texts(df, tree_size=3).collect()}] for i, _ in docs} == dict(enumerate(label))
+    assert simhash.similar_texts(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Rows without an id, repeated rows, an empty table, a long text and extra columns with clashing names."""
+    leak = " ".join(passage(30, "quiz"))
+    long = " ".join(passage(60_000))
+    text = " ".join(passage(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, label string"
+    rows = [(None, text, "en", "s", 1, 5, "x"), (None, text, "en", "s", 1, 5, "x"), (None, leak, "en", "s", 1, 5, "x"), (3, text, "en", "s", 1, 5, "x"), (3, text, "en", "s", 1, 5, "x"), (4, text, "en", "s", 1, 5, "x"), (5, long, "en", "s", 1, 5, "x"), (6, None, None, None, None, None, None)]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wanted = {"language_id": [None, None, None, 3, 3, 4, 5], "simhash_near_dedup": [None, None, None, 3, 3, 5], "substring_dedup": [None, None, None, 3, 3, 5], "decontamination": [None, None, 3, 3, 5], "bpe": [None, None, 3, 3, 5]}
+    for name, data in (("odd", rows), ("none", [])):
+        df = spark.createDataFrame(data, schema)
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{stage}")
+            df = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            assert sorted((r.doc_id for r in df.collect()), key=lambda x: (x is not None, x or 0)) == (wanted[stage] if data else []), stage
+
+
+def test_a_large_family_is_found_around_its_middle(spark):
+    """300 copies at 0.82 or more of one text and often under 0.8 of each other; the smallest ids are copies."""
+    rng = random.Random(8)
+    base = passage(200)
+    texts = []
+    for _ in range(300):
+        t = list(base)
+        for k in rng.sample(range(200), 4):
+            t[k] = f"e{rng.randrange(10**6)}"
+        texts.append(t)
+    texts.insert(150, base)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [brute_sets(t) for _, t in docs]
+    linked = [len(s & sets[150]) >= 0.8 * len(s | sets[150]) for s in sets]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(linked) > 250 and sum(got.get(i) == 0 for i, x in enumerate(linked) if x) >= 0.99 * sum(linked)
