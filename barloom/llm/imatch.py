@@ -37,21 +37,22 @@ def lexicon(docs: DataFrame, low: float, high: float, subsets: int, levels: int,
 
 
 def fingerprints(texts: DataFrame, kept: DataFrame, subsets: int, by: list[str], text_col: str) -> DataFrame:
-    """by and prints (array of one hash a subset, null where no term is kept) for each row of texts, whose by is unique."""
+    """by, sha (of the text) and prints (array of one hash a subset, null where no term is kept; the hash of all terms in each where none is) for each row of texts, whose by is unique."""
     words = F.sort_array(F.array_distinct(word_array(F.col(text_col))))
-    # Nothing but the keys is carried beside the words; the empty word stands for the document, so that all stay.
-    rows = texts.select(*by, words.alias("words")).select(*by, F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("word"))
+    rows = texts.select(*by, F.sha2(text_col, 256).alias("sha"), words.alias("words"))
+    rows = rows.select(*by, "sha", "words", F.xxhash64(F.array_join("words", " ")).alias("all"))
+    # Only the empty word, which stands for the document so that all stay, carries what is told of the whole text.
+    none = F.lit(None)
+    entry = lambda w, sha, all_: F.struct(w.alias("word"), sha.cast("string").alias("sha"), all_.cast("long").alias("all"))
+    every = F.concat(F.array(entry(F.lit(""), F.col("sha"), F.col("all"))), F.transform("words", lambda w: entry(w, none, none)))
+    rows = rows.select(*by, F.explode(every).alias("e")).select(*by, "e.*")
     rows = rows.withColumn("term", F.when(F.col("word") != "", F.xxhash64("word")).otherwise(F.lit(0)))
     hashed = F.xxhash64(F.array_join(F.sort_array(F.collect_list("word")), " "))
-    terms = rows.join(kept, "term").groupBy(*by, "subset").agg(hashed.alias("print"))
-    found = terms.groupBy(*by).agg(F.collect_list(F.when(F.col("subset") >= 0, F.struct("subset", "print"))).alias("got"))
+    terms = rows.join(kept, "term").groupBy(*by, "subset").agg(hashed.alias("print"), F.max("sha").alias("sha"), F.max("all").alias("all"))
+    found = terms.groupBy(*by).agg(F.collect_list(F.when(F.col("subset") >= 0, F.struct("subset", "print"))).alias("got"), F.max("sha").alias("sha"), F.max("all").alias("all"))
     of = F.map_from_entries("got")
     each = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda j: F.try_element_at(of, j))
-    return found.select(*by, F.when(F.size("got") > 0, each).alias("prints"))
-
-
-def whole_hash(text: Column) -> Column:
-    return F.xxhash64(F.array_join(F.sort_array(F.array_distinct(word_array(text))), " "))
+    return found.select(*by, "sha", F.when(F.size("got") > 0, each).otherwise(F.array_repeat("all", subsets)).alias("prints"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,7 +92,6 @@ def fingerprint_edits(
     line = written(followers(ids, made), "order", made)
     texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
     # What a row gives to the one before it: as many first characters as that one loses.
-    part = F.floor(F.col("n_chars") / 4).cast("int")
     given = texts.join(line, KEY)
     given = given.select(*KEY, "n_chars", "copies", "text", "pk", "pt", F.expr("left(text, cast(floor(p_chars / 4) as int))").alias("head"))
     heads = given.select(F.col("pk").alias("k"), F.col("pt").alias("t"), "head")
@@ -101,14 +101,11 @@ def fingerprint_edits(
     again = F.concat(kept_part, F.expr("left(text, cast(floor(length(text) / 4) as int))"))
     # kind 0: the text; 1: edited by the next row; 2: edited by its own text, where the same row follows.
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("x")), F.struct(F.lit(1).alias("kind"), last.alias("x")), F.struct(F.lit(2).alias("kind"), F.when(F.col("copies") > 1, again).alias("x")))
-    each = written(mine.select(*KEY, F.inline(kinds)).where("x is not null"), "texts", made)
+    each = mine.select(*KEY, F.inline(kinds)).where("x is not null")
     kept = written(lexicon(docs, low, high, subsets, levels, text_col), "lexicon", made)
     size = kept.count()
     kept = kept.union(kept.sparkSession.createDataFrame([(0, -1)], "term long, subset int"))
-    prints = fingerprints(each, F.broadcast(kept) if size <= small else kept, subsets, [*KEY, "kind"], "x")
-    # Who has no kept term shows the hash of all its terms in every subset.
-    told = each.select(*KEY, "kind", F.when(F.col("kind") > 0, F.sha2("x", 256)).alias("sha"), whole_hash(F.col("x")).alias("all")).join(prints, [*KEY, "kind"])
-    told = told.select(*KEY, "kind", "sha", F.coalesce("prints", F.array_repeat("all", subsets)).alias("prints"))
+    told = fingerprints(each, F.broadcast(kept) if size <= small else kept, subsets, [*KEY, "kind"], "x")
     at = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     own = told.groupBy(*KEY).agg(at("prints", 0).alias("prints"), at("prints", 1).alias("edited"), at("sha", 1).alias("sha"), at("prints", 2).alias("edited_again"), at("sha", 2).alias("sha_again"))
     own = written(own, "prints", made)
