@@ -25,7 +25,7 @@ SF = "/root/testdata/sf0.001"
 def plain(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = df[c].map(lambda v: "null" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, float) else str(v))
+        df[c] = df[c].map(lambda v: "null" if v is None or v is pd.NA or v is pd.NaT or v != v else f"{float(v):.5f}" if isinstance(v, float) else str(v))
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
