@@ -198,6 +198,23 @@ def test_simhash_components_equal_brute_force(spark, tree_size):
         assert (got[i].fingerprint, got[i].component_id) == (f"{prints[i]:016x}", label[i])
 
 
+def test_simhash_and_language_on_odd_rows(spark):
+    """Null ids, repeated rows, an id of two texts, a text of half a million words, no rows, clashing columns."""
+    long = "the quick brown fox " * 125_000
+    rows_ = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (7, "other words here now"), (8, None), (9, ""), (10, long), (11, long)]
+    df = spark.createDataFrame([(i, t, "en", 1, "z") for i, t in rows_], "doc_id long, text string, lang string, fp int, component_id string").repartition(3)
+    got = sorted(((r.doc_id or 0), r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
+    prints = {t: f"{brute_fingerprint(t):016x}" for _, t in rows_}
+    same = prints["a b c d"]
+    assert [(d, f) for d, f, _ in got] == sorted(((d or 0), prints[t]) for d, t in rows_)
+    assert {c for d, f, c in got if f == same} == {7} and {c for d, f, c in got if f == prints[None]} == {8} and {c for d, f, c in got if d in (10, 11)} == {10}
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    model = langid.train(df)
+    told = langid.predict(df, model).collect()
+    assert sorted(((r.doc_id or 0), r.lang_pred) for r in told) == sorted(((d or 0), "en" if t else "und") for d, t in rows_)
+    assert langid.predict(df.limit(0), model).count() == 0
+
+
 def test_decontamination_equals_sql(spark):
     line = " ".join(f"q{i}" for i in range(40))
     texts = TEXTS + [line, "a b " + line.upper() + " c", " ".join(line.split()[5:18]), " ".join(line.split()[5:17]), "short item here", line + " x " + line]
