@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import expand
-from .common import chunks, in_batches, utf8
+from .common import HELD, chunks, in_batches, utf8
 from .pretoken import classes, pieces
 from .token_counts import byte_letters
 
@@ -90,6 +90,7 @@ class LibraryEncoder:
 
 @functools.cache
 def encoder(path: str) -> LibraryEncoder:
+    HELD.append(("token files", encoder.cache_clear))
     return LibraryEncoder(path)
 
 
@@ -129,7 +130,7 @@ def write_ids(df: DataFrame, out: str, path: str, vocabulary: int, end_id: int =
     # The text's hash is part of the range, so that an id that many rows share is spread; a number beside it splits equal rows.
     ordered = df.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col).alias("_h"), F.monotonically_increasing_id().alias("_r"))
     ordered = ordered.repartitionByRange(F.col(id_col).asc(), "_h", "_r").sortWithinPartitions(id_col, "_h", "_r").select(id_col, text_col)
-    in_batches(ordered, run, SCHEMA).write.parquet(out)
+    in_batches(ordered, run, SCHEMA, "token files").write.parquet(out)
 
 
 def read_documents(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFrame:

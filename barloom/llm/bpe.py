@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_batches, utf8
+from .common import HELD, chunks, in_batches, utf8
 from .pretoken import classes, pieces
 
 #: Bounds of what a worker remembers; each entry takes 100 to 400 bytes.
@@ -287,6 +287,7 @@ def expand(found: pa.DictionaryArray, lists: list[tuple[int, ...]]) -> tuple[np.
 
 @functools.cache
 def transducer(path: str) -> Transducer:
+    HELD.append(("bpe", transducer.cache_clear))
     return Transducer(ranks(path))
 
 
@@ -324,7 +325,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             )
         transducer(path).rest()
 
-    return in_batches(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary")
+    return in_batches(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary", "bpe")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", block: int = 1 << 16) -> DataFrame:
@@ -339,7 +340,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", block: int = 1 << 1
                 texts.append("".join(decode_blocks((ids[i : i + block].tolist() for i in range(0, len(ids), block)), names)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return in_batches(df.select(id_col, "ids"), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string")
+    return in_batches(df.select(id_col, "ids"), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string", "bpe")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,5 +365,5 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         transducer(path).rest()
 
     return in_batches(df.select(F.col(id_col), F.col(text_col)),
-        run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe"
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +64,33 @@ def bounded_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with bounded batches; workers give unused memory back at the end of each task."""
+#: What operators remember in a worker between their tasks: (owner, how to forget it).
+HELD: list[tuple[str, Callable[[], None]]] = []
+
+
+def give_back() -> None:
+    """Gives memory that Arrow and the C library hold without use back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def begin(owner: str = "") -> None:
+    """Called when a task begins: workers are used again by the next stage, which needs nothing of what another operator remembered."""
+    for name, forget in [h for h in HELD if h[0] != owner]:
+        forget()
+        HELD.remove((name, forget))
+
+
+def in_batches(df: DataFrame, run, schema, owner: str = "") -> DataFrame:
+    """df.mapInArrow with bounded batches; workers give unused memory back at the end of each task, and forget what operators other than the owner remembered."""
     bounded_batches(df)
 
     def task(batches):
+        begin(owner)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(task, schema)
 
@@ -129,4 +151,4 @@ def chunks(batches, most: int = 4 << 20, at: int = 1):
             stop = max(start + 1, int(np.searchsorted(offs, offs[start] + most, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
-            pa.default_memory_pool().release_unused()
+            give_back()

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, in_batches, utf8
+from .common import begin, bounded_batches, chunks, give_back, in_batches, utf8
 
 ORDER = 3
 #: So many languages' sizes are broadcast at most.
@@ -221,6 +221,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def told(texts: pa.Array, known: pa.Array) -> pa.Array:
+        begin("language")
         model, names, scores = frozen.value, [], []
         for part in parts(texts, 1 << 20):
             first = len(names)
@@ -234,6 +235,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             names += [model.languages[b] if k else "und" for b, k in zip(best, ok)]
             scores += np.where(ok, score, 0.0).tolist()
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     bounded_batches(df)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks, in_batches, utf8
+from .common import HELD, chunks, in_batches, utf8
 from .pretoken import classes, pieces
 
 END = "</w>"
@@ -93,6 +93,7 @@ class WordMerges:
 
 @functools.cache
 def merges(path: str) -> WordMerges:
+    HELD.append(("token counts", merges.cache_clear))
     return WordMerges(path)
 
 
@@ -142,4 +143,4 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
             size = np.diff(utf8(part.column(1))[1])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return in_batches(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", "token counts")
