@@ -9,11 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import bars as B
-from barloom.operators import features as X
 from barloom.operators import ledger as L
 from barloom.operators import quality as K
-from barloom.operators import research as R
-from barloom.operators import rules as U
 from barloom.sources import tables as S
 
 from .queries import BAD_TICKS, DAYS, FILLS, GRID, HOUR, OPEN, TICKS, VALID_TICKS, bad_ticks, bars, bars_sql, query, r6

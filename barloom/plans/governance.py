@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import governance as G
-from barloom.operators import store as W
-from barloom.operators import trading as T
 from barloom.sources import tables as S
 from barloom.streaming import bars as B
 
-from .decisions import RISK, averaged, intents, risk_, LIMITS
-from .queries import DAYS, FILLS, HOUR, OPEN, TICKS, bars, bars_sql, query, r6
+from .decisions import RISK, intents, risk_
+from .queries import DAYS, FILLS, HOUR, OPEN, TICKS, bars, bars_sql, query
 
 # Content ids
 
@@ -32,7 +30,6 @@ query(
     "verify_stable_ids",
     f"with p as (select p_partkey as k, case when p_partkey % 5 > 0 then p_brand end as a, p_size as b from part) select k, 'run-x' as id, {_id} as expected_id from p where k % 17 = 0",
 )(lambda s, d: G.verify_stable_ids(identified(s, d), "run", "id", ["k", "a", "b"]).select("k", "id", "expected_id"))
-_payload = "case when k % 7 = 0 then '{{\"id\": ' || k else '{{\"id\": ' || k || ', \"name\": \"' || n || '\"}}' end"
 _doc = "case when k % 7 = 0 then '{\"id\": ' || k when k % 11 = 0 then '{\"id\": ' || k || '}' else '{\"id\": ' || k || ', \"name\": \"' || n || '\"}' end"
 
 

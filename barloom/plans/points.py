@@ -13,15 +13,15 @@ from barloom.functions.columns import session_open
 from barloom.operators import asof as A
 from barloom.operators import bars as B
 from barloom.operators import books as K
+from barloom.operators import features as X
 from barloom.operators import gates as G
 from barloom.operators import ledger as L
 from barloom.operators import store as W
 from barloom.operators import trading as T
 from barloom.sources import tables as S
 
-from .desk import HB, LEDGER, MARKS, QUOTES, cents, c2, odd_quotes
-from .queries import BAD_TICKS, DAY, DAYS, FEATURE_BASE, FILLS, GRID, HOUR, OPEN, TICKS, bad_ticks, bars, bars_sql, feature_bars, feature_sql, query, r6
-from barloom.operators import features as X
+from .desk import HB, LEDGER, QUOTES, c2, cents, odd_quotes
+from .queries import DAY, DAYS, FEATURE_BASE, FILLS, GRID, HOUR, OPEN, TICKS, bars, bars_sql, feature_bars, feature_sql, query, r6
 
 # Times
 
@@ -106,7 +106,7 @@ query("query_features", f"{STORED} select symbol, bar, feature, version, paramet
 query("latest_feature", f"{STORED} select symbol, feature, version, parameters, dataset, bar, value, status from st qualify row_number() over (partition by symbol, feature, dataset order by bar desc) = 1")(
     lambda s, d: W.latest_feature(stored_features(s, d))
 )
-query("audit_last_write", f"with {FILLS} select account, arg_max(fill_id, (t, fill_id)) as fill_id, arg_max(price, (t, fill_id)) as price from fills group by 1")(
+query("append_audit_tables", f"with {FILLS} select account, arg_max(fill_id, (t, fill_id)) as fill_id, arg_max(price, (t, fill_id)) as price from fills group by 1")(
     lambda s, d: W.latest_by_id(S.fills(s, d).select("account", "fill_id", "price", "t"), "account", ["t", "fill_id"]).drop("t")
 )
 query("order_events", f"with {TICKS} select row_no, row_number() over (order by us, symbol, row_no) - 1 as event_no from ticks")(lambda s, d: W.order_events(S.ticks(s, d).select("us", "symbol", "row_no"), ["us", "symbol", "row_no"]).select("row_no", "event_no"))
@@ -283,7 +283,6 @@ query(
     f"""with g as (select k, {", ".join(f"{e} as {n}" for n, e in GATE.items())} from (select p_partkey as k from part)) select k, case when rows = 0 then 'data_empty' when scopes > 1 then 'mixed_scope' when duplicates > 0 then 'duplicate_bars' when incomplete > 0 then 'incomplete_bars'
     when 1000000 - latest > 7200 then 'data_stale' when bid is null then 'quote_missing' when quote_time > 1000000 then 'quote_in_future' when 1000000 - quote_time > 7200 then 'quote_stale' end as reason from g""",
 )(lambda s, d: G.admission_gate(S.table(s, d, "part").selectExpr("p_partkey as k").selectExpr("k", *[f"{_gate(e)} as {n}" for n, e in GATE.items()]), F.lit(1_000_000), 7200).select("k", "reason"))
-_ops = "n_nationkey % 5 as v"
 query(
     "operational_data_gate",
     f"""with {bars_sql(HOUR)}, l as (select symbol, max(bar) as latest, arg_max(close, bar) as bid, arg_max(close, bar) + case when symbol = 'view' then -1 else 1 end as ask, max(bar) + 3600 as quote_time from bars group by 1), m as (select max(latest) + 7200 as now from l),
