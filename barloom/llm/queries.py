@@ -6,7 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe, decontaminate, imatch, langid, licenses, sharding, simhash, substring, token_counts
+from . import bitpack, bpe, decontaminate, imatch, langid, licenses, sharding, simhash, substring, suffixes, token_counts
 from .common import shared_dir, table
 
 
@@ -55,6 +55,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.repeats(table(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_bpe": op2_bpe,
@@ -66,5 +71,6 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_suffixes": op11_suffixes,
 }
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle(), "op7_decontamination": decontaminate.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle(), "op7_decontamination": decontaminate.oracle(), "op11_suffixes": suffixes.oracle()}
