@@ -6,7 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe, decontaminate, imatch, langid, licenses, sharding, simhash, substring, suffixes, token_counts
+from . import bitpack, bpe, decontaminate, imatch, langid, licenses, sharding, simhash, substring, suffixes, token_counts, trie
 from .common import shared_dir, table
 
 
@@ -60,6 +60,10 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_bpe": op2_bpe,
@@ -72,5 +76,6 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_suffixes": op11_suffixes,
+    "op12_trie": op12_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle(), "op7_decontamination": decontaminate.oracle(), "op11_suffixes": suffixes.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle(), "op7_decontamination": decontaminate.oracle(), "op11_suffixes": suffixes.oracle(), "op12_trie": trie.oracle()}
