@@ -2,7 +2,7 @@
 
 Every suffix is looked at through its first `length` bytes only, its window. Windows are sorted by most significant
 digits, and a group that can't hold a repeat leaves after each pass. The first digit of a window is its anchor, the
-24-byte string in it with the least hash; as neighbouring windows mostly have the same anchor, a run of them (a stretch)
+32-byte string in it with the least hash; as neighbouring windows mostly have the same anchor, a run of them (a stretch)
 travels as one record: anchor, digest of all its bytes, smallest document.
 
 * Pass 1 groups stretches by anchor, then by digest. Equal stretches have the same windows, so of each only the smallest
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, in_batches, shared_dir, utf8
 
-GRAM = 24  # bytes of an anchor
+GRAM = 32  # bytes of an anchor
 PART = 64  # most windows of a stretch
 STEP = 1 << 17  # windows that are hashed at a time
 CHUNK_BYTES = 4 << 20
@@ -56,7 +56,7 @@ def grams(raw: np.ndarray) -> np.ndarray:
         x = x[:-n] << np.uint64(8 * n) | x[n:]
         n *= 2
     m = len(raw) - GRAM + 1
-    return mixed(mixed(x[:m] + M3) + M2 * x[8 : 8 + m] + mixed(x[16 : 16 + m] ^ M1))
+    return mixed(mixed(x[:m] + M3) + M2 * x[8 : 8 + m] + mixed((x[16 : 16 + m] ^ M1) * M3 + x[24 : 24 + m]))
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -176,7 +176,7 @@ def asked(df: DataFrame, run, ranges: int, name: str) -> DataFrame:
     told.write.parquet(path)
     told = df.sparkSession.read.schema("chunk long, range int, told binary").parquet(path)
     # A chunk has at most as many answers as stretches or windows of its own few MB.
-    return told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "told"))).alias("said")).select("chunk", F.col("said.told").alias(name))
+    return told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "told"))).alias("said")).select("chunk", F.col("said.told").alias(name)).hint("shuffle_hash")
 
 
 def rows_of(batch: pa.RecordBatch, length: int):
@@ -219,10 +219,11 @@ def chunked(df: DataFrame, length: int, id_col: str, text_col: str, buckets: int
 
 def repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, spans (array of start, stop: maximal runs of bytes covered by windows that also start in a document with a smaller id), kept (the other bytes)."""
-    if length < 2 * GRAM:
-        raise ValueError(f"windows have {2 * GRAM} bytes at least")
+    if length < GRAM:
+        raise ValueError(f"windows have {GRAM} bytes at least")
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    table = chunked(df, length, id_col, text_col, buckets=max(24, total >> 26))
+    # Fewer buckets than shuffle partitions would make Spark deal the chunks out anew in each join.
+    table = chunked(df, length, id_col, text_col, buckets=max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 26))
     sums = table.agg(F.sum("kinds")).first()[0] or 0
     # An anchor with a share of HOT overall has half of that in some chunks at least; 2 / HOT of them at most.
     hot = table.select(F.explode(F.arrays_zip("hot", "many")).alias("x")).groupBy("x.hot").agg(F.sum("x.many").alias("n")).where(F.col("n") >= max(64, HOT * sums / 2)).select("hot")
