@@ -6,7 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe, decontaminate, imatch, langid, licenses, sharding, simhash, substring, suffixes, token_counts, trie
+from . import alignment, bitpack, bpe, decontaminate, imatch, langid, licenses, sharding, simhash, substring, suffixes, token_counts, trie
 from .common import shared_dir, table
 
 
@@ -64,6 +64,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_bpe": op2_bpe,
@@ -77,5 +81,6 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_suffixes": op11_suffixes,
     "op12_trie": op12_trie,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle(), "op7_decontamination": decontaminate.oracle(), "op11_suffixes": suffixes.oracle(), "op12_trie": trie.oracle()}
