@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +114,16 @@ class Aligner:
 
     def learn(self, units: list[str], table: np.ndarray) -> list[tuple]:
         """Units, each a blank and what follows, laid end to end."""
-        a = [x.tolist() for x in self.a.chunk(pa.array(units, pa.large_string()), table)]
+        a = self.a.chunk(pa.array(units, pa.large_string()), table)
         b = [x or [self.blank] for x in self.b.encode([u[1:] for u in units], num_threads=1)]
+        n_a, n_b = [len(x) for x in a], [len(x) for x in b]
+        ids_a, ids_b = np.concatenate(a).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, sum(n_b))
         raw = [u.encode() for u in units]
-        good = [b"".join([self.bytes_a[i] for i in x]) == r == b"".join([self.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw)]
-        ids_a, ids_b = (np.array([i for x, g in zip(v, good) if g for i in x], np.int64) for v in (a, b))
+        said = b"".join(raw)
+        good = [True] * len(units)
+        if not said == b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())):
+            good = [b"".join([self.bytes_a[i] for i in x]) == r == b"".join([self.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw)]
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         to_a, to_b = aligned_ends(ends_a.tolist(), ends_b.tolist())
         marks = np.union1d(ends_a, ends_b)  # between two of these one token of each covers the bytes: a link
@@ -126,14 +132,17 @@ class Aligner:
         group = np.searchsorted(ends_a[np.array(to_a, np.int64) - 1], stops, "right").tolist() if len(stops) else []
         link = np.searchsorted(marks, stops, "right").tolist()
         said_a, said_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        spelled = [",".join(said_a[p:i]) + "|" + ",".join(said_b[q:j]) for p, i, q, j in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+        spelled = [f"{said_a[p]}|{said_b[q]}" if i - p == j - q == 1 else ",".join(said_a[p:i]) + "|" + ",".join(said_b[q:j]) for p, i, q, j in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+        pairs = pairs.tobytes()
+        wide = np.dtype(self.pair_type).itemsize
         out, k, g0, l0 = [], 0, 0, 0
-        for x, y, ok in zip(a, b, good):
+        for x, y, ok in zip(n_a, n_b, good):
             if not ok:
                 out.append((0, 0, 0, False, b"", b""))
                 continue
-            out.append((len(x), len(y), group[k] - g0, True, ";".join(spelled[g0 : group[k]]).encode(), pairs[l0 : link[k]].tobytes()))
-            g0, l0, k = group[k], link[k], k + 1
+            g, l = group[k], link[k] * wide
+            out.append((x, y, g - g0, True, ";".join(spelled[g0:g]).encode(), pairs[l0:l]))
+            g0, l0, k = g, l, k + 1
         return out
 
     def units(self, units: list[str], table: np.ndarray) -> list[tuple]:
