@@ -96,30 +96,28 @@ def quote_safe(fills: DataFrame) -> DataFrame:
     return fills.withColumns({c: F.when(ok, F.col(c)) for c in ("bid", "ask")})
 
 
-def touches(orders: DataFrame, bars: DataFrame, scale: int = 1) -> DataFrame:
+def touches(orders: DataFrame, bars: DataFrame, scale: int = 1, widths: tuple[int, ...] = (30 * DAY, DAY)) -> DataFrame:
     """id, fill_bar, reference of orders (id, symbol, t, falls, level) at the first bar (symbol, bar, open, low, high) after t that reaches level (low <= level if falls, else high >= level).
 
-    Months are searched first, then the days of the first possible months, then their bars: an order meets each month once
-    and not each bar, and there is no horizon. A month or day is possible when its extreme reaches the level; the
-    order's own one may be possible by bars before t, so the search goes on with the next possible one as well. A null
-    level is reached by every bar (market orders).
+    A pyramid of extremes over blocks of falling widths (seconds; scale is their unit) is searched from the top: an order
+    meets all blocks of the widest kind, then only the blocks inside the ones that may hold its bar, then the bars
+    inside those. A block is possible when its extreme reaches the level; the order's own block may be possible by bars
+    before t, so the first possible one after it is kept as well: two blocks a step at most, and no horizon. A null
+    level is reached by every bar (market orders). The last width decides how many bars an order meets one by one.
     """
-    day, month = DAY * scale, 30 * DAY * scale
-    of = lambda s: F.floor(F.col("bar") / s)
-    sized = bars.select("symbol", "bar", "open", "high", "low", of(day).alias("day"), of(month).alias("month"))
     touch = F.when(F.col("level").isNull(), F.lit(True)).when(F.col("falls"), F.col("low") <= F.col("level")).otherwise(F.col("high") >= F.col("level"))
-    o = orders.select("id", "symbol", "t", "falls", "level", F.floor(F.col("t") / day).alias("od"), F.floor(F.col("t") / month).alias("om"))
-
-    def first_two(rows: DataFrame, part: str) -> DataFrame:
-        own = "om" if part == "month" else "od"
-        hit = rows.groupBy("id").agg(F.max(F.when(F.col(part) == F.col(own), F.col(part))).alias("p"), F.min(F.when(F.col(part) > F.col(own), F.col(part))).alias("q"))
-        return hit.select("id", F.explode(F.array_compact(F.array("p", "q"))).alias(part))
-
-    months = sized.groupBy("symbol", "month").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    near = first_two(o.join(months, "symbol").where((F.col("month") >= F.col("om")) & touch), "month")
-    days = sized.groupBy("symbol", "month", "day").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    near = first_two(o.join(near, "id").join(days, ["symbol", "month"]).where((F.col("day") >= F.col("od")) & touch), "day")
-    hit = o.join(near, "id").join(sized.drop("month"), ["symbol", "day"]).where((F.col("bar") > F.col("t")) & touch)
+    names = ["id", "symbol", "t", "falls", "level"]
+    cut = lambda c, w: F.floor(F.col(c) / (w * scale))
+    layers = [bars.select("symbol", "bar", "open", "low", "high", cut("bar", widths[-1]).alias("part"))]
+    for k in range(len(widths) - 1, -1, -1):  # each layer from the one below it
+        above = F.lit(0) if k == 0 else F.floor(F.col("part") * widths[k] / widths[k - 1])
+        layers.insert(0, layers[0].groupBy("symbol", F.col("part").alias("block")).agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumnRenamed("block", "part").withColumn("up", above).withColumnRenamed("part", "block").withColumnRenamed("up", "part"))
+    near = orders.select(*names, F.lit(0).cast("long").alias("part"))
+    for k, width in enumerate(widths):
+        met = near.join(layers[k], ["symbol", "part"]).withColumn("own", cut("t", width)).where((F.col("block") >= F.col("own")) & touch)
+        hit = met.groupBy("id").agg(F.first(F.struct(*names[1:])).alias("order"), F.max(F.when(F.col("block") == F.col("own"), F.col("block"))).alias("p"), F.min(F.when(F.col("block") > F.col("own"), F.col("block"))).alias("q"))
+        near = hit.select("id", "order.*", F.explode(F.array_compact(F.array("p", "q"))).alias("part"))
+    hit = near.join(layers[-1], ["symbol", "part"]).where((F.col("bar") > F.col("t")) & touch)
     price = F.when(F.col("level").isNull(), F.col("open")).when(F.col("falls"), F.least("open", "level")).otherwise(F.greatest("open", "level"))
     return hit.groupBy("id").agg(F.min("bar").alias("fill_bar"), F.min_by(price, "bar").alias("reference"))
 
@@ -134,7 +132,7 @@ def quote_fills(orders: DataFrame, quotes: DataFrame, slip: float) -> DataFrame:
     points = both.where("open is not null").withColumns({"low": F.col("open"), "high": F.col("open")})
     falls = (F.col("side") == "buy") == (F.col("kind") == "limit")
     asked = orders.select("id", F.concat_ws("|", "symbol", "side").alias("symbol"), "t", falls.alias("falls"), F.when(F.col("kind") != "market", F.col("level")).alias("level"))
-    hit = touches(asked, points, 1_000_000)
+    hit = touches(asked, points, 1_000_000, (30 * DAY, DAY, 3600, 60, 1))
     first = points.groupBy("symbol", "bar").agg(F.min("open").alias("low"), F.max("open").alias("high"))
     rows = hit.join(orders, "id").withColumn("of", F.concat_ws("|", "symbol", "side"))
     rows = rows.join(first, (rows["of"] == first["symbol"]) & (rows["fill_bar"] == first["bar"])).drop(first["symbol"])
@@ -149,3 +147,50 @@ def features_exact(bars: DataFrame, features: DataFrame) -> tuple[DataFrame, Dat
     """(bars (symbol, bar) with the feature value of exactly that bar, keys that have it more than once: an error of the feature table)."""
     twice = features.groupBy("symbol", "bar").count().where("count > 1").select("symbol", "bar")
     return bars.join(features.select("symbol", "bar", "value"), ["symbol", "bar"]), bars.join(twice, ["symbol", "bar"], "left_semi")
+
+
+#: A place among at most 2^LEVELS rows of a series.
+LEVELS = 40
+
+
+def placed(rows: DataFrame, by: list[str], at: str, block: int, name: str) -> DataFrame:
+    """rows with name: their place from 0 in the order of at in their series, counted in blocks of time and summed over blocks."""
+    cut = rows.withColumn("_b", F.floor(F.col(at) / block))
+    inside = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(at)) - 1)
+    sums = cut.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(base.drop("_n"), [*by, "_b"]).withColumn(name, F.col("_i") + F.col("_base")).drop("_b", "_i", "_base")
+
+
+def required_features(events: DataFrame, features: DataFrame, required: list[tuple[str, int]], block: int = DAY) -> DataFrame:
+    """For each event (id, symbol, bar, event_time) and required feature (name, version): of the
+    observations (symbol, feature, version, observed, available, value, status) with observed <= bar and available <=
+    event_time the one with the newest observed, of restatements the one available last. observed and value are null where none is
+    known, value also unless status is "value". Null times are never known.
+
+    Most events are told by the newest observation at or before their bar, when it is available. Only where it comes too late, as
+    restated and late features do, both orders matter: observations are placed by when they are available, those
+    known to an event are a prefix of these places, and a prefix is at most LEVELS aligned runs of 2^k places, in each of
+    which one as-of search by observed finds the newest. So nothing is compared pair by pair.
+    """
+    key = ["symbol", "feature", "version"]
+    wanted = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("version")) for n, v in dict.fromkeys(required)])
+    f = features.where("observed is not null and available is not null").where(F.array_contains(wanted, F.struct("feature", "version")))
+    f = f.select(*key, "observed", "available", F.when(F.col("status") == "value", F.col("value")).alias("value"))
+    asked = events.select("id", "symbol", "bar", "event_time", F.explode(wanted).alias("_w")).select("id", "symbol", "bar", "event_time", "_w.*")  # a row an event and requirement: the result
+    told = nearest(asked, f.withColumn("bar", F.col("observed")), tuple(key), at="bar", tie="available", block=block)
+    late = told.where("found is not null and not coalesce(found.available <= event_time, false)").drop("found")
+    known = told.where("found is null or coalesce(found.available <= event_time, false)").select("id", *key, "found.observed", "found.value")
+    line = placed(f, key, "available", block, "place")
+    # How many observations of the series are available by the event.
+    until = nearest(late, line.select(*key, F.col("available").alias("event_time"), "place"), tuple(key), at="event_time", tie="place", block=block, found="last")
+    until = until.withColumn("n", F.coalesce(F.col("last.place") + 1, F.lit(0))).drop("last")
+    level = F.explode(F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.expr("shiftright(n, 0)").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)).alias("level")
+    runs = until.select(*until.columns, level).withColumn("run", F.expr("shiftleft(shiftright(n, level + 1), 1)"))
+    most = F.expr(f"sequence(0, cast(least({LEVELS}, floor(log2(greatest(top, 1)))) as int))")
+    tops = line.groupBy(*key).agg((F.max("place") + 1).alias("top")).join(late.select(*key).distinct(), key, "left_semi")
+    spread = line.join(tops, key).withColumn("level", F.explode(most)).withColumn("run", F.expr("shiftright(place, level)"))
+    found = nearest(runs, spread.select(*key, "level", "run", F.col("observed").alias("bar"), "observed", "available", "value"), (*key, "level", "run"), at="bar", tie="available", block=block)
+    best = found.groupBy("id", *key).agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.struct("found.observed", "found.available"))).alias("found"))
+    rest = late.select("id", *key).join(best, ["id", *key], "left").select("id", *key, "found.observed", "found.value")
+    return known.unionByName(rest)

@@ -19,13 +19,19 @@ def first_reason(tests: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in tests], F.lit(None).cast("string"))
 
 
-def blocked_lag(rows: DataFrame, value: str, order: str, block: int = 1 << 16) -> DataFrame:
-    """rows (symbol, order, ...) with before: value of the row before in the order, windowed in blocks of it, so that no task sorts a whole series."""
-    cut = rows.withColumn("_block", F.floor(F.col(order) / block))
-    inside = cut.withColumn("_lag", F.lag(F.struct(value)).over(Window.partitionBy("symbol", "_block").orderBy(order)))
-    ends = cut.groupBy("symbol", "_block").agg(F.max_by(F.struct(value), order).alias("_end"))
-    ends = ends.select("symbol", "_block", F.lag("_end").over(Window.partitionBy("symbol").orderBy("_block")).alias("_carried"))
-    return inside.join(ends, ["symbol", "_block"]).withColumn("before", F.coalesce("_lag", "_carried")[value]).drop("_block", "_lag", "_carried")
+def blocked_lag(rows: DataFrame, value: str, order: str, block: int = 1 << 16, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """rows (by, order, ...) with before: value of the row before in the order, windowed in blocks of it, so that no task sorts a whole series.
+
+    The last values of blocks are carried over in blocks of blocks, so sparse numbers, of which each has a block of its own, don't meet in one task either."""
+    keys = list(by)
+    cut = rows.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_far", F.floor(F.col("_block") / block))
+    inside = cut.withColumn("_lag", F.lag(F.struct(value)).over(Window.partitionBy(*keys, "_block").orderBy(order)))
+    ends = cut.groupBy(*keys, "_far", "_block").agg(F.max_by(F.struct(value), order).alias("_end"))
+    near = ends.withColumn("_near", F.lag("_end").over(Window.partitionBy(*keys, "_far").orderBy("_block")))
+    far = ends.groupBy(*keys, "_far").agg(F.max_by("_end", "_block").alias("_last"))
+    far = far.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_far"))).drop("_last")
+    carried = near.join(far, [*keys, "_far"]).select(*keys, "_block", F.coalesce("_near", "_before").alias("_carried"))
+    return inside.join(carried, [*keys, "_block"]).withColumn("before", F.coalesce("_lag", "_carried")[value]).drop("_block", "_far", "_lag", "_carried")
 
 
 def validate_bar_series(bars: DataFrame) -> DataFrame:
@@ -69,8 +75,7 @@ def dataset_manifest(bars: DataFrame) -> DataFrame:
 
 def qualify_dataset(bars: DataFrame, missing: DataFrame, require_quotes: bool = True) -> DataFrame:
     """Per dataset of bars in source order (dataset, symbol, bar, row_no, bid, ask, equity_unresolved): counts, reasons and status."""
-    w = Window.partitionBy("dataset", "symbol", F.floor(F.col("row_no") / (1 << 16))).orderBy("row_no")
-    rows = bars.withColumn("back", F.coalesce((F.col("bar") <= F.lag("bar").over(w)).cast("int"), F.lit(0)))
+    rows = blocked_lag(bars, "bar", "row_no", by=("dataset", "symbol")).withColumn("back", F.coalesce((F.col("bar") <= F.col("before")).cast("int"), F.lit(0)))
     keys = rows.groupBy("dataset", "symbol", "bar").agg(
         F.count("*").alias("n"), F.count_if(F.col("bid").isNotNull() & F.col("ask").isNotNull()).alias("quoted"), F.sum("back").alias("back"), F.max("equity_unresolved").alias("unresolved")
     )

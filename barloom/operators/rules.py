@@ -328,3 +328,66 @@ def allocate(requests: DataFrame, budgets: dict[str, float], increment: float) -
     asked, given = F.sum(F.abs("requested")).over(wd), F.sum(F.abs("value")).over(wd)
     status = F.when((given == asked) & (given > 0), "approved").when(given > 0, "reduced").otherwise("rejected")
     return rows.select("decision", "strategy", "symbol", "requested", F.col("value").alias("proposed"), status.alias("status"))
+
+
+def allocate_portfolio(requests: DataFrame, positions: DataFrame, reservations: DataFrame, budgets: dict[str, float], classes: dict[str, float], increment: float) -> tuple[DataFrame, DataFrame]:
+    """(contributions, targets) of requests (decision, strategy, family, symbol, asset_class, requested; one row a decision, strategy and symbol) against signed positions and reservations (decision, symbol, asset_class, value).
+
+    Requests are cut in order: each strategy's, families pro rata, instruments by what of their budget positions and
+    reservations leave, asset classes by what all positions and reservations of the class leave, also those of symbols without
+    a request, then one factor for gross, net, new and turnover of the decision. A reservation counts gross beside
+    the position. Each step's reason is kept. budgets: strategy, family, instrument, gross, net, incremental, turnover; classes: a
+    budget each, one that lacks has none (0). Names of reasons are fixed values. Windows hold a decision each."""
+    c, lit, zero = F.col, F.lit, F.lit(0.0)
+    both = positions.withColumn("kind", lit("p")).unionByName(reservations.withColumn("kind", lit("r")))
+    amount = lambda k, x: F.coalesce(F.sum(F.when(c("kind") == k, x)), zero)
+    held = both.groupBy("decision", "symbol", "asset_class").agg(amount("p", c("value")).alias("position"), amount("r", c("value")).alias("reserved"), (F.abs(amount("p", c("value"))) + amount("r", F.abs("value"))).alias("base_gross"))
+    whole = held.groupBy("decision").agg(F.sum("base_gross").alias("gross"), F.sum(c("position") + c("reserved")).alias("net"))
+    of_class = held.groupBy("decision", "asset_class").agg(F.sum("base_gross").alias("class_gross"))
+    rows = requests.join(held.drop("asset_class"), ["decision", "symbol"], "left").join(of_class, ["decision", "asset_class"], "left").join(whole, "decision", "left")
+    rows = rows.na.fill(0.0, ["position", "reserved", "base_gross", "class_gross", "gross", "net"]).withColumns({"base": c("position") + c("reserved"), "value": c("requested"), "why": F.array().cast("array<string>")})
+    limit = F.coalesce(*[F.when(c("asset_class") == n, lit(float(b))) for n, b in classes.items()], zero)
+    wi, wc, wd = (Window.partitionBy("decision", x) for x in ("symbol", "asset_class", F.lit(1)))
+
+    def cut(df: DataFrame, factor: Column, reason: str) -> DataFrame:
+        df = df.withColumn("factor", factor)
+        less = c("factor") < 1
+        return df.withColumns({"value": F.when(less, bounded(c("value") * c("factor"), increment)).otherwise(c("value")), "why": F.when(less, F.array_append("why", reason)).otherwise(c("why"))})
+
+    def room(used: Column, left: Column) -> Column:
+        return F.when(used > F.greatest(left, zero), F.greatest(left, zero) / used).otherwise(1.0)
+
+    def with_risk(df: DataFrame) -> DataFrame:
+        """risk: new risk of the symbol's whole change; lead: one row of each symbol, which stands for it in sums."""
+        df = df.withColumn("change", F.sum("value").over(wi)).withColumn("lead", F.row_number().over(wi.orderBy("strategy")) == 1)
+        return df.withColumn("risk", F.abs("change") - F.when(c("change") * c("base") < 0, F.least(F.abs("change"), F.abs("base"))).otherwise(0.0))
+
+    over = F.abs("value") > budgets["strategy"]
+    rows = rows.withColumns({"value": F.when(over, bounded(F.signum("value") * budgets["strategy"], increment)).otherwise(c("value")), "why": F.when(over, F.array_append("why", "STRATEGY_BUDGET_REDUCED")).otherwise(c("why"))})
+    rows = cut(rows, room(F.sum(F.abs("value")).over(Window.partitionBy("decision", "family")), lit(budgets["family"])), "FAMILY_BUDGET_REDUCED")
+    rows = with_risk(rows)
+    rows = cut(rows, room(c("risk"), lit(budgets["instrument"]) - c("base_gross")), "INSTRUMENT_BUDGET_REDUCED")
+    once = lambda w: F.sum(F.when(c("lead"), c("risk")).otherwise(0.0)).over(w)
+    rows = with_risk(rows)
+    rows = cut(rows.withColumn("used", once(wc)), room(c("used"), limit - c("class_gross")), "ASSET_CLASS_BUDGET_REDUCED")
+    rows = with_risk(rows)
+    rows = rows.withColumns({"new": once(wd), "delta": F.sum("value").over(wd), "turnover": F.sum(F.abs("value")).over(wd)})
+    grow = F.greatest(F.abs(c("net") + c("delta")) - F.abs("net"), zero)
+    factors = {
+        "GROSS_BUDGET_REDUCED": room(c("new"), lit(budgets["gross"]) - c("gross")), "NET_BUDGET_REDUCED": room(grow, lit(budgets["net"]) - F.abs("net")),
+        "INCREMENTAL_BUDGET_REDUCED": room(c("new"), lit(budgets["incremental"])), "TURNOVER_BUDGET_REDUCED": room(c("turnover"), lit(budgets["turnover"])),
+    }
+    rows = rows.withColumns({n: f for n, f in factors.items()})
+    rows = rows.withColumn("why", F.concat("why", F.array_compact(F.array(*[F.when(c(n) < 1, lit(n)) for n in factors]))))
+    rows = with_risk(cut(rows, F.least(*[c(n) for n in factors]), "PORTFOLIO_BUDGET_REDUCED"))
+    asked, given = F.sum(F.abs("requested")).over(wd), F.sum(F.abs("value")).over(wd)
+    status = F.when((given == asked) & (given > 0), "approved").when(given > 0, "reduced").otherwise("rejected")
+    less = F.when(c("value") * c("base") < 0, F.least(F.abs("value"), F.abs("base"))).otherwise(0.0)
+    rows = rows.withColumns({"status": status, "reasons": F.array_sort(F.array_distinct("why"))})
+    shares = rows.select("decision", "strategy", "symbol", "requested", c("value").alias("proposed"), less.alias("reduction"), (F.abs("value") - less).alias("new_risk"), "reasons", "status")
+    targets = rows.groupBy("decision", "symbol", "status").agg(
+        *[F.first(n).alias(n) for n in ("position", "reserved", "base", "base_gross", "risk")], F.first("change").alias("delta"), F.flatten(F.collect_list("reasons")).alias("all")
+    )
+    full = F.when(c("base_gross") > budgets["instrument"], F.array(lit("EXISTING_EXPOSURE_OVER_BUDGET"))).otherwise(F.array().cast("array<string>"))
+    targets = targets.select("decision", "symbol", "position", "reserved", (c("base") + c("delta")).alias("target"), "delta", c("risk").alias("new_risk"), (F.abs("delta") - c("risk")).alias("reduction"), F.array_sort(F.array_distinct(F.concat("all", full))).alias("reasons"), "status")
+    return shares, targets

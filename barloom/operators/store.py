@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.shared import settled
+
 #: Which timeframes an asset class may have (fixed values).
 TIMEFRAMES = {"forex": ("15m", "1h", "4h", "1d"), "equity": ("1h", "1d"), "etf": ("1h", "1d")}
 
@@ -71,7 +73,8 @@ def order_events(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with event_no, their place from 0 in a global order, in parallel: ranges are sorted apart and counted up.
 
     The order must be total, else ties are numbered as they come."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # Written first: two uses of one exchange may be coalesced differently, and then its partitions' numbers don't agree.
+    ranged = settled(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     sums = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition

@@ -119,9 +119,12 @@ def value_ranks(df: DataFrame, by: str, value: str, block: Column) -> DataFrame:
 
 
 def value_block(value: str = "value") -> Column:
-    """Blocks that keep the order of doubles: the sign and the leading 20 bits of the number's bytes would do; here the rounded signed logarithm, finely."""
+    """Blocks that keep the order of doubles: the rounded signed logarithm, finely. NaN is above all other values, as in Spark's order; it and both infinities have blocks of their own."""
     x = F.col(value).cast("double")
-    return F.when(x == 0, 0).otherwise(F.signum(x) * (F.floor(F.ln(F.abs(x)) * 64) + 50_000)).cast("long")
+    far = F.lit(1 << 40)
+    odd = F.when(F.isnan(x), far + 1).when(x == float("inf"), far).when(x == float("-inf"), -far).when(x == 0, F.lit(0))
+    plain = F.when(odd.isNull(), x).otherwise(1.0)
+    return F.coalesce(odd, F.signum(plain).cast("long") * (F.floor(F.ln(F.abs(plain)) * 64) + 50_000))
 
 
 def rank_at(rank: Column) -> Column:

@@ -262,6 +262,51 @@ query(
     select decision, strategy, symbol, requested, proposed + 0 as proposed, case when given = asked and given > 0 then 'approved' when given > 0 then 'reduced' else 'rejected' end as status from h join t using (decision)""",
 )(lambda s, d: U.allocate(S.table(s, d, "orders").selectExpr(*REQUESTS.split(", ")), BUDGETS, 100.0).withColumn("proposed", F.col("proposed") + 0))
 
+_of = "case when o_orderpriority < '3' then 'forex' when o_orderpriority < '5' then 'equity' else 'other' end as asset_class"
+ASKED = f"o_custkey % 700 as decision, 's' || o_orderkey as strategy, 'f' || o_orderkey % 4 as family, o_orderpriority as symbol, {_of}, ((o_orderkey * 7919) % 61 - 30) * 100.0 as requested"
+KEPT = f"o_custkey % 700 as decision, o_orderpriority as symbol, {_of}, ((o_orderkey * 31) % 21 - 10) * 40.0 as value"
+PORTFOLIO, CLASSES = {"strategy": 2000.0, "family": 9000.0, "instrument": 4500.0, "gross": 16_000.0, "net": 4000.0, "incremental": 12_000.0, "turnover": 13_000.0}, {"forex": 6000.0, "equity": 7000.0}
+
+
+def portfolio(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = S.table(s, d, "orders")
+    asked = rows.where("o_orderkey % 2 = 0").selectExpr(*ASKED.split(", "))
+    kept = [rows.where(f"o_orderkey % 2 = 1 and o_orderstatus {x} 'F'").selectExpr(*KEPT.split(", ")) for x in ("=", "<>")]
+    cast = lambda df, n: df.withColumn(n, F.col(n).cast("double"))
+    held = cast(kept[0], "value").groupBy("decision", "symbol", "asset_class").agg(F.sum("value").alias("value"))  # one position a symbol
+    return U.allocate_portfolio(cast(asked, "requested"), held, cast(kept[1], "value"), PORTFOLIO, CLASSES, 100.0)
+
+
+_new = "abs(ch) - case when ch * base < 0 then least(abs(ch), abs(base)) else 0 end"
+_fit = lambda used, left: f"case when {used} > greatest({left}, 0) then greatest({left}, 0) / {used} else 1 end"
+_step = lambda src, dst, f, code: f"{dst} as (select * exclude (v, why, f), case when f < 1 then sign(v * f) * floor(abs(v * f) / 100 + 1e-9::double) * 100 else v end as v, case when f < 1 then list_append(why, '{code}') else why end as why from (select *, {f} as f from {src}))"
+_lead = "case when row_number() over (partition by decision, symbol order by strategy) = 1 then rk else 0 end"
+_risky = lambda src, dst: f"{dst}0 as (select *, sum(v) over (partition by decision, symbol) as ch from {src}), {dst} as (select *, {_new} as rk from {dst}0)"
+ALLOCATED = f"""aq as (select {ASKED}::double as requested_, * from orders where o_orderkey % 2 = 0),
+  ap as (select decision, symbol, asset_class, sum(value::double) as value, 'p' as kind from (select {KEPT} from orders where o_orderkey % 2 = 1 and o_orderstatus = 'F') group by 1, 2, 3), ar as (select decision, symbol, asset_class, value::double as value, 'r' as kind from (select {KEPT} from orders where o_orderkey % 2 = 1 and o_orderstatus <> 'F')),
+  ah as (select decision, symbol, asset_class, coalesce(sum(value) filter (kind = 'p'), 0) as position, coalesce(sum(value) filter (kind = 'r'), 0) as reserved, abs(coalesce(sum(value) filter (kind = 'p'), 0)) + coalesce(sum(abs(value)) filter (kind = 'r'), 0) as base_gross from (select * from ap union all select * from ar) group by 1, 2, 3),
+  aw as (select decision, sum(base_gross) as gross, sum(position + reserved) as net from ah group by 1), ac as (select decision, asset_class, sum(base_gross) as class_gross from ah group by 1, 2),
+  a0 as (select aq.decision, strategy, family, aq.symbol, aq.asset_class, requested::double as requested, coalesce(position, 0) as position, coalesce(reserved, 0) as reserved, coalesce(position + reserved, 0) as base, coalesce(base_gross, 0) as base_gross, coalesce(class_gross, 0) as class_gross, coalesce(gross, 0) as gross, coalesce(net, 0) as net, requested::double as v, []::varchar[] as why
+    from aq left join ah on ah.decision = aq.decision and ah.symbol = aq.symbol left join ac on ac.decision = aq.decision and ac.asset_class = aq.asset_class left join aw on aw.decision = aq.decision),
+  a1 as (select * exclude (v, why), case when abs(v) > 2000 then sign(v) * 2000 else v end as v, case when abs(v) > 2000 then list_append(why, 'STRATEGY_BUDGET_REDUCED') else why end as why from a0),
+  a2 as (select *, sum(abs(v)) over (partition by decision, family) as fam from a1), {_step("a2", "a3", _fit("fam", "9000"), "FAMILY_BUDGET_REDUCED")}, {_risky("a3", "a4")},
+  {_step("a4", "a5", _fit("rk", "4500 - base_gross"), "INSTRUMENT_BUDGET_REDUCED").replace("exclude (", "exclude (ch, rk, ")}, {_risky("a5", "a6")}, a7 as (select *, {_lead} as lr from a6), a8 as (select *, sum(lr) over (partition by decision, asset_class) as used from a7),
+  {_step("a8", "a9", _fit("used", "case asset_class when 'forex' then 6000 when 'equity' then 7000 else 0 end - class_gross"), "ASSET_CLASS_BUDGET_REDUCED").replace("exclude (", "exclude (ch, rk, lr, used, ")}, {_risky("a9", "b0_")}, b1 as (select *, {_lead} as lr from b0_),
+  b2 as (select *, sum(lr) over w as nw, sum(v) over w as dl, sum(abs(v)) over w as tv from b1 window w as (partition by decision)), b3 as (select *, greatest(abs(net + dl) - abs(net), 0) as grow from b2),
+  b4 as (select *, {_fit("nw", "16000 - gross")} as f1, {_fit("grow", "4000 - abs(net)")} as f2, {_fit("nw", "12000")} as f3, {_fit("tv", "13000")} as f4 from b3),
+  b5 as (select * exclude (why, ch, rk), list_concat(why, list_filter([case when f1 < 1 then 'GROSS_BUDGET_REDUCED' end, case when f2 < 1 then 'NET_BUDGET_REDUCED' end, case when f3 < 1 then 'INCREMENTAL_BUDGET_REDUCED' end, case when f4 < 1 then 'TURNOVER_BUDGET_REDUCED' end], lambda x: x is not null)) as why from b4),
+  {_step("b5", "b6", "least(f1, f2, f3, f4)", "PORTFOLIO_BUDGET_REDUCED")}, {_risky("b6", "b7")},
+  b8 as (select *, case when sum(abs(v)) over w = sum(abs(requested)) over w and sum(abs(v)) over w > 0 then 'approved' when sum(abs(v)) over w > 0 then 'reduced' else 'rejected' end as status, case when v * base < 0 then least(abs(v), abs(base)) else 0 end as cutback from b7 window w as (partition by decision))"""
+ALLOCATED = ALLOCATED.replace(f"select {ASKED}::double as requested_, * from orders", f"select {ASKED} from orders")
+query("allocate_portfolio", f"with {ALLOCATED} select decision, strategy, symbol, requested, v + 0 as proposed, cutback::double as reduction, (abs(v) - cutback)::double as new_risk, array_to_string(list_sort(list_distinct(why)), ',') as reasons, status from b8")(
+    lambda s, d: portfolio(s, d)[0].withColumns({"proposed": F.col("proposed") + 0, "reasons": F.array_join("reasons", ",")})
+)
+query(
+    "allocation_targets",
+    f"""with {ALLOCATED} select decision, symbol, any_value(position) as position, any_value(reserved) as reserved, any_value(base) + any_value(ch) as target, any_value(ch) + 0 as delta, any_value(rk)::double as new_risk, any_value(abs(ch) - rk)::double as reduction,
+    array_to_string(list_sort(list_distinct(list_concat(flatten(list(why)), case when any_value(base_gross) > 4500 then ['EXISTING_EXPOSURE_OVER_BUDGET'] else [] end))), ',') as reasons, any_value(status) as status from b8 group by decision, symbol""",
+)(lambda s, d: portfolio(s, d)[1].withColumns({"delta": F.col("delta") + 0, "reasons": F.array_join("reasons", ",")}))
+
 # Research
 
 

@@ -198,6 +198,31 @@ query(
     f"{FEATURE_BASE}, x as ({feature_sql('sma')}) select symbol, bar, value from bars join x using (symbol, bar) where bar // 3600 % 2 = 0",
 )(lambda s, d: r6(A.features_exact(bars(s, d).where("bar div 3600 % 2 = 0").select("symbol", "bar"), X.compute(bars(s, d), "sma"))[0], "value"))
 
+#: Features of the hourly bars: every seventh hour comes six hours late, every fifth is restated ten hours after, every eleventh is still warming up.
+REQUIRED = [("close", 1), ("range", 2), ("volume", 1)]
+_feature = "case when bar // 3600 % 11 = 0 then 'warmup' else 'value' end as status, bar + 3600 + case when bar // 3600 % 7 = 0 then 21600 else 0 end + copy * 36000 as available"
+FEATURES_AT = f"""ft as (select symbol, bar as observed, unnest(['close', 'range', 'spread']) as feature, unnest([1, 2, 1]) as version, unnest([close, high - low, spread_close]) + copy as value, {_feature}
+  from (select *, unnest(case when bar // 3600 % 5 = 0 then [0, 1] else [0] end) as copy from bars))"""
+
+
+def restated(s: SparkSession, d: str) -> DataFrame:
+    rows = bars(s, d).withColumn("copy", F.explode(F.when(F.col("bar") / HOUR % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("version"), (F.expr(x) + F.col("copy")).alias("value")) for n, v, x in (("close", 1, "close"), ("range", 2, "high - low"), ("spread", 1, "spread_close"))])
+    rows = rows.withColumns({"f": F.explode(each), **{x.split(" as ")[1]: F.expr(x.split(" as ")[0].replace("//", "div")) for x in _feature.split(", ")}})
+    return rows.select("symbol", F.col("bar").alias("observed"), "f.*", "status", "available")
+
+
+query(
+    "features_asof_required",
+    f"""with {bars_sql(HOUR)}, {FEATURES_AT}, rq(feature, version) as (values {", ".join(map(str, REQUIRED))}), ev as (select row_no as id, symbol, us // 1000000 as bar, us // 1000000 + row_no % 4 * 3000 as event_time from ticks),
+    h as (select id, ev.symbol, rq.feature, rq.version, arg_max(observed, (observed, available)) as observed, arg_max({{'v': case when status = 'value' then value end}}, (observed, available)).v as value from ev cross join rq left join ft on ft.symbol = ev.symbol and ft.feature = rq.feature and ft.version = rq.version and observed <= bar and available <= event_time group by 1, 2, 3, 4)
+    select id, symbol, feature, version, observed, round(value, 6) as value from h""",
+)(
+    lambda s, d: r6(
+        A.required_features(S.ticks(s, d).select(F.col("row_no").alias("id"), "symbol", F.expr("us div 1000000").alias("bar"), F.expr("us div 1000000 + row_no % 4 * 3000").alias("event_time")), restated(s, d), REQUIRED), "value"
+    )
+)
+
 # Gates
 
 
@@ -253,7 +278,7 @@ DATASETS = f"""{QUOTES}, ds as (select 'd' || bar // 86400 % 7 as dataset, symbo
   mf as (select dataset, string_agg(distinct symbol, ',' order by symbol) as symbols, min(bar) as start, max(bar) as "end", count(*) as rows, min(timeframe) = max(timeframe) as single_scope, count(*) = count(distinct symbol || '|' || bar) as unique_identity from ds group by 1),
   ms as (select 'd' || bar // 86400 % 7 as dataset, count(*) as missing_bars from gp where {OPEN} and (symbol, bar) not in (select symbol, bar from qq) group by 1),
   ql as (select dataset, count(*) as bar_count, count(*) - count(distinct symbol || '|' || bar) as duplicate_timestamps, count(*) filter (bar <= p) as back, count(bid + ask) / count(*)::double as quote_coverage, bool_or(equity_unresolved) as unresolved
-    from (select *, lag(bar) over (partition by dataset, symbol, row_no // 65536 order by row_no) as p from ds) group by 1),
+    from (select *, lag(bar) over (partition by dataset, symbol order by row_no) as p from ds) group by 1),
   qd as (select dataset, bar_count, duplicate_timestamps, coalesce(missing_bars, 0) as missing_bars, round(quote_coverage, 6) as quote_coverage, concat_ws(';', case when quote_coverage < 1 then 'bid/ask availability is incomplete' end, case when duplicate_timestamps > 0 then 'duplicate timestamps' end,
     case when unresolved then 'equity survivorship or corporate-action lineage is unresolved' end, case when back > 0 then 'timestamps are not strictly monotonic' end) as reasons from ql left join ms using (dataset)), qs as (select *, case when reasons = '' then 'qualified' else 'rejected' end as status from qd)"""
 query("dataset_manifest", f"with {DATASETS} select * from mf")(lambda s, d: G.dataset_manifest(dataset_rows(s, d)))
