@@ -13,7 +13,7 @@ from barloom.sources import tables as S
 from barloom.streaming import bars as B
 
 from .decisions import RISK, intents, risk_
-from .queries import DAYS, FILLS, HOUR, OPEN, TICKS, bars, bars_sql, query
+from .queries import DAYS, FILLS, HOUR, OPEN, TICKS, VALID_TICKS, bars, bars_sql, query
 
 # Content ids
 
@@ -262,10 +262,39 @@ query(
 
 
 def equity_changes(s: SparkSession, d: str) -> DataFrame:
-    return B.events(s, d, "orders").select(F.col("o_custkey").alias("account"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("delta"))
+    return B.events(s, d, "orders", by="o_orderdate").select(F.col("o_custkey").alias("account"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("delta"))
 
 
 query(
     "stream_last_equity",
     f"""with {FILLS}, a as (select account, t, fill_id as seq, sum(case when side = 'sell' then price else -price end) over (partition by account order by t, fill_id) as equity from fills) select account, t, seq, round(equity, 2) as equity, round(max(equity) over (partition by account order by t, seq), 2) as high_water from a""",
 )(lambda s, d: B.drained(B.stream_last_equity(equity_changes(s, d)), s).withColumns({c: F.round(c, 2) for c in ("equity", "high_water")}))
+
+
+def bad_stream(s: SparkSession, d: str) -> DataFrame:
+    """The two-sided stream with the malformed values of `bad_ticks`."""
+    r = F.col("row_no")
+    return B.two_sided(s, d).select(
+        "symbol", "row_no", F.when(r % 3 == 0, F.floor(F.col("us") / 3_600_000_000) * 3_600_000_000).otherwise(F.col("us")).alias("us"), F.when(r % 97 == 0, None).when(r % 89 == 0, F.lit(float("nan"))).when(r % 83 == 0, -F.col("bid")).otherwise(F.col("bid")).alias("bid"),
+        F.when(r % 79 == 0, F.col("bid") - 1).otherwise(F.col("ask")).alias("ask"), F.when(r % 73 == 0, None).when(r % 71 == 0, F.lit(-1.0)).otherwise(F.col("bid_volume").cast("double")).alias("bid_volume"), F.col("ask_volume").cast("double").alias("ask_volume"),
+    )
+
+
+query("stream_valid_ticks", f"with {VALID_TICKS} select symbol, us, row_no, round(bid, 6) as bid, round(ask, 6) as ask, bid_volume, ask_volume from vt")(lambda s, d: B.drained(B.stream_valid_ticks(bad_stream(s, d)), s).withColumns({c: F.round(c, 6) for c in ("bid", "ask")}))
+#: A batch drops what the watermark of the batch before it has passed: an hour behind the newest tick of the batches before that.
+LATE = f"""{TICKS}, pt as (select *, floor((row_no - (select min(row_no) from ticks)) * 4 / (select max(row_no) - min(row_no) + 1 from ticks))::bigint + (row_no % 9 = 0)::int as k from ticks), mx as (select k, max(us) as top from pt group by 1),
+  wm as (select a.k, max(b.top) - 3600000000 as mark from mx a left join mx b on b.k <= a.k - 2 group by 1), kp as (select pt.*, mark is null or (us // 3600000000 + 1) * 3600000000 > mark // 1000 * 1000 as kept from pt join wm using (k))"""
+SIDES = ["open", "high", "low", "close", "volume", "ask_open", "ask_high", "ask_low", "ask_close", "ask_volume", "n", "spread_min", "spread_max"]
+
+
+def delayed_bars(s: SparkSession, d: str) -> DataFrame:
+    return B.drained(B.stream_quotes_to_bars(B.two_sided(s, d, delayed=9, closed=True)), s).where(F.col("symbol") != B.END)
+
+
+query(
+    "stream_quotes_to_bars",
+    f"with {bars_sql(HOUR, LATE, 'kp').replace('from kp group by', 'from kp where kept group by')} select symbol, bar, {', '.join(f'round({c}, 6) as {c}' if c[:3] in ('ask', 'spr') and 'volume' not in c else f'cast({c} as bigint) as {c}' if 'volume' in c else c for c in SIDES)} from bars",
+)(lambda s, d: delayed_bars(s, d).withColumns({c: F.round(c, 6) for c in SIDES if c[:3] in ("ask", "spr") and "volume" not in c}).select("symbol", "bar", *SIDES))
+query("stream_late_counts", f"with {LATE} select symbol, count(*) as sent, count(*) filter (kept) as used, count(*) filter (not kept) as late from kp group by 1")(
+    lambda s, d: S.ticks(s, d).groupBy("symbol").agg(F.count("*").alias("sent")).join(delayed_bars(s, d).groupBy("symbol").agg(F.sum("n").alias("used")), "symbol").withColumn("late", F.col("sent") - F.col("used"))
+)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.functions.columns import micros
 from barloom.operators.gates import admission_gate
 from barloom.sources.shared import shared_path
 
@@ -83,6 +85,37 @@ def stream_last_equity(changes: DataFrame) -> DataFrame:
     return changes.groupBy("account").applyInPandasWithState(run, schema, "equity double, high_water double", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_valid_ticks(ticks: DataFrame) -> DataFrame:
+    """Ticks (symbol, us, row_no, bid, ask, bid_volume, ask_volume) of a stream that have no finding, as `valid_ticks` says. The state of a symbol is the time of its last tick in source order, valid or not, so the order is judged over micro-batches; a batch is read in source order."""
+    names = ["symbol", "us", "row_no", "bid", "ask", "bid_volume", "ask_volume"]
+    schema = "symbol string, us long, row_no long, bid double, ask double, bid_volume double, ask_volume double"
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("row_no")
+        before = rows.us.shift()
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        state.update((int(rows.us.iloc[-1]),))
+        number = rows[names[3:]].astype(float)
+        good = np.isfinite(number).all(axis=1) & (number.bid > 0) & (number.ask > 0) & (number.bid <= number.ask) & (number.bid_volume >= 0) & (number.ask_volume >= 0)
+        yield rows[good & (before.isna() | (rows.us > before))][names]
+
+    return ticks.select(names).groupBy("symbol").applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_quotes_to_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Two-sided bars of a stream symbol, ts, row_no, bid, ask, bid_volume, ask_volume of valid ticks. Ticks whose bar the watermark has passed are dropped; n counts those that went in, so what a source sent less the sum of n was late."""
+    order, spread = F.struct("ts", "row_no"), F.col("ask") - F.col("bid")
+
+    def side(c: str, prefix: str) -> list[F.Column]:
+        return [F.min_by(c, order).alias(f"{prefix}open"), F.max(c).alias(f"{prefix}high"), F.min(c).alias(f"{prefix}low"), F.max_by(c, order).alias(f"{prefix}close"), F.sum(f"{c}_volume").alias(f"{prefix}volume")]
+
+    grouped = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width).alias("w"))
+    sides = [*side("bid", ""), *side("ask", "ask_"), F.count("*").alias("n"), F.min(spread).alias("spread_min"), F.max(spread).alias("spread_max")]
+    rows = grouped.agg(*sides)
+    return rows.select("symbol", F.unix_seconds("w.start").alias("bar"), *rows.columns[2:])
+
+
 def drained(df: DataFrame, spark: SparkSession) -> DataFrame:
     """What a finite stream gives until it is drained, as a table in the shared folder."""
     out = shared_path(spark, "stream")
@@ -90,20 +123,49 @@ def drained(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{out}/data")
 
 
-def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A given table read as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+FILES = 4  # files of a micro-batch
+END = "~"  # event type of the rows that close a source
+
+
+def part_of(by: F.Column, first: int, last: int, parts: int) -> F.Column:
+    """Which of so many equally wide ranges a number lies in."""
+    return F.floor((by - first) * parts / (last - first + 1)).cast("int")
+
+
+def batched(rows: DataFrame, part: F.Column, parts: int, tail: list[DataFrame] | None = None) -> DataFrame:
+    """rows read as a stream of one micro-batch for each part (0 to parts - 1), in order; tail: further batches of FILES partitions each."""
+    spark, out = rows.sparkSession, shared_path(rows.sparkSession, "source")
+    marked = rows.withColumn("_part", part)
+    for k in range(parts):
+        marked.where(F.col("_part") == k).drop("_part").repartition(FILES).write.mode("append").parquet(out)
+    for more in tail or []:
+        more.write.mode("append").parquet(out)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(out)
 
 
-def micro_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"))
+def events(spark: SparkSession, sf_dir: str, name: str = "events", by: str = "event_id", parts: int = 4, delayed: int = 0, closed: bool = False) -> DataFrame:
+    """A given table read as a stream of several micro-batches by ranges of a column. delayed: rows whose number it divides come a batch later. closed: two batches of END rows far in the future follow, so that the watermark passes all bars."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    number = F.col(by) if dict(rows.dtypes)[by] in ("int", "bigint") else F.unix_seconds(F.col(by).cast("timestamp"))
+    first, last = rows.agg(F.min(number), F.max(number)).first()
+    part = part_of(number, first, last, parts)
+    if delayed:
+        part = part + (number % delayed == 0).cast("int")
+    value = {"event_type": F.lit(END), "event_id": F.col("id")}
+    tail = [spark.range(0, FILES, 1, FILES).select(*[value.get(f.name, F.lit(f"2100-01-0{k} 00:00:00") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]) for k in (1, 3)] if closed else []
+    return batched(rows, part, parts + bool(delayed), tail)
+
+
+def micro_ticks(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    return events(spark, sf_dir, **more).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table drained as a stream into bars: closed ones come out in append mode, and those that the watermark has not passed at the end are flushed from the table's last hours by the batch form of the same plan."""
-    closed = drained(stream_ticks_to_bars(micro_ticks(spark, sf_dir)), spark)
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"))
-    newest = closed.agg(F.max("bar")).first()[0]
-    open_ = stream_ticks_to_bars(raw.where(F.col("ts") >= newest) if newest else raw)
-    return closed.unionByName(open_.join(closed.select("symbol", "bar"), ["symbol", "bar"], "left_anti"))
+    """The events drained as a stream of several micro-batches into bars, all of which the watermark passes."""
+    return drained(stream_ticks_to_bars(micro_ticks(spark, sf_dir, closed=True)), spark).where(F.col("symbol") != END)
+
+
+def two_sided(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    rows = events(spark, sf_dir, **more)
+    return rows.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), micros("ts").alias("us"), F.col("event_id").alias("row_no"), F.col("value").alias("bid"), (F.col("value") + k / 10000).alias("ask"), k.alias("bid_volume"), (k + 1).alias("ask_volume"))
