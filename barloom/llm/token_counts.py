@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -63,24 +64,29 @@ class WordMerges:
         return out
 
     def merge(self, text: str) -> int:
-        """How many tokens the merges leave of a pre-token."""
-        parts = [self.letters[b] for b in text.encode()]
+        """How many tokens the merges leave of a pre-token: pairs by rank, then from the left, over a linked list, so a word of any length takes n log n steps."""
+        parts: list[str | None] = [self.letters[b] for b in text.encode()]
         parts[-1] += END
-        while len(parts) > 1:
-            rank, i = min((self.rank.get((parts[i], parts[i + 1]), 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
-                break
-            a, b = parts[i], parts[i + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return len(parts)
+        rank, left = self.rank, len(parts)
+        before, behind = list(range(-1, left - 1)), list(range(1, left + 1))
+        heap = [(r, i) for i in range(left - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
+        heapify(heap)
+        n = left
+        while heap:
+            r, i = heappop(heap)
+            j = behind[i]
+            if parts[i] is None or j >= n or rank.get((parts[i], parts[j])) != r:
+                continue  # one of the two was merged with something else meanwhile
+            parts[i], parts[j] = parts[i] + parts[j], None
+            behind[i] = k = behind[j]
+            left -= 1
+            if k < n:
+                before[k] = i
+                if (r := rank.get((parts[i], parts[k]))) is not None:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank.get((parts[h], parts[i]))) is not None:
+                heappush(heap, (r, h))
+        return left
 
     def count(self, text: str) -> int:
         n = self.known.get(text)

@@ -122,3 +122,16 @@ def test_odd_rows_of_token_operators(spark):
     none = df.limit(0)
     bitpack.write_ids(none, f"{out}-none", P.path("byte_bpe_50k.json"), 50257)
     assert bitpack.read_documents(spark, f"{out}-none").count() == 0 == token_counts.token_counts(none, P.path("word_bpe_49k.json")).count()
+
+
+def test_words_of_any_length_merge_as_the_library_does():
+    import random
+
+    from barloom.llm import token_counts
+
+    path = P.path("word_bpe_49k.json")
+    model, library = token_counts.merges(path), Tokenizer.from_file(path)
+    draw = random.Random(1)
+    words = ["".join(draw.choice("abcdetaoinshr") for _ in range(n)) for n in (1, 2, 3, 8, 40, 200, 2000, 60_000)] + ["a" * 5000, "ab" * 3000, "thethe" * 700]
+    for w in words:
+        assert model.merge(w) == len(library.encode(w, add_special_tokens=False).ids)
