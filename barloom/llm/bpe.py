@@ -31,9 +31,9 @@ from .common import HELD, chunks, in_batches, utf8
 from .pretoken import classes, pieces
 
 #: Bounds of what a worker remembers; each entry takes 100 to 400 bytes.
-MOST_STATES = 250_000
-MOST_PIECES = 150_000
-MOST_PAIRS = 300_000
+MOST_STATES = 150_000
+MOST_PIECES = 100_000
+MOST_PAIRS = 200_000
 
 
 @functools.cache
