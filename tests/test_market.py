@@ -101,13 +101,12 @@ def test_csv_readers(spark, tmp_path):
     two.write_text("datetime,open,high,low,close\n2024-01-01T00:00:00Z,1.1,1.2,1.0,1.15\n")
     row = files.read_quote_bar_csv(spark, str(one)).first()
     assert (str(row.bid_open), row.bid_close, str(row.bid_volume), row.ask_open) == ("1.100000000000", None, "7.00000000", None)
-    with pytest.raises(ValueError):
-        files.resolved(["open", "Open"], files.OHLCV_ALIASES, ())
+    assert (row.row_number, row.us, row.rejects) == (2, 1_704_067_200_000_000, ["bid_close: not_decimal"])
     row = files.read_ohlcv_csv(spark, str(two)).first()
     assert (str(row.close), row.volume) == ("1.150000000000", None)
     assert files.csv_schema_drift(spark, str(tmp_path / "*.csv")) == 1
-    with pytest.raises(ValueError):
-        files.resolved(["datetime", "open"], files.OHLCV_ALIASES, ("close",))
+    two.write_text("datetime,open,high,low\n2024-01-01T00:00:00Z,1.1,1.2,1.0\n")
+    assert files.read_ohlcv_csv(spark, str(two)).first().rejects == ["columns_missing"]
 
 
 def test_manifests_and_experiments(spark, tmp_path):
