@@ -37,8 +37,10 @@ from .common import SMALL_IDS, chunks, in_batches, only, sweep, with_groups, wor
 from .substring import tokens
 
 TREE_SIZE = 4096
-#: Shards of at most so many texts are searched for all links.
+#: Shards of at most so many texts have all their pairs within the radius verified at once; larger ones round by round, with the same groups in the end.
 FEW = 64
+#: Candidates a text sends to verification in the first round over what is still apart; each round has so many times more.
+ROUND = 8
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -290,6 +292,58 @@ def tree_pairs(rows: DataFrame, radius: int, tree_size: int, kind: str) -> DataF
     return in_batches(rows, run, f"a {kind}, b {kind}")
 
 
+def open_pairs(rows: DataFrame, radius: int, tree_size: int, most: int, kind: str) -> DataFrame:
+    """(a, b, cut) of rows (key, n, id, fp, label, size): of each row the `most` nearest members of other components; cut: it has more of them.
+
+    Inside a tree the smaller component asks the larger (ties by label), so that one text beside a family of m asks m and is not asked by m."""
+    rows = tree_rows(rows, tree_size, "id").select("key", "tree", "query", "id", "fp", "label", "size")
+    ids = to_arrow_type(rows.schema["id"].dataType)
+
+    def run(batches):
+        now, tree, names, ranks, asked = None, BKTree(), [], [], True
+        out: list[tuple] = []
+
+        def ask(doc, value: int, rank: tuple, both: bool) -> None:
+            near = sorted((d, n) for d, n in tree.within(value, radius) if ranks[n] > rank or (both and ranks[n] != rank))
+            out.extend((doc, names[n], len(near) > most) for _, n in near[:most])
+
+        def full(least: int = 1 << 14):
+            if len(out) >= least:
+                a, b, cut = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
+                out.clear()
+
+        def members():
+            top = max(ranks, default=None)
+            for doc, value, rank in zip(names, tree.values, ranks):
+                if rank != top:
+                    ask(doc, value, rank, False)
+                    yield from full()
+
+        for batch in batches:
+            for key, number, query, doc, fp, label, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, number) != now:
+                    if not asked:
+                        yield from members()
+                    now, tree, names, ranks, asked = (key, number), BKTree(), [], [], False
+                value = fp & (1 << 64) - 1
+                if query:
+                    if not asked:
+                        yield from members()
+                        asked = True
+                    ask(doc, value, (size, label), True)
+                    yield from full()
+                else:
+                    tree.add(value, set())
+                    names.append(doc)
+                    ranks.append((size, label))
+        if not asked:
+            yield from members()
+        yield from full(1)
+
+    return in_batches(rows, run, f"a {kind}, b {kind}, cut boolean")
+
+
 def similar_texts(
     df: DataFrame, similar: float = 0.8, radius: int = 18, bands: int = 10, band: int = 3, tree_size: int = TREE_SIZE, small: int = SMALL_IDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -298,9 +352,14 @@ def similar_texts(
     Texts link when their sets of 5-word shingles have a similarity (shared over all) of at least `similar`. Equal sets
     are one node. Nodes meet in `bands` shards, each named by `band` least hashes, so two texts at 0.8 miss each other
     with probability (1 - 0.8^3)^10 < 0.001. A shard is searched with a BK-tree of its fingerprints, where a text at 0.8 is
-    beyond 18 of 64 bits with probability under 0.005. In shards of more than FEW nodes, those whose least hashes mostly
-    agree with those of the smallest id or of the node in the middle of all fingerprints are paired with it, so that a family of m copies
-    makes about 2 m pairs and not m squared; the tree searches the others. All pairs are verified on the shingles.
+    beyond 18 of 64 bits with probability under 0.005. All pairs are verified on the shingles.
+
+    In shards of more than FEW nodes, those whose least hashes mostly agree with those of the smallest id or of the node in
+    the middle of all fingerprints are paired with it first, so that a family of m copies makes about 2 m pairs and not m
+    squared; the tree searches the others. Then, round by round, nodes of a shard that verified links leave in different
+    components are paired, the nearest first and ROUND times more each round, until every pair of a shard that is within the radius
+    lies in one component or has been verified. So groups are those of all pairs at every size; pairs inside a component
+    are never needed.
 
     Defined cases: rows without an id are left out; rows that share an id are one document; texts without words are
     equal; fewer than five words are one shingle; an empty table gives no row; other columns are ignored.
@@ -336,10 +395,7 @@ def similar_texts(
     stars = large.select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b")
     rest = rows.where(F.col("n") <= FEW).select("key", "n", "id", "fp").unionByName(large.where((F.size("pivots") == 0) | F.col("lead")).select("key", "n", "id", "fp"))
     pairs = written(stars.unionByName(tree_pairs(rest, radius, tree_size, kind)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs", made)
-    sweep(spark, made, seen, nodes, pairs)
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = only(docs, needed, "left_semi", small).distinct()
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+    sweep(spark, made, seen, nodes, large, pairs)
 
     def verify(batches):
         sets = lru_cache(maxsize=256)(shingle_set)
@@ -351,9 +407,30 @@ def similar_texts(
                 good.append(shared >= similar * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    edges = in_batches(both.select("a", "b", "one", "other"), verify, f"a {kind}, b {kind}")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = only(docs, needed, "left_semi", small).distinct()
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+        return written(in_batches(both.select("a", "b", "one", "other"), verify, f"a {kind}, b {kind}"), "links", made)
+
     # A node with copies links their ids as well.
     copies = seen.join(nodes.where("id <> top").select("kind", F.col("id").alias("a")), "kind").where("id <> a").select("a", F.col("id").alias("b"))
-    labels = components(edges.unionByName(copies))
+    edges, tested, most = confirmed(pairs).unionByName(copies), pairs, ROUND
+    labels = components(edges)
+    while n_large:
+        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+        told = labels.join(sizes, "label").select(F.col("node").alias("id"), "label", "size")
+        now = large.select("key", "n", "id", "fp").join(told, "id", "left").select("key", "n", "id", "fp", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+        now = written(now, "state", made)
+        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        apart = open_pairs(only(now, mixed, "left_semi", small, on="key"), radius, tree_size, most, kind)
+        apart = written(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cut").groupBy("a", "b").agg(F.max("cut").alias("cut")), "apart", made)
+        new = written(apart.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs", made)
+        if new.limit(1).count():
+            tested, edges = tested.unionByName(new), edges.unionByName(confirmed(new))
+            labels = components(edges)
+        if not apart.where("cut").limit(1).count():
+            break
+        most *= ROUND
     sweep(spark, made)
     return labels.select(F.col("node").alias(id_col), F.col("label").alias("component_id"))

@@ -1,7 +1,8 @@
 import random
 
-import numpy as np
 import corpus_pipeline
+import numpy as np
+import pytest
 
 from barloom.llm import simhash, substring
 
@@ -202,19 +203,40 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             assert sorted((r.doc_id for r in df.collect()), key=lambda x: (x is not None, x or 0)) == (wanted[stage] if data else []), stage
 
 
-def test_a_large_family_is_found_around_its_middle(spark):
-    """300 copies at 0.82 or more of one text and often under 0.8 of each other; the smallest ids are copies."""
+def groups_of_all_pairs(sets):
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                label[high] = low
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("changes", "tree_size"), [(4, 4096), (5, 4096), (4, 50)])
+def test_large_families_have_the_groups_of_all_pairs(spark, changes, tree_size):
+    """300 texts with words of one changed, so that they are near 0.8 of the middle, and often under 0.8 of each other; the middle is missing in half of the families."""
     rng = random.Random(8)
     base = passage(200)
     texts = []
-    for _ in range(300):
+    for i in range(300):
         t = list(base)
-        for k in rng.sample(range(200), 4):
+        for k in rng.sample(range(200), changes + i % 3):
             t[k] = f"e{rng.randrange(10**6)}"
         texts.append(t)
-    texts.insert(150, base)
+    if changes == 4:
+        texts.insert(150, base)
+    chain = passage(200)  # each is near the one before it only
+    for k in range(80):
+        chain = [*chain[:k], f"c{k}", *chain[k + 1 :]]
+        texts.append(chain)
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    sets = [brute_sets(t) for _, t in docs]
-    linked = [len(s & sets[150]) >= 0.8 * len(s | sets[150]) for s in sets]
-    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert sum(linked) > 250 and sum(got.get(i) == 0 for i, x in enumerate(linked) if x) >= 0.99 * sum(linked)
+    want = groups_of_all_pairs([brute_sets(t) for _, t in docs])
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(docs, "doc_id long, text string"), tree_size=tree_size).collect()}
+    assert [got.get(i, i) for i in range(len(docs))] == want
