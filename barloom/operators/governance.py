@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.sources.shared import settled
+from barloom.sources.shared import discard, settled
 
 from .gates import first_reason, reasons
 
@@ -52,54 +51,56 @@ def lineage_build(entities: list[tuple[str, DataFrame, str, str | None, dict[str
     return reduce(DataFrame.unionByName, nodes).distinct(), reduce(DataFrame.unionByName, edges).distinct()
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have edges in and out, again and again until nothing changes: what is left lies on cycles or between them."""
-    size = edges.count()
-    while True:
-        both = edges.select(F.col("source").alias("n")).intersect(edges.select(F.col("target").alias("n")))
-        left = edges.join(both.withColumnRenamed("n", "source"), "source", "left_semi").join(both.withColumnRenamed("n", "target"), "target", "left_semi")
-        edges = settled(left, "trimmed")
-        now = edges.count()
-        if now == size:
-            return edges
-        size = now
-
+def coloured(edges: DataFrame) -> DataFrame:
+    """node, colour and dead of all nodes of edges (source, target). colour: of the node itself and all that reach it, the one with the highest rank (a hash); dead: a node without an edge in reaches it by the only way there is, so it lies on no cycle.
 
-def spread(values: DataFrame, edges: DataFrame, better: Callable[[Column, Column], Column]) -> DataFrame:
-    """values (node, v) where each node takes the best of its own and its predecessors' values until nothing changes."""
+    Each round a node takes the best of its predecessors, of its colour so far and of one far ancestor, whose distance
+    doubles: so a path or cycle of n nodes settles in about log2 n rounds, and paths with branches fast as a rule, as the colour
+    itself is a shortcut to a far ancestor. Each round is a written table, and the one before it is removed."""
+    rank = lambda c: F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("name"))
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    before = edges.groupBy(F.col("target").alias("node")).agg(F.max(rank("source")).alias("p"), F.count("*").alias("n"))
+    # sure: all nodes from here to the far ancestor have one edge in; ended: that ancestor has none.
+    state = nodes.join(before, "node", "left").select("node", rank("node").alias("v"), F.coalesce("p.name", "node").alias("far"), (F.coalesce("n", F.lit(0)) < 2).alias("sure"), F.col("n").isNull().alias("ended"))
+    state = settled(state, "colour")
     while True:
-        come = edges.join(values, edges.source == values.node).groupBy("target").agg(F.max("v").alias("came"))
-        new = settled(values.join(come, values.node == come.target, "left").select("node", better(F.col("v"), F.coalesce("came", F.col("v"))).alias("w"), "v"), "spread")
-        values = new.select("node", F.col("w").alias("v"))
-        if not new.where("w <> v").limit(1).count():
-            return values
+        come = edges.join(state.select(F.col("node").alias("source"), "v"), "source").groupBy(F.col("target").alias("node")).agg(F.max("v").alias("came"))
+        far = state.select(F.col("node").alias("far"), F.col("v").alias("far_v"), F.col("far").alias("further"), F.col("sure").alias("far_sure"), F.col("ended").alias("far_ended"))
+        top = state.select(F.col("node").alias("top"), F.col("v").alias("top_v"))
+        met = state.withColumn("top", F.col("v.name")).join(far, "far").join(top, "top").join(come, "node", "left")
+        new = settled(met.select("node", F.greatest("v", "far_v", "top_v", "came").alias("v"), F.col("further").alias("far"), F.expr("sure and far_sure").alias("sure"), F.col("far_ended").alias("ended"), F.col("v").alias("old")), "colour")
+        discard(state)
+        state = new
+        if not new.where("v <> old").limit(1).count():
+            return state.select("node", F.col("v.name").alias("colour"), F.expr("sure and ended").alias("dead"))
 
 
 def lineage_cycles(edges: DataFrame) -> DataFrame:
     """node and cycle (the largest node of its component) of all nodes that lie on a directed cycle.
 
-    Strongly connected components by colours: the largest node that reaches a node is its colour; of a colour, what can
-    reach the colour's own node is one component. Components are taken out and the rest is coloured anew."""
-    left = trimmed(edges.select("source", "target").distinct())
-    found = None
+    Strongly connected components by colours: nodes of a component are reached by the same nodes, so they share a colour, and
+    among the nodes of a colour, those that reach the colour's own node are its component. They are told by a colouring against
+    the edges, whose colours cut what is left once more. A cycle of n nodes takes about 2 log2 n rounds, with the paths and trees
+    that lead to or from it; what branches and joins again without a cycle is cut by random ranks, over several colourings."""
+    left = settled(edges.select("source", "target").where("source <> target").distinct(), "edges")
+    parts: list[DataFrame] = []
     while left.limit(1).count():
-        nodes = left.select(F.col("source").alias("node")).union(left.select("target")).distinct()
-        colour = spread(nodes.select("node", F.col("node").alias("v")), left, lambda a, b: F.greatest(a, b))
-        c = colour.withColumnRenamed("v", "colour")
-        inside = left.join(c.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(c.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").where("a = b")
-        back = settled(inside.select(F.col("target").alias("source"), F.col("source").alias("target")), "back")
-        reached = spread(c.select("node", (F.col("node") == F.col("colour")).cast("int").alias("v")), back, lambda a, b: F.greatest(a, b)).where("v = 1").select("node")
-        part = settled(c.join(reached, "node").select("node", F.col("colour").alias("cycle")), "part")
-        found = part if found is None else found.union(part)
-        gone = part.select("node")
-        rest = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
-        left = trimmed(settled(rest, "rest"))
-    if found is None:
-        return edges.select(F.col("source").alias("node"), F.col("source").alias("cycle")).limit(0)
+        # Nodes without an edge in or out lie on no cycle.
+        both = left.select("source").intersect(left.select(F.col("target").alias("source")))
+        kept = settled(left.join(both, "source", "left_semi").join(both.withColumnRenamed("source", "target"), "target", "left_semi").select("source", "target"), "edges")
+        ends = lambda e, c: e.join(c.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(c.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").where("a = b")
+        inside = settled(ends(kept, coloured(kept).where("not dead")).select("source", "target", F.col("a").alias("of")), "inside")
+        back = coloured(inside.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        nodes = inside.select(F.col("source").alias("node"), "of").union(inside.select("target", "of")).distinct()
+        parts.append(settled(nodes.join(back, "node").where("of = colour").select("node", F.col("of").alias("cycle")), "part"))
+        rest = settled(ends(inside, back.where("not dead")).where("a <> of").select("source", "target"), "edges")
+        discard(left, kept, inside)
+        left = rest
     # A component of one node is a cycle only by an edge to itself.
-    loops = edges.where("source = target").select(F.col("source").alias("node")).distinct()
-    sized = found.join(found.groupBy("cycle").count().withColumnRenamed("count", "n"), "cycle")
-    return sized.join(loops.withColumn("loop", F.lit(True)), "node", "left").where("n > 1 or loop").select("node", "cycle")
+    loops = edges.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("cycle"))
+    found = reduce(DataFrame.unionByName, parts, loops.limit(0))
+    sized = found.groupBy("cycle").agg(F.count("*").alias("n"), F.max("node").alias("largest")).where("n > 1")
+    return found.join(sized, "cycle").select("node", F.col("largest").alias("cycle")).union(loops).groupBy("node").agg(F.max("cycle").alias("cycle"))
 
 
 def lineage_scope(edges: DataFrame, starts: DataFrame, depth: int, most: int, towards: bool = True) -> tuple[DataFrame, bool]:

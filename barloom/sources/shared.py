@@ -22,4 +22,13 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a written table: iterations built on it start anew and survive lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables: what is built on them has been written itself."""
+    for table in tables:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._settled_at)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import time
@@ -12,11 +13,13 @@ from barloom.operators import bars as B
 from barloom.operators import calendars as C
 from barloom.operators import exact as E
 from barloom.operators import gates as G
+from barloom.operators import governance as L
 from barloom.operators import rules as U
 from barloom.operators import store as W
 from barloom.operators import trading as T
 from barloom.sources import files
 from barloom.sources import tables as S
+from barloom.sources.shared import settled
 
 HOUR = 3600
 
@@ -96,6 +99,52 @@ def test_raw_files_against_their_metadata(spark, tmp_path):
     assert {r.filename: r.status for r in got.collect()} == {"a": "ok", "b": "hash_differs", "c": "size_differs", "d": "file_missing"}
 
 
+@pytest.mark.parametrize("split", ["20k", "128m"])
+def test_files_are_hashed_as_streams(spark, tmp_path, split):
+    rng = random.Random(2)
+    bodies = {"empty": b"", "mark": b"\xef\xbb\xbf", "marked": b"\xef\xbb\xbfa,b\n1,2\n", "open": b"\xef\xbb\xbfa\nb", "ends": b"\n\n\n", "dos": b"a\r\nb\r\n\r", "bytes": rng.randbytes(5000), "long": b"".join(b"%d,%d\n" % (i, i * i) for i in range(30_000))}
+    bodies["packed.gz"] = gzip.compress(b"a\nb\n")
+    for n, body in bodies.items():
+        (tmp_path / n).write_bytes(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {r.artifact.rsplit("/", 1)[1]: (r.sha256, r.byte_size) for r in S.preserve_raw_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {n: (hashlib.sha256(body).hexdigest(), len(body)) for n, body in bodies.items() if body}  # Spark lists no empty files
+
+
+def cycles_of(edges):
+    reach = {a: {y for x, y in edges if x == a} for a, _ in edges}
+    while True:
+        more = {a: r | {z for y in r for z in reach.get(y, ())} for a, r in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    return {a: max(b for b in r if a in reach.get(b, ())) for a, r in reach.items() if a in r}
+
+
+@pytest.mark.parametrize("n", [25, 60])
+def test_cycles_equal_reachability(spark, n):
+    rng = random.Random(n)
+    edges = [(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(n)] + [("x", "x"), ("x", "n00"), ("y0", "y1")]
+    got = {r.node: r.cycle for r in L.lineage_cycles(spark.createDataFrame(edges, "source string, target string").repartition(3)).collect()}
+    assert got == cycles_of(set(edges))
+    assert L.lineage_cycles(spark.createDataFrame([], "source string, target string")).count() == 0
+
+
+def test_a_long_cycle_takes_few_rounds(spark, monkeypatch):
+    """A ring of 10,000 nodes in order, with a path into it."""
+    made = []
+    monkeypatch.setattr(L, "settled", lambda df, name="table": made.append(name) or settled(df, name))
+    n = 10_000
+    edges = spark.range(n).selectExpr("format_string('r%06d', id) as source", f"format_string('r%06d', (id + 1) % {n}) as target").union(spark.range(30).selectExpr("concat('p', id) as source", "if(id = 29, 'r000000', concat('p', id + 1)) as target"))
+    got = L.lineage_cycles(edges)
+    assert got.count() == n and got.select("cycle").distinct().collect() == [(f"r{n - 1:06}",)]
+    assert made.count("colour") < 40
+
+
 def test_order_events_keeps_wide_rows(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "200")
