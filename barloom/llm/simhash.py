@@ -37,10 +37,10 @@ from .common import SMALL_IDS, chunks, in_batches, only, sweep, with_groups, wor
 from .substring import tokens
 
 TREE_SIZE = 4096
-#: Shards of at most so many texts have all their pairs within the radius verified at once; larger ones round by round, with the same groups in the end.
+#: Shards of at most so many texts have all their pairs within the radius verified at once; larger ones are indexed by token for what is still apart, with the same groups in the end.
 FEW = 64
-#: Candidates a text sends to verification in the first round over what is still apart; each round has so many times more.
-ROUND = 8
+#: Tokens in the index of a task.
+TREE_TOKENS = 1 << 21
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -292,56 +292,72 @@ def tree_pairs(rows: DataFrame, radius: int, tree_size: int, kind: str) -> DataF
     return in_batches(rows, run, f"a {kind}, b {kind}")
 
 
-def open_pairs(rows: DataFrame, radius: int, tree_size: int, most: int, kind: str) -> DataFrame:
-    """(a, b, cut) of rows (key, n, id, fp, label, size): of each row the `most` nearest members of other components; cut: it has more of them.
+def links_apart(rows: DataFrame, similar: float, most: int, kind: str) -> DataFrame:
+    """(a, b): links of rows (key, n, id, label, tokens) of the same shard between different labels, as many as join them. n: tokens of the shard.
 
-    Inside a tree the smaller component asks the larger (ties by label), so that one text beside a family of m asks m and is not asked by m."""
-    rows = tree_rows(rows, tree_size, "id").select("key", "tree", "query", "id", "fp", "label", "size")
+    Shards are cut in trees of about `most` tokens, of which an index of the members by token is built; a text's shared
+    tokens with all members are counted in one pass over its postings. So no pair is emitted but the links that join labels."""
+    rows = tree_rows(rows, most, "id").select("key", "tree", "query", "id", "label", "tokens")
     ids = to_arrow_type(rows.schema["id"].dataType)
 
     def run(batches):
-        now, tree, names, ranks, asked = None, BKTree(), [], [], True
-        out: list[tuple] = []
-
-        def ask(doc, value: int, rank: tuple, both: bool) -> None:
-            near = sorted((d, n) for d, n in tree.within(value, radius) if ranks[n] > rank or (both and ranks[n] != rank))
-            out.extend((doc, names[n], len(near) > most) for _, n in near[:most])
-
-        def full(least: int = 1 << 14):
-            if len(out) >= least:
-                a, b, cut = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
-                out.clear()
-
-        def members():
-            top = max(ranks, default=None)
-            for doc, value, rank in zip(names, tree.values, ranks):
-                if rank != top:
-                    ask(doc, value, rank, False)
-                    yield from full()
+        now, built, names, labels, sets, parent = None, True, [], [], [], {}
+        a, b = [], []
+        index: list[np.ndarray] = []
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        def ask(doc, label, own: np.ndarray) -> None:
+            values, who, sizes = index
+            lo, n = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n -= lo
+            at = np.repeat(lo - (n.cumsum() - n), n) + np.arange(n.sum())
+            shared = np.bincount(who[at], minlength=len(sizes))
+            for m in np.flatnonzero(shared >= similar * (len(own) + sizes - shared) - 1e-9).tolist():
+                x, y = root(label), root(labels[m])
+                if x != y:
+                    parent[x] = y
+                    a.append(doc)
+                    b.append(names[m])
+
+        def build() -> None:
+            values, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+            order = values.argsort(kind="stable")
+            index[:] = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+            often = max(set(labels), key=labels.count) if len(set(labels)) < 64 else None  # its members are asked by all others
+            for doc, label, own in zip(names, labels, sets):
+                if label != often:
+                    ask(doc, label, own)
 
         for batch in batches:
-            for key, number, query, doc, fp, label, size in zip(*(c.to_pylist() for c in batch.columns)):
+            column = {n: batch.column(n).to_pylist() for n in ("key", "tree", "query", "id", "label")}
+            for k, (key, number, query, doc, label) in enumerate(zip(*column.values())):
+                own = batch.column("tokens")[k].values.to_numpy(zero_copy_only=False)
                 if (key, number) != now:
-                    if not asked:
-                        yield from members()
-                    now, tree, names, ranks, asked = (key, number), BKTree(), [], [], False
-                value = fp & (1 << 64) - 1
-                if query:
-                    if not asked:
-                        yield from members()
-                        asked = True
-                    ask(doc, value, (size, label), True)
-                    yield from full()
-                else:
-                    tree.add(value, set())
+                    if not built:
+                        build()
+                    now, built, names, labels, sets, parent = (key, number), False, [], [], [], {}
+                if query and not built:
+                    if sets:
+                        build()
+                    built = True
+                if not query:
                     names.append(doc)
-                    ranks.append((size, label))
-        if not asked:
-            yield from members()
-        yield from full(1)
+                    labels.append(label)
+                    sets.append(own)
+                elif sets:
+                    ask(doc, label, own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], ["a", "b"])
+            a.clear()
+            b.clear()
+        if not built:
+            build()
+        yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], ["a", "b"])
 
-    return in_batches(rows, run, f"a {kind}, b {kind}, cut boolean")
+    return in_batches(rows, run, f"a {kind}, b {kind}")
 
 
 def similar_texts(
@@ -356,10 +372,9 @@ def similar_texts(
 
     In shards of more than FEW nodes, those whose least hashes mostly agree with those of the smallest id or of the node in
     the middle of all fingerprints are paired with it first, so that a family of m copies makes about 2 m pairs and not m
-    squared; the tree searches the others. Then, round by round, nodes of a shard that verified links leave in different
-    components are paired, the nearest first and ROUND times more each round, until every pair of a shard that is within the radius
-    lies in one component or has been verified. So groups are those of all pairs at every size; pairs inside a component
-    are never needed.
+    squared; the tree searches the others. Shards that verified links leave in more than one component are then searched
+    for all links between their components, by an index of tokens (`links_apart`). So groups are those of all pairs at every
+    size, though pairs inside a component are never looked at.
 
     Defined cases: rows without an id are left out; rows that share an id are one document; texts without words are
     equal; fewer than five words are one shingle; an empty table gives no row; other columns are ignored.
@@ -415,22 +430,25 @@ def similar_texts(
 
     # A node with copies links their ids as well.
     copies = seen.join(nodes.where("id <> top").select("kind", F.col("id").alias("a")), "kind").where("id <> a").select("a", F.col("id").alias("b"))
-    edges, tested, most = confirmed(pairs).unionByName(copies), pairs, ROUND
+    edges = confirmed(pairs).unionByName(copies)
     labels = components(edges)
-    while n_large:
-        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-        told = labels.join(sizes, "label").select(F.col("node").alias("id"), "label", "size")
-        now = large.select("key", "n", "id", "fp").join(told, "id", "left").select("key", "n", "id", "fp", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-        now = written(now, "state", made)
-        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        apart = open_pairs(only(now, mixed, "left_semi", small, on="key"), radius, tree_size, most, kind)
-        apart = written(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cut").groupBy("a", "b").agg(F.max("cut").alias("cut")), "apart", made)
-        new = written(apart.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs", made)
-        if new.limit(1).count():
-            tested, edges = tested.unionByName(new), edges.unionByName(confirmed(new))
-            labels = components(edges)
-        if not apart.where("cut").limit(1).count():
-            break
-        most *= ROUND
+    if n_large:
+        apart = large.select("key", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        apart = written(apart, "apart", made)
+        mixed = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        apart = written(only(apart, mixed, "left_semi", small, on="key"), "mixed", made)
+
+        def told(batches):
+            for part in chunks(batches, 1 << 20):
+                sets = [np.sort(shingle_set(t).view(np.int64)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
+
+        texts = only(docs, apart.select("id").distinct(), "left_semi", small).distinct()
+        sets = written(in_batches(texts.select("id", "text"), told, f"id {kind}, tokens array<long>").withColumn("w", F.size("tokens")), "sets", made)
+        weight = written(apart.join(sets.select("id", "w"), "id").groupBy("key").agg(F.sum("w").alias("n")), "weights", made)
+        rows = apart.join(F.broadcast(weight) if weight.count() <= small else weight, "key").join(sets.select("id", "tokens"), "id")
+        more = written(links_apart(rows, similar, TREE_TOKENS, kind), "links", made)
+        if more.limit(1).count():
+            labels = components(edges.unionByName(more))
     sweep(spark, made)
     return labels.select(F.col("node").alias(id_col), F.col("label").alias("component_id"))
