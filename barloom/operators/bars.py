@@ -138,10 +138,10 @@ def compare_closes(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
 CONTENT = ("open", "high", "low", "close", "volume", "ask_open", "ask_high", "ask_low", "ask_close", "ask_volume", "n", "spread_close")
 
 
-def dataset_fingerprint(bars: DataFrame, columns: tuple[str, ...] = CONTENT) -> DataFrame:
-    """Order-independent content hash of each series over all its columns: bars are hashed, a day hashes its bars' sorted hashes, a series its days' hashes in order. A null differs from every value."""
+def dataset_fingerprint(bars: DataFrame, columns: tuple[str, ...] = CONTENT, by: str = "symbol") -> DataFrame:
+    """Order-independent content hash of each series (or other set of bars, named by a column) over all its columns: bars are hashed, a day hashes its bars' sorted hashes, a series its days' hashes in order. A null differs from every value."""
     values = [F.coalesce(F.format_string("%.8f", F.col(c).cast("double")), F.lit("null")) for c in columns]
     row = F.sha2(F.concat_ws("|", F.col("symbol"), F.col("bar").cast("string"), *values), 256)
-    days = bars.groupBy("symbol", F.floor(F.col("bar") / 86_400).alias("day")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("h"))
+    days = bars.groupBy(by, F.floor(F.col("bar") / 86_400).alias("day")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("h"))
     line = F.transform(F.array_sort(F.collect_list(F.struct("day", "h"))), lambda x: x["h"])
-    return days.groupBy("symbol").agg(F.sha2(F.array_join(line, ""), 256).alias("fingerprint"))
+    return days.groupBy(by).agg(F.sha2(F.array_join(line, ""), 256).alias("fingerprint"))

@@ -156,3 +156,14 @@ def gap_distribution(gaps: DataFrame, zone: str, width: int) -> DataFrame:
     run = gaps.withColumn("run", F.col("bar") - F.row_number().over(w) * width).groupBy("symbol", "run").agg(F.count("*").alias("length"))
     lengths = run.groupBy("symbol", F.col("length").cast("string").alias("value")).agg(F.count("*").alias("n"))
     return counted.unionByName(lengths.select("symbol", F.lit("run_length").alias("label"), "value", "n"))
+
+
+def zero_volume_distribution(bars: DataFrame, table: DataFrame, zone: str, width: int) -> DataFrame:
+    """symbol, label, value, n of bars (symbol, bar, open, high, low, close, volume) whose volume is zero: how many lie in active and closed sessions; the active ones by the labels of gap_distribution, by length of their runs, and by movement (flat: four equal prices). A null volume is not zero."""
+    found = with_session(bars.where("volume = 0"), "bar", table).withColumn("active", F.col("found").isNotNull())
+    sides = found.groupBy("symbol", F.when(F.col("active"), "active").otherwise("closed").alias("value")).agg(F.count("*").alias("n"))
+    active = found.where("active")
+    flat = F.least("open", "high", "low", "close").eqNullSafe(F.greatest("open", "high", "low", "close"))
+    moves = active.groupBy("symbol", F.when(flat, "flat").otherwise("moving").alias("value")).agg(F.count("*").alias("n"))
+    of = lambda df, label: df.select("symbol", F.lit(label).alias("label"), "value", "n")
+    return gap_distribution(active, zone, width).unionByName(of(sides, "session")).unionByName(of(moves, "movement"))

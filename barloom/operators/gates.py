@@ -112,6 +112,73 @@ def dataset_preflight(rows: DataFrame, least_days: int, zero: list[str]) -> Data
     return rows.withColumns({"blockers": F.array_join(found, ","), "ready": F.size(found) == 0})
 
 
+#: Counters of a quality report that must be zero, and checks of a qualification, blocked by blockers that hold their name (fixed names).
+ZERO_COUNTERS = (
+    "invalid_ticks",
+    "duplicate_timestamps",
+    "non_monotonic_timestamps",
+    "crossed_quotes",
+    "nonpositive_prices",
+    "nonfinite_prices",
+    "volume_anomalies",
+    "ohlc_violations",
+    "unexpected_gaps",
+    "unknown_gaps",
+    "active_session_zero_volume",
+)
+PREFLIGHT_CHECKS = (
+    "raw_artifact_hashes",
+    "normalized_content_hash",
+    "quality_report_hash",
+    "source_version",
+    "license_reference",
+    "calendar_coverage",
+    "execution_quotes",
+    "qualification_policy",
+)
+STAGES = {"record_status": "DATASET_RECORD", "raw_status": "RAW_ARTIFACT", "normalized_status": "NORMALIZED_CONTENT", "quality_report_status": "QUALITY_REPORT"}
+
+
+def admission_preflight(rows: DataFrame, identity: str, source: str, instruments: list[str], timeframe: str, mode: str = "tick", least_days: int = 180) -> DataFrame:
+    """Data sets against a declared protocol: rows with blockers and warnings (sorted arrays), verdict, eligibility and checks (name, state).
+
+    rows: dataset, the four states of STAGES (null counts as missing), record (struct of manifest fields, null if there is none) and
+    report (struct of ZERO_COUNTERS, calendar_id and missing_intervals, null if it could not be read). Without a record its report
+    is not looked at. A counter that is null or negative is invalid; instrument is compared with the only declared one."""
+    record, report = F.col("record"), F.col("report")
+    has, read = record.isNotNull(), record.isNotNull() & report.isNotNull()
+    none = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    other = lambda n, value: ~record[n].eqNullSafe(F.lit(value))
+    start, end = record["coverage_start"], record["coverage_end"]
+    state = lambda n: F.coalesce(F.col(n), F.lit("missing"))
+    wrong_scope = ~record["instrument"].isin(instruments) if len(instruments) == 1 else F.lit(True)
+    named = [
+        ("FIXTURE_DATASET_NOT_ALLOWED", record["classification"] == "test_fixture"), ("SOURCE_VERSION_MISSING", record["source_version"].isNull()), (f"SOURCE_NOT_PREDECLARED_{source.upper()}", other("source", source)),
+        ("INSTRUMENT_SCOPE_MISMATCH", F.coalesce(wrong_scope, F.lit(True))), ("TIMEFRAME_SCOPE_MISMATCH", other("timeframe", timeframe)), (f"DATA_MODE_NOT_PREDECLARED_{mode.upper()}", other("source_mode", mode)),
+        ("TIMESTAMP_SEMANTICS_UNSUPPORTED", other("timestamp_semantics", "bar_start")), ("CALENDAR_ID_MISSING", none(record["calendar_id"])), ("COVERAGE_MISSING", start.isNull() | end.isNull()),
+        ("COVERAGE_SHORT_FOR_DECLARED_PROTOCOL", end - start < least_days * 86_400), ("LICENSE_REFERENCE_MISSING", none(record["license_reference"])), ("SOURCE_IDENTITY_INCOMPLETE", none(record["manifest_source_version"]) & none(record["source_version"])),
+        ("QUALITY_REPORT_UNREADABLE", report.isNull()), ("QUALIFICATION_POLICY_IDENTITY_MISMATCH", report.isNotNull() & other("policy_identity", identity)), ("QUALITY_CALENDAR_IDENTITY_MISMATCH", report.isNotNull() & ~report["calendar_id"].eqNullSafe(record["calendar_id"])),
+    ]
+    codes = [F.when(state(n) != "verified", F.concat(F.lit(f"{p}_"), F.upper(state(n)))) for n, p in STAGES.items()]
+    codes += [F.when(has & bad, name) for name, bad in named]
+    for n in ZERO_COUNTERS:
+        value = report[n]
+        codes.append(F.when(read & (value.isNull() | (value < 0)), f"QUALITY_FIELD_INVALID_{n.upper()}").when(read & (value > 0), F.concat(F.lit(f"QUALITY_{n.upper()}_"), value.cast("string"))))
+    missing = report["missing_intervals"]
+    told = rows.withColumns({
+        "blockers": F.array_sort(F.array_distinct(F.array_compact(F.array(*codes)))),
+        "warnings": F.array_compact(F.array(F.when(read & (missing > 0), F.concat(F.lit("MISSING_INTERVALS_"), missing.cast("string"), F.lit("_INCLUDING_EXPECTED_CLOSURES"))))),
+    })
+    clean = F.size("blockers") == 0
+    fixture = F.coalesce(record["classification"] == "test_fixture", F.lit(False))
+    blocks = lambda n: F.exists("blockers", lambda b: F.contains(F.lower(b), F.lit(n)))
+    checks = F.array(*[F.struct(F.lit(n).alias("name"), F.when(blocks(n), "blocked").otherwise("passed").alias("state")) for n in sorted(PREFLIGHT_CHECKS)])
+    return told.withColumns({
+        "verdict": F.when(clean, "qualified").otherwise("rejected"), "checks": checks,
+        "eligibility": F.when(clean, "empirically_qualified_dataset").when(fixture, "deterministic_test_fixture").otherwise("blocked"),
+    })
+
+
 def admission_gate(rows: DataFrame, now: Column, most_age: int) -> DataFrame:
     """Candidate batches, one row each (rows, scopes, duplicates, incomplete, latest, bid, ask, quote_time), with the first reason that blocks them or null."""
     c = F.col

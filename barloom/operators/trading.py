@@ -159,6 +159,24 @@ def cost_sensitivity(trades: DataFrame, multipliers: dict[str, float]) -> DataFr
     return rows.groupBy("group", "scenario").agg(F.count("*").alias("n"), F.sum("net").alias("net"), F.avg("net").alias("expectancy"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))
 
 
+def scenario_metrics(trades: DataFrame, starting: float, multipliers: dict[str, float], annualization: float | None = None, risk_free: float = 0.0) -> DataFrame:
+    """performance_metrics of each group under each cost multiplier, with turnover (notional over the starting equity), total_fees and trade figures.
+
+    trades: id, group, t, gross, notional, fee, spread, slippage, held. The equity curve has a point for each time with trades,
+    summed before it is ordered; a trade with a negative cost has no net result and moves nothing."""
+    cost = F.col("fee") + F.col("spread") + F.col("slippage")
+    rows = scaled(trades, multipliers, COSTS).withColumn("net", net_after_costs(F.col("gross"), cost))
+    key = ["group", "scenario"]
+    w = Window.partitionBy(*key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    points = rows.groupBy(*key, "t").agg(F.coalesce(F.sum("net"), F.lit(0.0)).alias("net"))
+    curve = points.select(F.struct(*key).alias("symbol"), F.col("t").alias("bar"), (F.lit(starting) + F.sum("net").over(w)).alias("close"))
+    told = performance_metrics(curve, starting, annualization, risk_free).select("symbol.*", "*").drop("symbol")
+    sums = rows.groupBy(*key).agg(
+        F.count("*").alias("trades"), F.try_divide(F.sum(F.abs("notional")), F.lit(starting)).alias("turnover"), F.sum("fee").alias("total_fees"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.avg("net").alias("expectancy"),
+    )
+    return told.join(sums, key)
+
+
 def net_after_costs(gross: Column, cost: Column) -> Column:
     """Gross less cost; null where the cost is negative."""
     return F.when(cost >= 0, gross - cost)

@@ -14,7 +14,7 @@ import pytest
 from barloom.operators import bars as B
 from barloom.operators import features as X
 from barloom.operators import store as W
-from barloom.plans import decisions, desk, governance, points  # noqa: F401
+from barloom.plans import decisions, desk, governance, points, runs  # noqa: F401
 from barloom.plans.queries import SQL, Q, bars
 from barloom.sources import files
 from barloom.sources import tables as S
