@@ -91,7 +91,7 @@ def test_preflight_without_record_or_report(spark):
     assert got[4].blockers == ["COVERAGE_SHORT_FOR_DECLARED_PROTOCOL", "QUALITY_FIELD_INVALID_DUPLICATE_TIMESTAMPS", "QUALITY_FIELD_INVALID_INVALID_TICKS", "QUALITY_NON_MONOTONIC_TIMESTAMPS_2"]
     unknown = ["CALENDAR_ID_MISSING", "COVERAGE_MISSING", "DATA_MODE_NOT_PREDECLARED_TICK", "INSTRUMENT_SCOPE_MISMATCH", "LICENSE_REFERENCE_MISSING", "QUALIFICATION_POLICY_IDENTITY_MISMATCH", "QUALITY_CALENDAR_IDENTITY_MISMATCH"]
     unknown += ["SOURCE_IDENTITY_INCOMPLETE", "SOURCE_NOT_PREDECLARED_FEED", "SOURCE_VERSION_MISSING", "TIMEFRAME_SCOPE_MISMATCH", "TIMESTAMP_SEMANTICS_UNSUPPORTED"]
-    assert got[5].blockers == unknown and {c.name for c in got[5].checks if c.state == "blocked"} == {"source_version", "license_reference"}
+    assert got[5].blockers == unknown and {c.name for c in got[5].checks if c.state == "blocked"} == {"source_version", "license_reference", "qualification_policy"}
 
 
 def test_zero_volume_ignores_null_volumes(spark):
