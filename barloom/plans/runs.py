@@ -16,7 +16,7 @@ from barloom.operators import runs as U
 from barloom.operators import trading as T
 from barloom.sources import tables as S
 
-from .desk import candidates
+from .desk import candidates, tick_report_
 from .queries import COSTS, HOUR, OPEN, SQL, bad_ticks, bars, bars_sql, query
 from .sessions import TIMES, _local, tables, times, week_open
 
@@ -149,7 +149,7 @@ _counter = lambda e: e if e.startswith("case") else f"case when k % 2 = 0 then 0
 
 def manifests(s: SparkSession, d: str) -> DataFrame:
     """A data set of each part, with the tick quality report of one of the series; every sixth has no report."""
-    report = K.tick_quality_report(B.ticks_to_bars(B.valid_ticks(bad_ticks(s, d)), 900), K.tick_validation_report(bad_ticks(s, d)), 900)
+    report = tick_report_(s, d)
     symbols = bad_ticks(s, d).select("symbol").distinct()
     place = symbols.join(symbols.withColumnRenamed("symbol", "other"), F.col("other") < F.col("symbol"), "left").groupBy("symbol").agg(F.count("other").alias("i"))
     rows = S.table(s, d, "part").selectExpr("p_partkey as k", "p_partkey % 6 as i").join(report.join(place, "symbol"), "i", "left")

@@ -186,3 +186,8 @@ def test_tick_report_of_series_without_gaps_or_findings(spark, dense):
     agrees(spark, "tick_quality_report", dense)
     got = {r.symbol: (r.missing_intervals, r.unexpected_gaps, r.invalid_tick_count) for r in Q["tick_quality_report"](spark, str(dense)).collect()}
     assert got["a"][0] > 0 and got["b"][:2] == (None, None) and got["c"] == (None, None, None)
+
+
+def test_preflight_of_series_without_gaps_or_findings(spark, dense):
+    agrees(spark, "admission_preflight", dense)
+    assert Q["admission_preflight"](spark, str(dense)).where("blockers like '%QUALITY_FIELD_INVALID_UNEXPECTED_GAPS%'").count() > 0
