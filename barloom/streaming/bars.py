@@ -70,19 +70,34 @@ def stream_admission_gate(batches: DataFrame, now: F.Column, most_age: int) -> D
     return admission_gate(batches, now, most_age)
 
 
+#: So many neighbouring accounts are one group of the state; a power of two.
+ACCOUNTS = 1024
+LINE = np.dtype([("account", np.int64), ("equity", np.float64), ("peak", np.float64)])
+
+
 def stream_last_equity(changes: DataFrame) -> DataFrame:
-    """account, t, equity, high_water after each change (account, t, seq, delta) of a stream; the state of an account is its equity and peak."""
+    """account, t, equity, high_water after each change (account, t, seq, delta) of a stream.
+
+    The state of an account is its equity and peak. Neighbouring accounts, at most ACCOUNTS of them, are one group whose
+    state is a sorted table: a call of Python for each account would cost more than the sums."""
     schema = "account long, t long, seq long, equity double, high_water double"
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
-        equity, peak = state.get if state.exists else (0.0, float("-inf"))
-        line = equity + rows.delta.cumsum()
-        high = line.cummax().clip(lower=peak)
-        state.update((float(line.iloc[-1]), float(high.iloc[-1])))
-        yield rows.assign(equity=line, high_water=high)[["account", "t", "seq", "equity", "high_water"]]
-
-    return changes.groupBy("account").applyInPandasWithState(run, schema, "equity double, high_water double", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames))
+        rows = rows.assign(of=rows.account.fillna(0).astype("int64")).sort_values(["of", "t", "seq"], ignore_index=True)  # a missing account is a group of its own
+        known = np.frombuffer(state.get[0], LINE) if state.exists else np.zeros(0, LINE)
+        old = pd.DataFrame({"equity": known["equity"], "peak": known["peak"]}, index=known["account"])
+        line = rows.groupby("of").delta.cumsum() + rows.of.map(old.equity).fillna(0.0)
+        rows = rows.assign(equity=line, high_water=np.maximum(line.groupby(rows.of).cummax(), rows.of.map(old.peak).fillna(float("-inf"))))
+        last = rows.drop_duplicates("of", keep="last").set_index("of")
+        new = pd.DataFrame({"equity": last.equity, "peak": last.high_water}).combine_first(old).sort_index()
+        table = np.zeros(len(new), LINE)
+        table["account"], table["equity"], table["peak"] = new.index, new.equity, new.peak
+        state.update((table.tobytes(),))
+        yield rows[["account", "t", "seq", "equity", "high_water"]]
+
+    grouped = changes.withColumn("accounts", F.shiftright("account", ACCOUNTS.bit_length() - 1)).groupBy("accounts")
+    return grouped.applyInPandasWithState(run, schema, "lines binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_valid_ticks(ticks: DataFrame) -> DataFrame:
