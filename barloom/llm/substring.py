@@ -12,8 +12,12 @@ diagonal of a shared run, or near it, are chained, and the longest ranges that a
 Second step: a smaller document that has only a part of a passage may have taken the key of two larger ones. Where such a
 key's run is left uncovered by passages, all unbroken runs of 46, 33 and 21 tokens around it are keys themselves, with
 the smallest document that has the run as source. A run of 46 tokens is a passage of 50 words, so exact repeats are all
-found; a similar one is lost only if each of its runs of 33 and 21 tokens stands in some smaller document that does
-not share the passage.
+found.
+Third step: each of the runs of a similar passage may stand in smaller documents that do not share it. So all documents of
+a key that no common source holds together (each has a passage with it over the key) are compared with one another, if the
+tokens around the key allow it: of a passage without a shorter one inside, 41 tokens or more stand in both documents within
+102 tokens of the key, so both have a token in common besides the 40 most frequent ones of each (a prefix filter, exact).
+So two documents with a passage are a row, or both have a passage over the same key with one source, which stands for both.
 
 Texts that are equal as a whole are looked at once; each copy is a passage of its first document. Passages inside one
 document are left alone. Ids of documents are broadcast only up to `small` of them (counted first), else joined by
@@ -36,7 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SMALL_IDS, chunks, in_batches, only, sweep, with_groups, words_of, written
@@ -46,6 +50,8 @@ SHINGLE = 5
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 STEP = 0x9E3779B97F4A7C15
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Documents of a key of so many are compared pair by pair; of more, by an index of the tokens around it.
+FEW = 32
 #: From so many tokens on the windows come from one pass with a stack, whose time does not depend on the values.
 LONG = 20_000
 
@@ -177,6 +183,40 @@ def open_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return in_batches(docs.select("id", "text", "spans", "covered"), run, "key long, id long, open boolean")
 
 
+def surroundings(docs: DataFrame, reach: int, side: int) -> DataFrame:
+    """(key, small, id, label, tokens) of the tokens from `reach` before to `reach` behind the places of keys of documents (id, text, keys: key, small, label, places), each told apart by its key and by how often it came before."""
+
+    def run(batches):
+        for part in chunks(batches, 1 << 20):
+            out, size = [], 0
+            for doc, text, keys in zip(*(c.to_pylist() for c in part.columns)):
+                base = tokens(text)
+                for x in keys:
+                    inside = np.zeros(len(base) + 1, np.int64)
+                    for at in x["places"]:
+                        inside[min(len(base), max(0, at - reach))] += 1
+                        inside[min(len(base), at + side + reach)] -= 1
+                    near = np.sort(base[inside.cumsum()[:-1] > 0])
+                    starts = np.flatnonzero(np.diff(near, prepend=~near[:1]))
+                    nth = np.arange(len(near)) - np.repeat(starts, np.diff(starts, append=len(near)))
+                    named = mixed(mixed(near * np.uint64(STEP) + nth.astype(np.uint64)) ^ np.int64(x["key"]).astype(np.uint64))
+                    out.append((x["key"], x["small"], doc, x["label"], named.view(np.int64)))
+                    size += len(near)
+                    if size > 1 << 18:
+                        yield batch_of(out)
+                        out, size = [], 0
+            if out:
+                yield batch_of(out)
+
+    def batch_of(out):
+        key, small, doc, label, near = zip(*out)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in near])])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(near), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(small, pa.bool_()), pa.array(doc, pa.int64()), pa.array(label, pa.int64()), lists], ["key", "small", "id", "label", "tokens"])
+
+    return in_batches(docs.select("id", "text", "keys"), run, "key long, small boolean, id long, label long, tokens array<long>")
+
+
 def ranges(i: np.ndarray, j: np.ndarray, least: int, similar: float) -> list[tuple[int, int, int, float]]:
     """(start, stop, source start, similarity) of the longest long and similar ranges of chained places (i of the text, j of the source)."""
     out, todo = [], [(0, len(i))]
@@ -360,6 +400,42 @@ def verified(pairs: DataFrame, least: int, similar: float) -> DataFrame:
     return in_batches(pairs.select("id", "source", "text", "source_text"), run, schema)
 
 
+def unheld(shared: DataFrame, found: DataFrame, docs: DataFrame, least: int, similar: float, small: int, made: list[str]) -> DataFrame:
+    """Pairs (id, source) of documents of one key (key, id, source, at) that have no found passage with one source over the key, and may have one with each other.
+
+    A passage without a shorter one inside has at most 2 * least - 1 shared tokens: were there more, one of its halves would
+    be long and similar enough. So it has at most (2 * least - 1) / similar tokens, and all of them are near its keys."""
+    side = half_length(seed_length(least, similar)) + 1
+    reach = int((2 * least - 1) / similar) - side
+    fewest = math.ceil(least * 2 * similar / (1 + similar) - 1e-9)
+    # Documents held together by a source have its id as label, others their own; the key's source was compared with all.
+    held = found.groupBy("id").agg(F.collect_set(F.struct("first_word", "last_word", "source")).alias("held"))  # of one document
+    over = F.filter("held", lambda x: (x["first_word"] <= F.col("at")) & (x["last_word"] - (SHINGLE - 1) >= F.col("at") + side - 1))
+    by = F.transform(over, lambda x: x["source"])
+    label = F.when(F.array_contains(by, F.col("source")), F.col("source")).otherwise(F.coalesce(F.array_min(by), F.col("id")))
+    entries = shared.where("id <> source").join(held, "id", "left").select("key", "id", "at", label.alias("label"))
+    entries = written(entries.groupBy("key", "id", "label").agg(F.collect_list("at").alias("places")), "entries", made)  # of one document
+    mixed_ = entries.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), (F.count("*") <= FEW).alias("small")).where("a < z").select("key", "small")
+    keys = entries.join(mixed_, "key").groupBy("id").agg(F.collect_list(F.struct("key", "small", "label", "places")).alias("keys"))
+    keys = written(keys, "keys", made)
+    near = written(surroundings(only(docs, keys.select("id"), "left_semi", small).join(keys, "id"), reach, side), "near", made)
+    # Keys of few documents: all pairs, compared by their tokens.
+    few = near.where("small").select("key", "id", "label", "tokens")
+    both = few.join(few.select("key", F.col("id").alias("with"), F.col("label").alias("other"), F.col("tokens").alias("theirs")), "key")
+    some = both.where((F.col("label") < F.col("other")) & (F.col("id") != F.col("with")) & (F.size(F.array_intersect("tokens", "theirs")) >= fewest)).select("id", "with")
+    # The other keys: documents that have one of their rarer tokens in common.
+    rows = near.where("not small").select(F.explode("tokens").alias("token"), "key", "id", "label")
+    met = with_groups(rows, "token", F.min("label").alias("a"), F.max("label").alias("z"), made=made)
+    rarest = F.row_number().over(Window.partitionBy("key", "id", "label").orderBy(F.desc("n"), "token"))
+    rare = written(met.withColumn("nth", rarest).where(f"nth >= {fewest} and a < z").select("token", "id", "label").distinct(), "rare", made)
+    # Labels meet first, then their documents: those of one label never meet one by one.
+    labels = rare.select("token", "label").distinct()
+    two = labels.join(labels.withColumnRenamed("label", "other"), "token").where("label < other")
+    ones = two.join(rare, ["token", "label"]).select("token", "other", "id")
+    others = ones.join(rare.select("token", F.col("label").alias("other"), F.col("id").alias("with")), ["token", "other"]).where("id <> with").select("id", "with")
+    return some.unionByName(others).select(F.greatest("id", "with").alias("id"), F.least("id", "with").alias("source")).distinct()
+
+
 def passages(
     df: DataFrame, words: int = 50, similar: float = 0.8, small: int = SMALL_IDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -398,12 +474,15 @@ def passages(
     spans = shared.join(written(open_, "open", made), "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     lengths = sorted({least, (least + seed) // 2, seed}, reverse=True)
     near_runs = written(open_runs(rest.join(spans, "id").join(covered, "id", "left"), lengths), "runs", made)
-    sweep(spark, made, copies, tested, near_, near_runs)
+    sweep(spark, made, copies, shared, tested, near_, near_runs)
     entries = near_runs.groupBy("key", "id").agg(F.max("open").alias("open"))  # partial sums first: at most a row for each task and document
     met = with_groups(entries, "key", F.min("id").alias("source"), made=made).where("open and id > source")
     pairs = written(met.select("id", "source").distinct().join(tested, ["id", "source"], "left_anti"), "pairs", made)
-    sweep(spark, made, copies, near_, pairs)
-    near_ = near_.unionByName(matched(pairs))
+    sweep(spark, made, copies, shared, tested, near_, pairs)
+    more = matched(pairs)
+    pairs = written(unheld(shared, near_.unionByName(more), rest, least, similar, small, made).join(tested.unionByName(pairs), ["id", "source"], "left_anti"), "pairs", made)
+    sweep(spark, made, copies, near_, more, pairs)
+    near_ = near_.unionByName(more).unionByName(matched(pairs))
     # All copies of a text have the words of their source, which are counted once.
     counted = only(docs, copies.select(F.col("source").alias("id")).distinct(), "left_semi", small).select(F.col("id").alias("source"), n_words.alias("n_words")).groupBy("source").agg(F.max("n_words").alias("n_words"))
     whole = copies.join(counted.where(F.col("n_words") >= words), "source")

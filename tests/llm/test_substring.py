@@ -148,6 +148,48 @@ def test_every_exact_repeat_is_covered(spark):
                 assert set(range(k, k + 50)) <= found.get(i, set()), (i, k, seen[run])
 
 
+def test_quoters_of_the_runs_hide_no_similar_passage(spark):
+    """30 pairs with two quoters: each long run of a passage with one word changed stands in a smaller document that does not share it."""
+    texts, want = {}, set()
+    for k in range(0, 120, 4):
+        shared, at = passage(52), RNG.randrange(24, 28)
+        texts[k] = [*passage(20), *shared[:at], *passage(20)]
+        texts[k + 1] = [*passage(20), *shared[at + 1 :], *passage(20)]
+        texts[k + 2] = [*passage(30), *shared, *passage(30)]
+        texts[k + 3] = [*passage(9), *shared[:at], "new", *shared[at + 1 :], *passage(40)]
+        want.add((k + 3, k + 2))
+    assert set(found_pairs(spark, texts)) == want
+
+
+def test_every_link_is_found_or_held_by_a_common_source(spark):
+    """Brute force over all pairs of texts that quote changed parts of few passages: each with a passage is a row, or both have rows with one source."""
+    rng = random.Random(21)
+    pool = [passage(n) for n in (60, 75, 120) for _ in range(2)]
+    texts = {}
+    for i in range(100):
+        text = []
+        for _ in range(rng.randrange(1, 3)):
+            p = list(rng.choice(pool))
+            if rng.random() < 0.5:
+                k = rng.randrange(24, 50)
+                at = rng.randrange(len(p) - k)
+                p = p[at : at + k]
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(p))
+                p[k : k + rng.randrange(2)] = [f"e{rng.randrange(3)}"] * rng.randrange(2)
+            text += [*passage(rng.randrange(0, 20)), *p]
+        texts[i] = text
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    sources = {i: {i} for i in texts}
+    for r in substring.passages(df).collect():
+        sources[r.doc_id].add(r.source_doc_id)
+    base = {i: substring.tokens(" ".join(t)) for i, t in texts.items()}
+    for x in texts:
+        for y in range(x):
+            if substring.shared_ranges(base[x], base[y], 46, 0.8):
+                assert sources[x] & sources[y], (x, y)
+
+
 def brute_sets(text):
     words = (text or "").lower().split()
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
