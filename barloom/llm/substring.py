@@ -15,8 +15,10 @@ the smallest document that has the run as source. A run of 46 tokens is a passag
 found.
 Third step: each of the runs of a similar passage may stand in smaller documents that do not share it. So all documents of
 a key that no common source holds together (each has a passage with it over the key) are compared with one another, if the
-tokens around the key allow it: of a passage without a shorter one inside, 41 tokens or more stand in both documents within
-102 tokens of the key, so both have a token in common besides the 40 most frequent ones of each (a prefix filter, exact).
+tokens around the key allow a passage over it: they agree in a run of 21 tokens around the key, and of the 102 tokens before
+it and behind it so many stand in the other document as well, at most 22 places further, that a range around the key can be
+long and similar enough (an upper bound, so exact). This is told for blocks of places of a key at once, and only what passes
+becomes a row. Places of a key that follow one another (a word repeated many times) are one place.
 So two documents with a passage are a row, or both have a passage over the same key with one source, which stands for both.
 
 Texts that are equal as a whole are looked at once; each copy is a passage of its first document. Passages inside one
@@ -40,7 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_IDS, chunks, in_batches, only, sweep, with_groups, words_of, written
@@ -50,8 +52,8 @@ SHINGLE = 5
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 STEP = 0x9E3779B97F4A7C15
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Documents of a key of so many are compared pair by pair; of more, by an index of the tokens around it.
-FEW = 32
+#: Places of a key are compared in blocks of about so many.
+BLOCK = 256
 #: From so many tokens on the windows come from one pass with a stack, whose time does not depend on the values.
 LONG = 20_000
 
@@ -123,7 +125,9 @@ def runs(tokens_: np.ndarray, length: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, seed: int) -> DataFrame:
-    """(key, id, at, lo, hi) of all texts (id, text): a key of each side of each window, the `half` + 1 tokens from at on; lo..hi has the window's runs around c."""
+    """(key, id, at, upto, lo, hi) of all texts (id, text): a key of each side of each window, the `half` + 1 tokens from at on; lo..hi has the window's runs around c.
+
+    Of equal tokens each place in turn has the same key: at..upto are such places, one after the other."""
     half = half_length(seed)
 
     def run(batches):
@@ -138,13 +142,20 @@ def windows(docs: DataFrame, seed: int) -> DataFrame:
                 lo, hi = np.maximum(l, c - seed + 1), np.minimum(r, c + seed - 1)
                 for first, salt in ((c - half, 0), (c, MIX[1])):
                     ok = (first >= l) & (first + half <= r)
-                    out.append(((side[first[ok]] ^ np.uint64(salt)).view(np.int64), np.full(ok.sum(), doc), first[ok], lo[ok], hi[ok]))
+                    if not ok.any():
+                        continue
+                    by = first[ok].argsort()
+                    at = first[ok][by]
+                    key = (side[at] ^ np.uint64(salt)).view(np.int64)
+                    begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)]))
+                    ends = np.append(begins[1:], len(at)) - 1
+                    out.append((key[begins], np.full(len(begins), doc), at[begins], at[ends], np.minimum.reduceat(lo[ok][by], begins), np.maximum.reduceat(hi[ok][by], begins)))
             if out:
-                key, doc, at, lo, hi = (np.concatenate(x) for x in zip(*out))
-                cols = [pa.array(key), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (at, lo, hi))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "id", "at", "lo", "hi"])
+                key, doc, at, upto, lo, hi = (np.concatenate(x) for x in zip(*out))
+                cols = [pa.array(key), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (at, upto, lo, hi))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "id", "at", "upto", "lo", "hi"])
 
-    return in_batches(docs.select("id", "text"), run, "key long, id long, at int, lo int, hi int")
+    return in_batches(docs.select("id", "text"), run, "key long, id long, at int, upto int, lo int, hi int")
 
 
 def half_length(seed: int) -> int:
@@ -184,37 +195,143 @@ def open_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, reach: int, side: int) -> DataFrame:
-    """(key, small, id, label, tokens) of the tokens from `reach` before to `reach` behind the places of keys of documents (id, text, keys: key, small, label, places), each told apart by its key and by how often it came before."""
+    """(key, id, n, by, core, again, before, behind) of the places of keys of documents (id, text, keys: key, n, by, at, upto): the `reach` tokens before a place, the nearest first, and behind it, in 31 bits each; core has the number of tokens in between, and again the token if all are equal (else -1)."""
 
     def run(batches):
         for part in chunks(batches, 1 << 20):
             out, size = [], 0
             for doc, text, keys in zip(*(c.to_pylist() for c in part.columns)):
-                base = tokens(text)
+                short = (tokens(text) >> np.uint64(33)).astype(np.int32)
                 for x in keys:
-                    inside = np.zeros(len(base) + 1, np.int64)
-                    for at in x["places"]:
-                        inside[min(len(base), max(0, at - reach))] += 1
-                        inside[min(len(base), at + side + reach)] -= 1
-                    near = np.sort(base[inside.cumsum()[:-1] > 0])
-                    starts = np.flatnonzero(np.diff(near, prepend=~near[:1]))
-                    nth = np.arange(len(near)) - np.repeat(starts, np.diff(starts, append=len(near)))
-                    named = mixed(mixed(near * np.uint64(STEP) + nth.astype(np.uint64)) ^ np.int64(x["key"]).astype(np.uint64))
-                    out.append((x["key"], x["small"], doc, x["label"], named.view(np.int64)))
-                    size += len(near)
-                    if size > 1 << 18:
+                    at, stop = x["at"], x["upto"] + side
+                    out.append((x["key"], doc, x["n"], x["by"], stop - at, int(short[at]) if x["upto"] > at and at < len(short) else -1, short[max(0, at - reach) : at][::-1], short[stop : stop + reach]))
+                    size += 1
+                    if size >= 1 << 11:
                         yield batch_of(out)
                         out, size = [], 0
             if out:
                 yield batch_of(out)
 
     def batch_of(out):
-        key, small, doc, label, near = zip(*out)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in near])])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(near), pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(small, pa.bool_()), pa.array(doc, pa.int64()), pa.array(label, pa.int64()), lists], ["key", "small", "id", "label", "tokens"])
+        key, doc, n, by, core, again, *near = zip(*out)
+        cols = [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(by, pa.list_(pa.int64())), pa.array(core, pa.int32()), pa.array(again, pa.int32())]
+        for lists in near:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32())))
+        return pa.RecordBatch.from_arrays(cols, ["key", "id", "n", "by", "core", "again", "before", "behind"])
+
+    return in_batches(docs.select("id", "text", "keys"), run, "key long, id long, n long, by array<long>, core int, again int, before array<int>, behind array<int>")
+
+
+def gains(x: np.ndarray, y: np.ndarray, drift: int, worth: float) -> np.ndarray:
+    """Upper bounds of what a passage gains that ends 0, 1, 2... tokens of x (a row for each pair) away from the key: tokens of both sides, less `worth` for each that the other side lacks.
+
+    A token may stand in the other side up to `drift` places nearer or further."""
+    reach = x.shape[1]
+    shifts = [(slice(max(0, -d), reach - max(0, d)), slice(max(0, d), reach - max(0, -d))) for d in range(-min(drift, reach), min(drift, reach) + 1)]
+    equal = [x[:, a] == y[:, b] for a, b in shifts]
+    in_x, in_y = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    for (a, b), same in zip(shifts, equal):
+        in_x[:, a] |= same
+        in_y[:, b] |= same
+    steps = np.arange(1, reach + 1)
+    of_y = (steps - worth * (~in_y).cumsum(1)).astype(np.float32)
+    best = np.full(x.shape, -np.inf, np.float32)
+    for (a, b), same in zip(shifts, equal):
+        np.maximum(best[:, a], of_y[:, b], out=best[:, a], where=same)
+    return np.concatenate([np.zeros((len(x), 1), np.float32), steps - worth * (~in_x).cumsum(1) + best], 1)
+
+
+def dense_around(one: tuple[np.ndarray, int, int], other: tuple[np.ndarray, int, int], least: int, similar: float) -> bool:
+    """Whether a range of so many tokens or more around places of a key (tokens, first and last token of the places) has so many tokens that stand anywhere around the other."""
+    line, start, stop = one
+    sums = np.concatenate([[0], (np.isin(line, other[0]) - similar).cumsum()])
+    if len(sums) <= least:
+        return False
+    lowest = np.minimum.accumulate(sums)
+    end = np.arange(max(least, start + 1), len(sums))
+    return bool((sums[end] >= lowest[np.minimum(end - least, stop)] - 1e-6).any())
+
+
+def allowed(before: np.ndarray, behind: np.ndarray, core: np.ndarray, again: np.ndarray, x: np.ndarray, y: np.ndarray, least: int, similar: float, most: int = 1 << 11) -> np.ndarray:
+    """Which pairs (x, y) of places may have a passage over their key, by the tokens before and behind it (-1: none).
+
+    A passage without a shorter one inside has at most 2 * least - 1 shared tokens: were there more, one of its halves would
+    be long and similar enough. So it has at most (2 * least - 1) / similar tokens, and all of them are near its keys.
+    Where equal tokens follow one another it is not known which of them meet: there tokens may stand anywhere in the other side."""
+    seed, reach = seed_length(least, similar), before.shape[1]
+    lines: dict[int, tuple[np.ndarray, int, int]] = {}
+
+    def line(k: int) -> tuple[np.ndarray, int, int]:
+        if k not in lines:
+            left, right, n = before[k][before[k] >= 0][::-1], behind[k][behind[k] >= 0], int(core[k])
+            # Of more equal tokens than a passage has, those at either end say all.
+            inside = np.full(min(n, 2 * reach), again[k], np.int32) if again[k] >= 0 else own[k]
+            lines[k] = np.concatenate([left, inside, right]), len(left), len(left) + len(inside) - 1
+        return lines[k]
+
+    own: dict[int, np.ndarray] = {}
+    drift = int((2 * least - 1) * (1 / similar - 1) + 1e-9)
+    worth = (1 + similar) / (1 - similar) if similar < 1 else 1e6
+    out = np.zeros(len(x), bool)
+    for start in range(0, len(x), most):
+        i, j = x[start : start + most], y[start : start + most]
+        both = np.minimum(core[i], core[j])
+        run = both.copy()  # tokens of the unbroken run around the key
+        for side in (before, behind):
+            near = side[:, :seed]
+            run += ((near[i] == near[j]) & (near[i] >= 0)).cumprod(1).sum(1)
+        on = np.flatnonzero(run >= seed)
+        if not len(on):
+            continue
+        vague = (again[i[on]] >= 0) | (again[j[on]] >= 0)
+        for k in on[vague]:
+            a, b = int(i[k]), int(j[k])
+            for c, d in ((a, b), (b, a)):  # the key's tokens are equal in both
+                if again[c] < 0:
+                    own[c] = np.full(int(core[c]), again[d], np.int32)
+            out[start + k] = dense_around(line(a), line(b), least, similar) and dense_around(line(b), line(a), least, similar)
+        on = on[~vague]
+        if not len(on):
+            continue
+        i, j, both = i[on], j[on], both[on]
+        left, right = (gains(side[i], np.where(side[j] < 0, -2, side[j]), drift, worth) for side in (before, behind))
+        right = np.maximum.accumulate(right[:, ::-1], 1)[:, ::-1]  # of so many tokens or more
+        lack = np.maximum(0, least - both[:, None] - np.arange(reach + 1))
+        far = np.take_along_axis(right, np.minimum(lack, reach), 1)
+        out[start + on] = ((left + far + 2 * both[:, None] >= -0.01) & (lack <= reach)).any(1)
+    return out
+
 
-    return in_batches(docs.select("id", "text", "keys"), run, "key long, small boolean, id long, label long, tokens array<long>")
+def unheld_pairs(blocks: DataFrame, reach: int, least: int, similar: float) -> DataFrame:
+    """(id, source) of the places of blocks (first, places: mine, id, by, core, again, before, behind) that no common source holds and that may have a passage over their key. Blocks of a pair: mine with the others; first: also among mine."""
+
+    def padded(column) -> np.ndarray:
+        lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        size = np.diff(lists.offsets.to_numpy())
+        out = np.full((len(lists), reach), -1, np.int32)
+        out[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)] = lists.flatten().to_numpy()
+        return out
+
+    def run(batches):
+        for batch in batches:
+            found = set()
+            for k in range(batch.num_rows):
+                places = batch.column(1)[k].values
+                mine, ids, core, again = (places.field(n).to_numpy(zero_copy_only=False) for n in ("mine", "id", "core", "again"))
+                before, behind = (padded(places.field(n)) for n in ("before", "behind"))
+                number: dict[int, int] = {}
+                held = [[number.setdefault(s, len(number)) for s in by] for by in places.field("by").to_pylist()]
+                holds = np.zeros((len(held), len(number)), np.float32)
+                for row, by in zip(holds, held):
+                    row[by] = 1
+                x, y = np.nonzero((holds @ holds.T == 0) & (ids[:, None] > ids[None, :]) & (np.array([batch.column(0)[k].as_py()]) | (mine[:, None] != mine[None, :])))
+                ok = allowed(before, behind, core, again, x, y, least, similar)
+                found.update(zip(ids[x[ok]].tolist(), ids[y[ok]].tolist()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found))], ["id", "source"])
+
+    return in_batches(blocks.select("first", "places"), run, "id long, source long")
 
 
 def ranges(i: np.ndarray, j: np.ndarray, least: int, similar: float) -> list[tuple[int, int, int, float]]:
@@ -401,39 +518,28 @@ def verified(pairs: DataFrame, least: int, similar: float) -> DataFrame:
 
 
 def unheld(shared: DataFrame, found: DataFrame, docs: DataFrame, least: int, similar: float, small: int, made: list[str]) -> DataFrame:
-    """Pairs (id, source) of documents of one key (key, id, source, at) that have no found passage with one source over the key, and may have one with each other.
-
-    A passage without a shorter one inside has at most 2 * least - 1 shared tokens: were there more, one of its halves would
-    be long and similar enough. So it has at most (2 * least - 1) / similar tokens, and all of them are near its keys."""
+    """Pairs (id, source) of documents of one key (key, id, source, at, upto) that have no found passage with one source over the key, and may have one with each other over it."""
     side = half_length(seed_length(least, similar)) + 1
     reach = int((2 * least - 1) / similar) - side
-    fewest = math.ceil(least * 2 * similar / (1 + similar) - 1e-9)
-    # Documents held together by a source have its id as label, others their own; the key's source was compared with all.
     held = found.groupBy("id").agg(F.collect_set(F.struct("first_word", "last_word", "source")).alias("held"))  # of one document
-    over = F.filter("held", lambda x: (x["first_word"] <= F.col("at")) & (x["last_word"] - (SHINGLE - 1) >= F.col("at") + side - 1))
-    by = F.transform(over, lambda x: x["source"])
-    label = F.when(F.array_contains(by, F.col("source")), F.col("source")).otherwise(F.coalesce(F.array_min(by), F.col("id")))
-    entries = shared.where("id <> source").join(held, "id", "left").select("key", "id", "at", label.alias("label"))
-    entries = written(entries.groupBy("key", "id", "label").agg(F.collect_list("at").alias("places")), "entries", made)  # of one document
-    mixed_ = entries.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), (F.count("*") <= FEW).alias("small")).where("a < z").select("key", "small")
-    keys = entries.join(mixed_, "key").groupBy("id").agg(F.collect_list(F.struct("key", "small", "label", "places")).alias("keys"))
+    over = F.filter("held", lambda x: F.least(F.col("upto"), x["last_word"] - (SHINGLE - 1) - (side - 1)) >= F.greatest(F.col("at"), x["first_word"]))
+    by = F.array_union(F.array(F.col("id")), F.coalesce(F.transform(over, lambda x: x["source"]), F.array().cast("array<bigint>")))
+    # The key's source was compared with all.
+    entries = written(shared.where("id <> source").join(held, "id", "left").select("key", "id", "at", "upto", by.alias("by")), "entries", made)
+    # Keys of which one source holds all places are settled.
+    n = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    most = entries.select("key", F.explode("by").alias("s")).groupBy("key", "s").count().groupBy("key").agg(F.max("count").alias("most"))
+    unsettled = n.join(most, "key").where("most < n").select("key", "n")
+    keys = entries.join(unsettled, "key").groupBy("id").agg(F.collect_list(F.struct("key", "n", "by", "at", "upto")).alias("keys"))  # of one document
     keys = written(keys, "keys", made)
-    near = written(surroundings(only(docs, keys.select("id"), "left_semi", small).join(keys, "id"), reach, side), "near", made)
-    # Keys of few documents: all pairs, compared by their tokens.
-    few = near.where("small").select("key", "id", "label", "tokens")
-    both = few.join(few.select("key", F.col("id").alias("with"), F.col("label").alias("other"), F.col("tokens").alias("theirs")), "key")
-    some = both.where((F.col("label") < F.col("other")) & (F.col("id") != F.col("with")) & (F.size(F.array_intersect("tokens", "theirs")) >= fewest)).select("id", "with")
-    # The other keys: documents that have one of their rarer tokens in common.
-    rows = near.where("not small").select(F.explode("tokens").alias("token"), "key", "id", "label")
-    met = with_groups(rows, "token", F.min("label").alias("a"), F.max("label").alias("z"), made=made)
-    rarest = F.row_number().over(Window.partitionBy("key", "id", "label").orderBy(F.desc("n"), "token"))
-    rare = written(met.withColumn("nth", rarest).where(f"nth >= {fewest} and a < z").select("token", "id", "label").distinct(), "rare", made)
-    # Labels meet first, then their documents: those of one label never meet one by one.
-    labels = rare.select("token", "label").distinct()
-    two = labels.join(labels.withColumnRenamed("label", "other"), "token").where("label < other")
-    ones = two.join(rare, ["token", "label"]).select("token", "other", "id")
-    others = ones.join(rare.select("token", F.col("label").alias("other"), F.col("id").alias("with")), ["token", "other"]).where("id <> with").select("id", "with")
-    return some.unionByName(others).select(F.greatest("id", "with").alias("id"), F.least("id", "with").alias("source")).distinct()
+    near = surroundings(only(docs, keys.select("id"), "left_semi", small).join(keys, "id"), reach, side)
+    # Each block of a key's places meets itself and every other block.
+    parts = F.ceil(F.col("n") / BLOCK)
+    near = near.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    place = F.struct((F.col("part") <= F.col("other")).alias("mine"), "id", "by", "core", "again", "before", "behind")
+    blocks = near.groupBy("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).agg(F.collect_list(place).alias("places"))
+    return unheld_pairs(blocks.select((F.col("a") == F.col("b")).alias("first"), "places"), reach, least, similar).distinct()
 
 
 def passages(
@@ -462,14 +568,15 @@ def passages(
 
     found = written(windows(rest, seed), "windows", made)
     shared = with_groups(found, "key", F.min("id").alias("source"), F.max("id").alias("top"), made=made).where("source < top")
-    shared = written(shared.select("key", "id", "source", "at", "lo", "hi"), "shared", made)
+    shared = written(shared.select("key", "id", "source", "at", "upto", "lo", "hi"), "shared", made)
     sweep(spark, made, copies, shared)
     tested = written(shared.where("id <> source").select("id", "source").distinct(), "pairs", made)
     near_ = matched(tested)
     # Keys whose run no passage covers in some document: all runs around them are keys of the second step.
-    covered = near_.groupBy("id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("covered"))  # of one document
-    end = F.col("at") + half_length(seed)
-    settled = F.exists("covered", lambda x: (x["first_word"] <= F.col("at")) & (x["last_word"] - (SHINGLE - 1) >= end))
+    covered = near_.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("first_word", "last_word"))).alias("covered"))  # of one document
+    last = lambda x: x["last_word"] - (SHINGLE - 1) - half_length(seed)  # noqa: E731  (the last place of a key inside)
+    reached = F.aggregate("covered", F.col("at").cast("long"), lambda at, x: F.when((x["first_word"] <= at) & (last(x) >= at), last(x) + 1).otherwise(at))
+    settled = reached > F.col("upto")
     open_ = shared.where("id <> source").join(covered, "id", "left").where(~F.coalesce(settled, F.lit(False))).select("key").distinct()
     spans = shared.join(written(open_, "open", made), "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     lengths = sorted({least, (least + seed) // 2, seed}, reverse=True)

@@ -284,3 +284,44 @@ def test_large_families_have_the_groups_of_all_pairs(spark, monkeypatch, changes
     want = groups_of_all_pairs([brute_sets(t) for _, t in docs])
     got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(docs, "doc_id long, text string"), tree_size=tree_size).collect()}
     assert [got.get(i, i) for i in range(len(docs))] == want
+
+
+def test_few_pairs_of_a_family_are_compared(spark, monkeypatch):
+    """120 texts that are one text with a twelfth of the words changed, and 60 of words repeated many times: what a common source holds, or what has no passage over a key, is not compared pair by pair."""
+    rng = random.Random(31)
+    base, words = passage(300), passage(6)
+    texts = {i: [f"e{rng.randrange(10**6)}" if rng.random() < 1 / 12 else w for w in base] for i in range(120)}
+    texts |= {i: [w for w in rng.sample(words, 4) for _ in range(rng.randrange(30, 90))] for i in range(120, 180)}
+    compared = []
+    verified = substring.verified
+    monkeypatch.setattr(substring, "verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    found_pairs(spark, texts)
+    assert len(compared) == 3 and compared[2] < 2000, compared
+
+
+def test_allowed_pairs_include_all_with_a_passage_over_the_key():
+    """Passages with words changed, put in, left out or repeated, met in a run of 21 tokens around a place: none is refused."""
+    rng, hits, refused = random.Random(5), 0, 0
+    for _ in range(300):
+        a, b = [*passage(120)], []
+        for w in a:
+            x = rng.random()
+            b += [] if x < 0.015 else [w, "in"] if x < 0.03 else ["new"] if x < 0.045 else [w, w] if x < 0.05 else [w]
+        x, y = substring.tokens(" ".join(a)), substring.tokens(" ".join(b))
+        ranges = substring.shared_ranges(x, y, 46, 0.8)
+        for at in range(30, 90, 7):
+            there = np.flatnonzero(substring.runs(y, 11) == substring.runs(x, 11)[at])
+            for to in there.tolist():
+                left = next((k for k in range(min(at, to)) if x[at - k - 1] != y[to - k - 1]), min(at, to))
+                right = next((k for k in range(min(len(x) - at, len(y) - to)) if x[at + k] != y[to + k]), min(len(x) - at, len(y) - to))
+                sides = [np.full((2, 102), -1, np.int32) for _ in range(2)]
+                for row, (t, p) in enumerate(((x, at), (y, to))):
+                    short = (t >> np.uint64(33)).astype(np.int32)
+                    for side, near in zip(sides, (short[max(0, p - 102) : p][::-1], short[p + 11 : p + 113])):
+                        side[row, : len(near)] = near
+                ok = substring.allowed(*sides, np.full(2, 11), np.full(2, -1), np.array([0]), np.array([1]), 46, 0.8)[0]
+                over = any(s <= at and at + 11 <= e and q <= to for s, e, q, _ in ranges)
+                hits += over and left + right >= 21
+                assert ok or not (over and left + right >= 21), (at, to)
+                refused += not ok
+    assert hits > 100 and refused > 100
