@@ -100,14 +100,17 @@ def only(df: DataFrame, ids: DataFrame, how: str, small: int = SMALL_IDS, on: st
     return df.join(F.broadcast(ids) if ids.count() <= small else ids, on, how)
 
 
-def with_groups(rows: DataFrame, key: str, *aggregates: F.Column, made: list[str] | None = None) -> DataFrame:
+def with_groups(rows: DataFrame, key: str, *aggregates: F.Column, made: list[str] | None = None, groups_of: str = "n > 1", rows_of: str = "true") -> DataFrame:
     """rows with n and other aggregates of the rows of the same key; keys of a single row go.
 
+    groups_of, rows_of: of which keys, by the aggregates, and which rows are wanted; all rows count in the aggregates.
+
     A key that holds over a thousandth of all grouped rows is joined by broadcast (there are a thousand of them at
     most), so that no task holds a hot key's rows; the others are joined by shuffle.
     """
-    groups = written(rows.groupBy(key).agg(F.count("*").alias("n"), *aggregates).where("n > 1"), "groups", made)
+    groups = written(rows.groupBy(key).agg(F.count("*").alias("n"), *aggregates).where("n > 1").where(groups_of), "groups", made)
     most = (groups.agg(F.sum("n")).first()[0] or 0) // 1000
+    rows = rows.where(rows_of)
     hot, cold = groups.where(F.col("n") > most), groups.where(F.col("n") <= most)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

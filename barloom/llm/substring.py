@@ -12,13 +12,14 @@ diagonal of a shared run, or near it, are chained, and the longest ranges that a
 Second step: a smaller document that has only a part of a passage may have taken the key of two larger ones. Where such a
 key's run is left uncovered by passages, all unbroken runs of 46, 33 and 21 tokens around it are keys themselves, with
 the smallest document that has the run as source. A run of 46 tokens is a passage of 50 words, so exact repeats are all
-found.
+found; if its source is new to one document, all others of the run meet it as well, so that one source holds them all.
 Third step: each of the runs of a similar passage may stand in smaller documents that do not share it. So all documents of
 a key that no common source holds together (each has a passage with it over the key) are compared with one another, if the
 tokens around the key allow a passage over it: they agree in a run of 21 tokens around the key, and of the 102 tokens before
 it and behind it so many stand in the other document as well, at most 22 places further, that a range around the key can be
 long and similar enough (an upper bound, so exact). This is told for blocks of places of a key at once, and only what passes
-becomes a row. Places of a key that follow one another (a word repeated many times) are one place.
+becomes a row. Places of a key that follow one another (a word repeated many times) are one place; their surroundings are
+compared as sets, and a passage has to begin and end with a token that both have.
 So two documents with a passage are a row, or both have a passage over the same key with one source, which stands for both.
 
 Texts that are equal as a whole are looked at once; each copy is a passage of its first document. Passages inside one
@@ -116,12 +117,13 @@ def seed_length(least: int, similar: float) -> int:
 
 
 def runs(tokens_: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all ranges of so many tokens."""
-    n = len(tokens_) - length + 1
-    out = np.full(max(n, 0), length, np.uint64)
-    for k in range(length if n > 0 else 0):
-        out = mixed(out * np.uint64(STEP) + tokens_[k : k + n])
-    return out
+    """Hashes of all ranges of so many tokens, by ranges of doubling length, of which the last two may overlap."""
+    out, size = mixed(tokens_ ^ np.uint64(length)), 1
+    while size < length and len(tokens_) >= length:
+        step = min(size, length - size)
+        out = mixed(out[:-step] * np.uint64(STEP) + out[step:])
+        size += step
+    return out[: max(0, len(tokens_) - length + 1)]
 
 
 def windows(docs: DataFrame, seed: int) -> DataFrame:
@@ -164,7 +166,7 @@ def half_length(seed: int) -> int:
 
 
 def open_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(key, id, open) of the runs of each length that touch the spans of documents (id, text, spans, covered); open: they have a token of a span that no passage covers."""
+    """(key, id, open) of the different runs of each length that touch the spans of documents (id, text, spans, covered); open is 2 if they have a token of a span that no passage covers, else 1 for runs of the first length, which are passages, and 0 for others."""
 
     def run(batches):
         for part in chunks(batches, 1 << 20):
@@ -178,20 +180,22 @@ def open_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
                         here[x["lo"]] += 1
                         here[x["hi"] + 1] -= 1
                 here = here.cumsum()[:n] > 0
-                free = here.copy()
+                bare = here.copy()
                 for x in covered or ():
-                    free[x["first_word"] : max(0, x["last_word"] - SHINGLE + 2)] = False
-                touched, unsettled = (np.concatenate([[0], x.cumsum()]) for x in (here, free))
+                    bare[x["first_word"] : max(0, x["last_word"] - SHINGLE + 2)] = False
+                touched, unsettled = (np.concatenate([[0], x.cumsum()]) for x in (here, bare))
                 for length in lengths:
                     if n >= length:
                         some = touched[length:] > touched[:-length]
-                        keys = runs(base, length)[some]
-                        out.append((keys.view(np.int64), np.full(len(keys), doc), (unsettled[length:] > unsettled[:-length])[some]))
+                        keys, number = np.unique(runs(base, length)[some], return_inverse=True)
+                        free = np.full(len(keys), int(length == lengths[0]), np.int8)
+                        free[number[(unsettled[length:] > unsettled[:-length])[some]]] = 2
+                        out.append((keys.view(np.int64), np.full(len(keys), doc), free))
             if out:
                 key, doc, free = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc, pa.int64()), pa.array(free, pa.bool_())], ["key", "id", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc, pa.int64()), pa.array(free, pa.int8())], ["key", "id", "open"])
 
-    return in_batches(docs.select("id", "text", "spans", "covered"), run, "key long, id long, open boolean")
+    return in_batches(docs.select("id", "text", "spans", "covered"), run, "key long, id long, open byte")
 
 
 def surroundings(docs: DataFrame, reach: int, side: int) -> DataFrame:
@@ -242,15 +246,52 @@ def gains(x: np.ndarray, y: np.ndarray, drift: int, worth: float) -> np.ndarray:
     return np.concatenate([np.zeros((len(x), 1), np.float32), steps - worth * (~in_x).cumsum(1) + best], 1)
 
 
-def dense_around(one: tuple[np.ndarray, int, int], other: tuple[np.ndarray, int, int], least: int, similar: float) -> bool:
-    """Whether a range of so many tokens or more around places of a key (tokens, first and last token of the places) has so many tokens that stand anywhere around the other."""
-    line, start, stop = one
-    sums = np.concatenate([[0], (np.isin(line, other[0]) - similar).cumsum()])
-    if len(sums) <= least:
-        return False
-    lowest = np.minimum.accumulate(sums)
-    end = np.arange(max(least, start + 1), len(sums))
-    return bool((sums[end] >= lowest[np.minimum(end - least, stop)] - 1e-6).any())
+class Lines:
+    """The tokens before, at and behind places of a key that is one word repeated, and which of them stand anywhere around another place."""
+
+    def __init__(self, before: np.ndarray, behind: np.ndarray, core: np.ndarray, word: int):
+        reach = before.shape[1]
+        inside = np.minimum(core, 2 * reach)  # of more equal tokens than a passage has, those at either end say all
+        parts = (before >= 0).sum(1), inside, (behind >= 0).sum(1)
+        self.start, self.stop = parts[0], parts[0] + inside - 1
+        line = np.full((len(core), int(sum(parts).max(initial=0))), -1, np.int32)
+        for k, (left, n, right) in enumerate(zip(*parts)):
+            line[k, : left + n + right] = np.concatenate([before[k, :left][::-1], np.full(n, word, np.int32), behind[k, :right]])
+        self.names, at = np.unique(line, return_inverse=True)
+        self.line = at.reshape(line.shape).astype(np.int32)
+        self.has = np.zeros((len(core), len(self.names)), bool)
+        self.has[np.arange(len(core))[:, None], self.line] = True
+        self.has[:, self.names < 0] = False
+        self.word = int(np.searchsorted(self.names, word))
+
+    def common(self, width: int = 1 << 11) -> np.ndarray:
+        """How many of the tokens around each place (a row) stand around each other place (a column); its own place of the word not counted."""
+        out = np.zeros((len(self.line), len(self.line)), np.float32)
+        of_several = np.flatnonzero(self.has.sum(0) > 1)
+        column = np.full(len(self.names), -1)
+        column[of_several] = np.arange(len(of_several))
+        row, number = np.repeat(np.arange(len(self.line)), self.line.shape[1]), column[self.line.ravel()]
+        for first in range(0, len(of_several), width):
+            on = (number >= first) & (number < first + width)
+            counts = np.bincount(row[on] * width + number[on] - first, minlength=len(out) * width).reshape(-1, width)[:, : len(of_several) - first]
+            out += counts.astype(np.float32) @ self.has[:, of_several[first : first + width]].T.astype(np.float32)
+        return out - (self.stop - self.start + 1)[:, None]
+
+    def dense(self, x: np.ndarray, y: np.ndarray, least: int, similar: float) -> np.ndarray:
+        """Whether a range of so many tokens or more around place x has so many tokens that stand anywhere around y; it begins and ends with such a token."""
+        width = self.line.shape[1]
+        if width < least:
+            return np.zeros(len(x), bool)
+        stands = self.has[y[:, None], self.line[x]]
+        sums = np.zeros((len(x), width + 1), np.float32)
+        np.cumsum(stands - np.float32(similar), 1, out=sums[:, 1:])
+        lowest = np.full(sums.shape, np.inf, np.float32)
+        lowest[:, :-1][stands] = sums[:, :-1][stands]
+        np.minimum.accumulate(lowest, 1, out=lowest)
+        end = np.arange(least, width + 1)
+        begin = np.minimum(end - least, self.stop[x][:, None])
+        fits = sums[:, least:] >= np.take_along_axis(lowest, begin, 1) - 1e-3
+        return (fits & stands[:, least - 1 :] & (end > self.start[x][:, None])).any(1)
 
 
 def allowed(before: np.ndarray, behind: np.ndarray, core: np.ndarray, again: np.ndarray, x: np.ndarray, y: np.ndarray, least: int, similar: float, most: int = 1 << 11) -> np.ndarray:
@@ -260,17 +301,10 @@ def allowed(before: np.ndarray, behind: np.ndarray, core: np.ndarray, again: np.
     be long and similar enough. So it has at most (2 * least - 1) / similar tokens, and all of them are near its keys.
     Where equal tokens follow one another it is not known which of them meet: there tokens may stand anywhere in the other side."""
     seed, reach = seed_length(least, similar), before.shape[1]
-    lines: dict[int, tuple[np.ndarray, int, int]] = {}
-
-    def line(k: int) -> tuple[np.ndarray, int, int]:
-        if k not in lines:
-            left, right, n = before[k][before[k] >= 0][::-1], behind[k][behind[k] >= 0], int(core[k])
-            # Of more equal tokens than a passage has, those at either end say all.
-            inside = np.full(min(n, 2 * reach), again[k], np.int32) if again[k] >= 0 else own[k]
-            lines[k] = np.concatenate([left, inside, right]), len(left), len(left) + len(inside) - 1
-        return lines[k]
-
-    own: dict[int, np.ndarray] = {}
+    word = int(again.max(initial=-1))  # equal tokens of a key are the same at all of its places
+    lines = Lines(before, behind, core, word) if word >= 0 else None
+    common = lines.common() if lines else None
+    fewest = math.ceil(least * 2 * similar / (1 + similar) - 1e-9)
     drift = int((2 * least - 1) * (1 / similar - 1) + 1e-9)
     worth = (1 + similar) / (1 - similar) if similar < 1 else 1e6
     out = np.zeros(len(x), bool)
@@ -285,12 +319,21 @@ def allowed(before: np.ndarray, behind: np.ndarray, core: np.ndarray, again: np.
         if not len(on):
             continue
         vague = (again[i[on]] >= 0) | (again[j[on]] >= 0)
-        for k in on[vague]:
-            a, b = int(i[k]), int(j[k])
-            for c, d in ((a, b), (b, a)):  # the key's tokens are equal in both
-                if again[c] < 0:
-                    own[c] = np.full(int(core[c]), again[d], np.int32)
-            out[start + k] = dense_around(line(a), line(b), least, similar) and dense_around(line(b), line(a), least, similar)
+        if vague.any():
+            some = on[vague]
+            a, b = i[some], j[some]
+            ok = np.ones(len(some), bool)
+            for c, d in ((a, b), (b, a)):  # enough tokens in common; a whole passage of the word, or more than the word
+                more = common[c, d]
+                ok &= (core[c] + more >= fewest) & ((more > 0) | (core[c] >= least))
+            some, a, b = some[ok], a[ok], b[ok]
+            whole = np.minimum(core[a], core[b]) >= least
+            out[start + some[whole]] = True
+            some, a, b = some[~whole], a[~whole], b[~whole]
+            ok = lines.dense(a, b, least, similar) if len(a) else np.zeros(0, bool)
+            some, a, b = some[ok], a[ok], b[ok]
+            if len(a):
+                out[start + some] = lines.dense(b, a, least, similar)
         on = on[~vague]
         if not len(on):
             continue
@@ -580,10 +623,11 @@ def passages(
     open_ = shared.where("id <> source").join(covered, "id", "left").where(~F.coalesce(settled, F.lit(False))).select("key").distinct()
     spans = shared.join(written(open_, "open", made), "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     lengths = sorted({least, (least + seed) // 2, seed}, reverse=True)
-    near_runs = written(open_runs(rest.join(spans, "id").join(covered, "id", "left"), lengths), "runs", made)
+    spans = written(spans.join(covered, "id", "left"), "spans", made)
+    near_runs = written(open_runs(only(rest, spans.select("id"), "left_semi", small).join(spans, "id"), lengths), "runs", made)
     sweep(spark, made, copies, shared, tested, near_, near_runs)
-    entries = near_runs.groupBy("key", "id").agg(F.max("open").alias("open"))  # partial sums first: at most a row for each task and document
-    met = with_groups(entries, "key", F.min("id").alias("source"), made=made).where("open and id > source")
+    # Where an open place meets the source of a run that is a passage, the other documents of the run do as well: so one source holds them all.
+    met = with_groups(near_runs, "key", F.min("id").alias("source"), F.max("open").alias("top"), made=made, groups_of="top = 2", rows_of="open > 0").where("id > source")
     pairs = written(met.select("id", "source").distinct().join(tested, ["id", "source"], "left_anti"), "pairs", made)
     sweep(spark, made, copies, shared, tested, near_, pairs)
     more = matched(pairs)

@@ -325,3 +325,44 @@ def test_allowed_pairs_include_all_with_a_passage_over_the_key():
                 assert ok or not (over and left + right >= 21), (at, to)
                 refused += not ok
     assert hits > 100 and refused > 100
+
+
+def test_repeated_words_are_told_apart_by_where_a_passage_may_end(spark, monkeypatch):
+    """Texts of words repeated 15 to 90 times: no pair of places with a passage over a run is refused; most without one are, and few pairs of texts are compared."""
+    rng, words = random.Random(17), passage(12)
+    texts = {i: [w for w in rng.sample(words, 5) for _ in range(rng.randrange(15, 90) if rng.random() < 0.6 else rng.randrange(42, 50))] for i in range(60)}
+    base = {i: substring.tokens(" ".join(t)) for i, t in texts.items()}
+    ranges = {(x, y): substring.shared_ranges(base[x], base[y], 46, 0.8) for x in texts for y in range(x)}
+    hits = refused = 0
+    for word in words:
+        key = int(substring.tokens(" ".join([word] * 5))[0])
+        places = {i: np.flatnonzero(t == np.uint64(key)) for i, t in base.items()}
+        ids = [i for i, p in places.items() if len(p) >= 11]
+        sides, again = [np.full((len(ids), 102), -1, np.int32) for _ in range(2)], []
+        for k, i in enumerate(ids):
+            short, at, stop = (base[i] >> np.uint64(33)).astype(np.int32), int(places[i][0]), int(places[i][-1]) + 1
+            for side, near in zip(sides, (short[max(0, at - 102) : at][::-1], short[stop : stop + 102])):
+                side[k, : len(near)] = near
+            again.append(int(short[at]) if stop - at > 11 else -1)
+        core = np.array([len(places[i]) for i in ids])
+        pairs = [(a, b) for a in range(len(ids)) for b in range(a)]
+        ok = substring.allowed(*sides, core, np.array(again), *np.array(pairs).T, 46, 0.8)
+        for (a, b), may in zip(pairs, ok):
+            if min(core[a], core[b]) >= 21:
+                p, q = places[ids[a]], places[ids[b]]
+                over = any(s <= p[-1] - 10 and e > p[0] + 10 and at <= q[-1] - 10 and at + (e - s) > q[0] + 10 for s, e, at, _ in ranges[ids[a], ids[b]])
+                assert may or not over, (ids[a], ids[b], word)
+                hits += may and over
+                refused += not may
+                # Runs of 41 to 45 tokens would be full enough, but are too short.
+                outside = set(base[ids[a]].tolist()) & set(base[ids[b]].tolist()) - {key}
+                assert not may or outside or min(core[a], core[b]) >= 46
+    assert hits > 30 and refused > 100, (hits, refused)
+    compared = []
+    verified = substring.verified
+    monkeypatch.setattr(substring, "verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    sources = {i: {i} for i in texts}
+    for x, y in found_pairs(spark, texts):
+        sources[x].add(y)
+    assert all(sources[x] & sources[y] for (x, y), found in ranges.items() if found)
+    assert compared[2] < 500, compared
